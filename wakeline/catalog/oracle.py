@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import fixed_values as V
 from .registry import AS_OF, LEXICON
 
@@ -889,5 +891,24 @@ add("stream_first_share", f"""
 SELECT video_id, shares, {ts('first_at')} AS first_shared_at, delay_h AS propagation_delay_hours,
  {speed('delay_h', 'first_at', 'Recent Community Discovery')} AS propagation_speed FROM shared""", "shared")
 
+
+
+def half_even(sql: str) -> str:
+    """Spell ``round(x, n)`` as half-to-even on the scaled value, the rule of the Spark side."""
+    out, at = "", 0
+    while (start := re.search(r"(?<![a-z_])round\(", sql[at:])) is not None:
+        open_ = at + start.end()
+        depth, comma, i = 1, 0, open_
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[i], 0)
+            if sql[i] == "," and depth == 1:
+                comma = i
+            i += 1
+        inner, scale = half_even(sql[open_:comma]), 10 ** int(sql[comma + 1 : i - 1])
+        out += sql[at : at + start.start()] + f"(CAST(({inner}) * {scale}::DOUBLE AS BIGINT) / {scale}::DOUBLE)"
+        at = i
+    return out + sql[at:]
+
+
 # A statement that begins with "," continues the list of views.
-SQL = {k: v.replace(")\n\n, ", "),\n", 1) for k, v in SQL.items()}
+SQL = {k: half_even(v.replace(")\n\n, ", "),\n", 1)) for k, v in SQL.items()}

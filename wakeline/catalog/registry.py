@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from ..functions import metrics as mx
 from ..functions import sentiment as sx
 from ..functions import text as tx
@@ -28,7 +29,7 @@ from ..operators import (
 from ..plans import comparison
 from ..plans import shared_videos as shared_plan
 from ..plans import video_engagement as engagement_plan
-from ..session import inline_table, scratch_path
+from ..session import inline_table, scratch_path, settled
 from ..sources import payloads as payload_source
 from ..sources import tables as table_source
 from ..streaming import comments as streams
@@ -143,8 +144,8 @@ def _engagement_columns(out: DataFrame) -> DataFrame:
 def video_engagement(spark, sf):
     """Engagement from all three tiers, over comments and posts."""
     c, v, p = D.comments(spark, sf), D.videos(spark, sf), D.posts(spark, sf)
-    prints = fingerprint.fingerprints(v)
-    accepted = fingerprint.collect_by_tier(fingerprint.post_text(p, c), v, prints)
+    prints = settled(fingerprint.fingerprints(v), "prints")
+    accepted = settled(fingerprint.collect_by_tier(fingerprint.post_text(p, c), v, prints), "accepted")
     d = engagement_plan.matched_discussions(c, prints, accepted)
     return _engagement_columns(engagement_plan.video_engagement(d, c, D.facts(spark, sf), accepted))
 
@@ -160,14 +161,14 @@ def video_fingerprint(spark, sf):
 @query
 def verify_tiers(spark, sf):
     p = fingerprint.post_text(D.posts(spark, sf))
-    return fingerprint.verify(p, fingerprint.fingerprints(D.videos(spark, sf)))
+    return fingerprint.verify(p, settled(fingerprint.fingerprints(D.videos(spark, sf)), "prints"))
 
 
 @query
 def accepted_posts(spark, sf):
     v = D.videos(spark, sf)
     p = fingerprint.post_text(D.posts(spark, sf), D.comments(spark, sf))
-    return fingerprint.collect_by_tier(p, v, fingerprint.fingerprints(v)).select(
+    return fingerprint.collect_by_tier(p, v, settled(fingerprint.fingerprints(v), "prints")).select(
         "video_id", "post_id", "match_type", "similarity_score", "score", big("tier")
     )
 
@@ -202,7 +203,7 @@ def overall_match_type(spark, sf):
     g = both.groupBy("video_no").agg(F.bool_or(~is_sem).alias("u"), F.bool_or(is_sem).alias("m"), F.max("s").alias("s"))
     return g.select(
         "video_no", linking.overall_match(F.col("u"), F.col("m")).alias("match_type"),
-        F.round("s", 3).alias("similarity_score"),
+        round_to("s", 3).alias("similarity_score"),
     )
 
 
@@ -210,7 +211,7 @@ def overall_match_type(spark, sf):
 def semantic_best_match(spark, sf):
     d, v = D.vectors(spark, sf)
     return semantic.best_match(d, v, threshold=0.3).select(
-        big("platform_id"), big("video_id"), "match_type", F.round("similarity_score", 3).alias("similarity_score")
+        big("platform_id"), big("video_id"), "match_type", round_to("similarity_score", 3).alias("similarity_score")
     )
 
 
@@ -445,7 +446,7 @@ def growth_velocity(spark, sf):
     )
     return models.growth_rows(acc, F.to_timestamp(F.lit(AS_OF))).select(
         "platform", "platform_id", "subscriber_count", "positive_pct", "neutral_pct", "negative_pct",
-        "total_comments_analyzed", F.round("growth_velocity", 6).alias("growth_velocity"),
+        "total_comments_analyzed", round_to("growth_velocity", 6).alias("growth_velocity"),
     )
 
 
@@ -453,8 +454,8 @@ def growth_velocity(spark, sf):
 def engagement_ratios(spark, sf):
     flat = features.flatten(D.post_history(spark, sf))
     return features.engagement_ratios(flat).select(
-        "channel_id", "n_posts", F.round("likes_per_view", 8).alias("likes_per_view"),
-        F.round("comments_per_view", 8).alias("comments_per_view"),
+        "channel_id", "n_posts", round_to("likes_per_view", 8).alias("likes_per_view"),
+        round_to("comments_per_view", 8).alias("comments_per_view"),
     )
 
 
@@ -462,7 +463,7 @@ def engagement_ratios(spark, sf):
 def trailing_mean(spark, sf):
     flat = features.flatten(D.post_history(spark, sf))
     return features.trailing_mean(flat).select(
-        "channel_id", *[F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in ("views", "likes", "comments")]
+        "channel_id", *[round_to(f"mean_{c}", 4).alias(f"mean_{c}") for c in ("views", "likes", "comments")]
     )
 
 
@@ -504,8 +505,8 @@ def feature_matrix(spark, sf):
     roll = [f"{c}_roll{w}_{s}" for c in ("views", "shares") for w in (3, 5) for s in ("mean", "std")]
     return out.select(
         "channel_id", "post_id", big("position"), "views", *lags,
-        F.round("sentiment_positive_lag1", 3).alias("sentiment_positive_lag1"),
-        *[F.round(c, 3).alias(c) for c in roll],
+        round_to("sentiment_positive_lag1", 3).alias("sentiment_positive_lag1"),
+        *[round_to(c, 3).alias(c) for c in roll],
     )
 
 

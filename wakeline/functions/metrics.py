@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import round_to
 from .text import truthy
 
 
 def _clamp(score: Column) -> Column:
-    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
+    return round_to(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
 
 
 def engagement_index(platform: Column, stats: Column) -> Column:
@@ -33,7 +34,7 @@ def engagement_index(platform: Column, stats: Column) -> Column:
 def delay_hours(published: Column, first_shared: Column) -> Column:
     """Hours from publication to the first share, one decimal, never negative."""
     micros = F.unix_micros(first_shared.cast("timestamp")) - F.unix_micros(published.cast("timestamp"))
-    return F.greatest(F.lit(0.0), F.round(micros / 1_000_000 / 3600.0, 1))
+    return F.greatest(F.lit(0.0), round_to(micros / 1_000_000 / 3600.0, 1))
 
 
 def delay_class(delay: Column, first_shared: Column, undated: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import round_to
 from .. import fixed_values as V
 
 LABELS = ("positive", "neutral", "negative")
@@ -17,7 +18,7 @@ def label_of_compound(compound: Column) -> Column:
 def confidence(compound: Column, pos: Column, neu: Column, neg: Column, mode: str = "share") -> Column:
     """``share``: share of the winning class; ``compound``: absolute compound, four decimals."""
     if mode == "compound":
-        return F.round(F.abs(compound), 4)
+        return round_to(F.abs(compound), 4)
     return F.when(compound >= 0.05, pos).when(compound <= -0.05, neg).otherwise(neu)
 
 
@@ -42,7 +43,7 @@ def label_counts(label: Column) -> list[Column]:
 
 def breakdown(n: Column, pos: Column, neu: Column, neg: Column, digits: int = 3) -> Column:
     """Shares, dominant label and sample size. Ties: positive, then negative, then neutral."""
-    share = [F.when(n > 0, F.round(c / n, digits)).otherwise(F.lit(0.0)) for c in (pos, neu, neg)]
+    share = [F.when(n > 0, round_to(c / n, digits)).otherwise(F.lit(0.0)) for c in (pos, neu, neg)]
     p, u, g = share
     dominant = (
         F.when(F.coalesce(n, F.lit(0)) == 0, "neutral")
@@ -59,7 +60,7 @@ def breakdown(n: Column, pos: Column, neu: Column, neg: Column, digits: int = 3)
 def gap(yt: Column, rd: Column, digits: int = 2) -> Column:
     """Positive share on YouTube minus Reddit; 0 unless both sides have samples."""
     both = (yt["sample_size"] > 0) & (rd["sample_size"] > 0)
-    return F.when(both, F.round(yt["positive"] - rd["positive"], digits)).otherwise(F.lit(0.0))
+    return F.when(both, round_to(yt["positive"] - rd["positive"], digits)).otherwise(F.lit(0.0))
 
 
 def _pct(c: Column) -> Column:

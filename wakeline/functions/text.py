@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from .rounding import round_to
 
 _EDGE_WS = f"^[{V.WS}]+|[{V.WS}]+$"
 
@@ -63,7 +64,7 @@ def human_number(c: Column) -> Column:
     n = c.cast("bigint")
 
     def scaled(unit: int, suffix: str) -> Column:
-        return F.format_string(f"%.1f{suffix}", n / F.lit(float(unit)))
+        return F.format_string(f"%.1f{suffix}", round_to(n / F.lit(float(unit)), 1))
 
     return (
         F.when(n.isNull(), "N/A")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from ..functions import sentiment as sx
 from ..functions import text as tx
 from . import keywords, ranking, sentiment
@@ -113,7 +114,7 @@ def video_block(v: DataFrame) -> DataFrame:
     """The "currently analysed video" block for rows of the engagement plan."""
     def mood(c: str, label: str, extra: Column) -> Column:
         b = F.col(c)
-        pct = lambda f: F.round(b[f] * 100).cast("int").cast("string")
+        pct = lambda f: round_to(b[f] * 100).cast("int").cast("string")
         return F.when(b["sample_size"] > 0, _text(
             f"  • {label}: ", pct("positive"), "% Positive | ", pct("neutral"), "% Neutral | ", pct("negative"),
             "% Negative (", tx.human_number(b["sample_size"]), " comments analyzed", extra, ", Dominant: ",

@@ -4,14 +4,13 @@ Evidence has three tiers: the video id in the text (1.0); a safe creator name an
 (0.90); a safe creator name and at least 60 % (and three) of the title words (0.80 to 0.95).
 
 The tests are substring tests, so the obvious plan is a nested-loop join. Instead both sides are keyed by
-short character runs a match cannot avoid ("anchors"), which turns every tier into hash joins followed by
-the exact test:
+what a match cannot avoid, which turns every tier into hash joins followed by the exact test:
 
 * an id of 11 characters lies in a run of id characters, so it equals one of the run's 11-grams;
-* a name, phrase or title word contains its longest word, which lies inside one word of the text; the
-  first five characters of it are a 5-gram of that word;
-* with n title words and k needed, any n-k+1 of them include a matched one, so only the longest n-k+1
-  have to be anchors.
+* the longest word of a name or phrase lies inside one word of the text, and its first five characters are
+  a 5-gram of that word;
+* with n title words and k needed, any n-k+1 of them include a matched one, so only the longest n-k+1 have
+  to be looked up.
 """
 
 from __future__ import annotations
@@ -19,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..functions import text as tx
+from ..session import settled
 
 _GRAM = 5
 _NO_STRINGS = "array<string>"
@@ -38,56 +39,68 @@ def _by_length(words: Column) -> Column:
 
 def fingerprints(videos: DataFrame) -> DataFrame:
     """``video_id, title, channel_title, tags, published_at`` → fingerprint columns (all narrow)."""
-    title = F.coalesce("title", F.lit(""))
-    channel = F.coalesce("channel_title", F.lit(""))
-    tags = F.coalesce("tags", _none())
-
-    creator = tx.strip(
-        F.regexp_replace(F.lower(tx.strip(F.regexp_replace(channel, V.CREATOR_SUFFIX_RE, ""))), r"[^a-z\s]", "")
+    # Computed column by column, so no expression is repeated inside another one.
+    v = videos.select(
+        "video_id", "published_at",
+        F.coalesce("title", F.lit("")).alias("title"),
+        tx.strip(F.coalesce("channel_title", F.lit(""))).alias("channel"),
+        F.coalesce("tags", _none()).alias("tags"),
     )
-    name_words = F.filter(F.split(creator, r"\s+"), lambda w: F.length(w) >= 3)
+    v = v.withColumns({
+        "title_lower": F.lower("title"),
+        "creator": tx.strip(F.regexp_replace(
+            F.lower(tx.strip(F.regexp_replace("channel", V.CREATOR_SUFFIX_RE, ""))), r"[^a-z\s]", ""
+        )),
+        "tags_lower": F.transform("tags", lambda t: tx.strip(F.lower(t))),
+        "first_tags": F.slice("tags", 1, 5),
+    })
+    title_lower, creator = F.col("title_lower"), F.col("creator")
+
     alias_map = F.create_map(
-        *[x for k, v in V.CREATOR_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))]
+        *[x for k, names in V.CREATOR_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in names]))]
     )
-    own_names = F.when(creator == "", _none()).otherwise(F.concat(F.array(creator), name_words))
-    aliases = F.coalesce(F.try_element_at(alias_map, creator), _none())
-
-    clean_tags = F.transform(tags, lambda t: tx.strip(F.lower(t)))
     tag_names = F.filter(
-        clean_tags,
+        "tags_lower",
         lambda t: t.rlike(r"^[\p{L}\p{N}]{3,}$")
-        & ~F.contains(F.lower(title), t)
+        & ~F.contains(title_lower, t)
         & (creator != "")
         & (F.contains(creator, t) | F.contains(t, creator)),
     )
-    variants = F.array_distinct(F.concat(own_names, aliases, tag_names))
-
-    title_words = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit("[a-zA-Z]{3,}"), F.lit(0)))
-    topic_words = _by_length(F.filter(title_words, lambda w: ~w.isin(V.TITLE_STOP_WORDS)))
-
-    bracketed = F.filter(
-        F.transform(F.regexp_extract_all(title, F.lit(V.BRACKET_PHRASE_RE), F.lit(1)), tx.strip),
-        lambda p: (F.length(p) >= 2) & ~F.lower(p).isin(V.GENERIC_SEGMENTS),
-    )
-    segments = F.filter(
-        F.transform(F.split(title, V.SEGMENT_SPLIT_RE), lambda s: tx.strip(F.regexp_replace(s, V.BRACKETED_RE, ""))),
-        lambda s: F.length(s).between(4, 60)
-        & ~F.lower(s).isin(V.GENERIC_SEGMENTS)
-        & (F.lower(s) != F.lower(tx.strip(channel))),
-    )
-    first_tags = F.slice(tags, 1, 5)
+    v = v.withColumns({
+        "own_names": F.when(creator == "", _none()).otherwise(
+            F.concat(F.array(creator), F.filter(F.split(creator, r"\s+"), lambda w: F.length(w) >= 3))
+        ),
+        "aliases": F.coalesce(F.try_element_at(alias_map, creator), _none()),
+        "tag_names": tag_names,
+        "title_words": F.filter(
+            F.array_distinct(F.regexp_extract_all(title_lower, F.lit("[a-zA-Z]{3,}"), F.lit(0))),
+            lambda w: ~w.isin(V.TITLE_STOP_WORDS),
+        ),
+        "bracketed": F.filter(
+            F.transform(F.regexp_extract_all("title", F.lit(V.BRACKET_PHRASE_RE), F.lit(1)), tx.strip),
+            lambda p: (F.length(p) >= 2) & ~F.lower(p).isin(V.GENERIC_SEGMENTS),
+        ),
+        "segments": F.filter(
+            F.transform(
+                F.split("title", V.SEGMENT_SPLIT_RE), lambda s: tx.strip(F.regexp_replace(s, V.BRACKETED_RE, ""))
+            ),
+            lambda s: F.length(s).between(4, 60)
+            & ~F.lower(s).isin(V.GENERIC_SEGMENTS)
+            & (F.lower(s) != F.lower("channel")),
+        ),
+    })
     full_text = F.concat_ws(
-        " ", *[F.nullif(c, F.lit("")) for c in (title, channel, F.array_join(first_tags, " "))]
+        " ", *[F.nullif(c, F.lit("")) for c in (F.col("title"), F.col("channel"), F.array_join("first_tags", " "))]
     )
-    return videos.select(
+    return v.select(
         "video_id",
-        variants.alias("creator_variants"),
-        topic_words.alias("topic_words"),
-        F.array_distinct(F.concat(bracketed, segments)).alias("distinctive_phrases"),
-        F.filter(F.transform(first_tags, lambda t: F.lower(tx.strip(t))), lambda t: t != "").alias("tag_phrases"),
-        title.alias("title_raw"),
+        F.array_distinct(F.concat("own_names", "aliases", "tag_names")).alias("creator_variants"),
+        _by_length(F.col("title_words")).alias("topic_words"),
+        F.array_distinct(F.concat("bracketed", "segments")).alias("distinctive_phrases"),
+        F.filter(F.transform("first_tags", lambda t: F.lower(tx.strip(t))), lambda t: t != "").alias("tag_phrases"),
+        F.col("title").alias("title_raw"),
         full_text.alias("full_text"),
-        F.col("published_at"),
+        "published_at",
     )
 
 
@@ -102,7 +115,7 @@ def needed_words(n: Column) -> Column:
 
 
 def coverage_score(matched: Column) -> Column:
-    return F.round(F.least(0.80 + 0.05 * F.greatest(matched - 3, F.lit(0)), F.lit(0.95)), 3)
+    return round_to(F.least(0.80 + 0.05 * F.greatest(matched - 3, F.lit(0)), F.lit(0.95)), 3)
 
 
 def evidence(text_lower: Column, fp: Column) -> Column:
@@ -126,9 +139,9 @@ def evidence(text_lower: Column, fp: Column) -> Column:
     )
 
 
-def _anchor(phrase: Column) -> Column:
-    """First characters of the longest word of a phrase."""
-    return F.substring(F.element_at(_by_length(F.split(F.lower(phrase), f"[{V.WS}]+")), 1), 1, _GRAM)
+def _key_word(phrase: Column) -> Column:
+    """Longest word of a phrase; a text with the phrase has a word that contains it."""
+    return F.element_at(_by_length(F.split(F.lower(phrase), f"[{V.WS}]+")), 1)
 
 
 def _id_grams(text_lower: Column) -> Column:
@@ -140,21 +153,29 @@ def _id_grams(text_lower: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def _word_grams(words: Column, size: int) -> Column:
-    long_enough = F.filter(words, lambda w: F.length(w) >= size)
-    grams = F.transform(
-        long_enough,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) - (size - 1)), lambda i: F.substring(w, i, F.lit(size))
-        ),
+def _grams(word: Column) -> Column:
+    """Character runs of one to five characters of a word."""
+    sizes = F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length(word)))
+    runs = F.transform(
+        sizes,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)),
     )
-    return F.array_distinct(F.flatten(grams))
+    return F.array_distinct(F.flatten(runs))
+
 
+def words_with(posts: DataFrame, parts: DataFrame, key: str, text: str) -> DataFrame:
+    """(post, part) rows where some word of the post contains the part.
 
-def _grams(text_lower: Column) -> Column:
-    """All character runs of one to five characters inside the distinct words of a text."""
-    words = F.array_distinct(F.split(text_lower, f"[{V.WS}]+"))
-    return F.flatten(F.array(*[_word_grams(words, n) for n in range(1, _GRAM + 1)]))
+    The containment test runs once per distinct word of the corpus: words and parts meet on the part's first
+    five characters, then the test is exact. Posts only join the words that passed.
+    """
+    words = posts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), f"[{V.WS}]+"))).alias("word")).where(
+        F.col("word") != ""
+    )
+    index = parts.select("part", F.substring("part", 1, _GRAM).alias("gram"))
+    vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    hits = vocabulary.join(index, "gram").where(F.contains("word", F.col("part"))).select("word", "part")
+    return words.join(hits, "word").select(key, "part").distinct()
 
 
 def id_matches(posts: DataFrame, videos: DataFrame, key: str = "post_id", text: str = "text") -> DataFrame:
@@ -169,44 +190,43 @@ def verify(
 ) -> DataFrame:
     """All (post, video) pairs with evidence: ``key, video_id, match_type, similarity_score``.
 
-    Two steps. Which creator names occur in which posts (distinct names only, so a name shared by many
-    videos costs one lookup). Then, for posts that name a creator, which of that creator's videos share a
-    phrase or title-word anchor. Only pairs that agree on both are tested in full.
+    A text match needs a creator name and, with it, a phrase or enough title words. So posts are first looked
+    up by the key words of names (distinct names, so one shared by many videos costs one lookup), then by
+    (name, key word of a phrase or title word) together. Only pairs that agree on both are tested in full.
     """
-    lowered = posts.select(key, F.lower(text).alias("_text"))
     by_id = id_matches(posts, prints, key, text).select(
         key, "video_id", F.lit("url").alias("match_type"), F.lit(1.0).alias("similarity_score")
     )
 
-    # Step 1: names in posts.
+    # What to look for: names, and per video the phrases and its longest title words.
     named = prints.select("video_id", F.explode(safe_variants(F.col("creator_variants"))).alias("name"))
-    names = named.select("name").distinct().withColumn("gram", _anchor(F.col("name")))
-    post_grams = lowered.select(key, F.explode(_grams(F.col("_text"))).alias("gram"))
-    maybe = post_grams.join(names, "gram").select(key, "name").distinct()
-    mentions = maybe.join(lowered, key).where(F.contains("_text", F.col("name"))).select(key, "name")
-
-    # Step 2: anchors of phrases and of the longest title words, per video.
+    names = named.select("name", _key_word(F.col("name")).alias("part")).distinct()
     n_words = F.size("topic_words")
-    anchor_words = F.when(
+    title_words = F.when(
         n_words >= 3, F.slice(F.col("topic_words"), F.lit(1), n_words - needed_words(n_words) + 1)
     ).otherwise(_none())
-    anchors = prints.select(
-        "video_id",
-        F.explode(
-            F.array_distinct(F.transform(F.concat(F.col("distinctive_phrases"), anchor_words), _anchor))
-        ).alias("gram"),
+    clues = prints.select(
+        "video_id", F.explode(F.array_distinct(F.concat(
+            F.transform(F.col("distinctive_phrases"), _key_word), title_words
+        ))).alias("part"),
+    )
+    looked_for = names.select("part").unionByName(clues.select("part")).distinct()
+
+    # Where it occurs.
+    present = settled(words_with(posts, looked_for, key, text), "present")  # one pass over the texts, used twice
+    mentions = present.join(names, "part").select(key, "name").distinct()
+    by_name = named.join(clues, "video_id").select("name", "part", "video_id").distinct()
+    pairs = (
+        mentions.join(present, key).join(by_name, ["name", "part"]).select(key, "video_id").distinct()
+        .join(by_id.select(key, "video_id"), [key, "video_id"], "left_anti")
     )
-    video_keys = named.join(anchors, "video_id").select("name", "gram", "video_id")
-    post_keys = mentions.join(lowered, key).select(key, "name", F.explode(_grams(F.col("_text"))).alias("gram"))
-    pairs = post_keys.join(video_keys, ["name", "gram"]).select(key, "video_id").distinct()
-    pairs = pairs.join(by_id.select(key, "video_id"), [key, "video_id"], "left_anti")
 
     # The exact test. Both lookups are on unique keys; AQE splits a hot post or a hot video.
     fp = F.struct(*[F.col(f"p.{c}").alias(c) for c in (
         "video_id", "creator_variants", "distinctive_phrases", "topic_words")])
     tested = (
         pairs.join(prints.alias("p"), "video_id")
-        .join(lowered, key)
+        .join(posts.select(key, F.lower(text).alias("_text")), key)
         .select(key, "video_id", evidence(F.col("_text"), fp).alias("e"))
         .where(F.col("e").isNotNull())
         .select(key, "video_id", "e.match_type", "e.similarity_score")

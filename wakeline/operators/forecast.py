@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from .. import fixed_values as V
 from .features import FEATURE_COLUMNS, LAGGED, calendar, engagement_ratios, flatten, last_posts, trailing_mean
 from .priors import category_forecast, detect_category, warmup_posts
@@ -28,11 +29,11 @@ def baseline_forecast(flat: DataFrame, steps: int = 5, noise_seed: int | None =
     v = F.greatest(F.lit(0.0), F.col("mean_views") * factor)
     return grown.select(
         "channel_id", "step",
-        F.round(v, 1).alias("predicted_views"),
-        F.round(F.greatest(F.lit(0.0), F.col("mean_likes") * factor), 1).alias("predicted_likes"),
-        F.round(F.greatest(F.lit(0.0), F.col("mean_comments") * factor), 1).alias("predicted_comments"),
-        F.round(v * 0.8, 1).alias("ci_low"),
-        F.round(v * 1.2, 1).alias("ci_high"),
+        round_to(v, 1).alias("predicted_views"),
+        round_to(F.greatest(F.lit(0.0), F.col("mean_likes") * factor), 1).alias("predicted_likes"),
+        round_to(F.greatest(F.lit(0.0), F.col("mean_comments") * factor), 1).alias("predicted_comments"),
+        round_to(v * 0.8, 1).alias("ci_low"),
+        round_to(v * 1.2, 1).alias("ci_high"),
         F.lit("baseline_moving_avg").alias("engine"),
     )
 
@@ -116,9 +117,9 @@ def model_forecast(history: DataFrame, model, as_of: Column, steps: int = 5, tar
     out = state.select("channel_id", F.explode("done").alias("f"))
     return out.select(
         "channel_id", "f.step",
-        F.round("f.views", 1).alias("predicted_views"), F.round("f.likes", 1).alias("predicted_likes"),
-        F.round("f.comments", 1).alias("predicted_comments"),
-        F.round(F.col("f.views") * 0.8, 1).alias("ci_low"), F.round(F.col("f.views") * 1.2, 1).alias("ci_high"),
+        round_to("f.views", 1).alias("predicted_views"), round_to("f.likes", 1).alias("predicted_likes"),
+        round_to("f.comments", 1).alias("predicted_comments"),
+        round_to(F.col("f.views") * 0.8, 1).alias("ci_low"), round_to(F.col("f.views") * 1.2, 1).alias("ci_high"),
         F.lit("model").alias("engine"),
     )
 
@@ -167,7 +168,7 @@ def blended_forecast(
     j = j.withColumn("_w", weight)
 
     def mixed(c: str) -> Column:
-        mix = F.round(F.col("_w") * F.coalesce(f"o_{c}", F.lit(0.0))
+        mix = round_to(F.col("_w") * F.coalesce(f"o_{c}", F.lit(0.0))
                       + (1 - F.col("_w")) * F.coalesce(f"p_{c}", F.lit(0.0)), 1)
         return F.when(n == 0, F.col(f"p_{c}")).when(n < MIN_POSTS, mix).otherwise(F.col(f"o_{c}")).alias(c)
 
@@ -175,7 +176,7 @@ def blended_forecast(
         "channel_id", "step", "n_posts", "category", *[mixed(c) for c in values],
         F.when(n == 0, "category_benchmark").when(n < MIN_POSTS, "transfer_learning").otherwise(F.col("engine"))
         .alias("engine"),
-        F.when(n == 0, 1.0).when(n < MIN_POSTS, F.round(1 - F.col("_w"), 2)).otherwise(0.0).alias("prior_weight"),
+        F.when(n == 0, 1.0).when(n < MIN_POSTS, round_to(1 - F.col("_w"), 2)).otherwise(0.0).alias("prior_weight"),
     )
 
 

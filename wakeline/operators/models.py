@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import growth_velocity
-from ..session import at_most
+from ..session import at_most, settled
 from .features import FEATURE_COLUMNS, feature_matrix
 from .upsert import sentiment_block
 
@@ -38,6 +38,7 @@ def train_post_model(
         ahead = rows.select("channel_id", (F.col("position") - target_lead).alias("position"),
                             F.col(target).alias("label_target"))
         rows = rows.drop("label_target").join(ahead, ["channel_id", "position"])
+    rows = settled(rows, "features")  # the trees read the rows many times
     if at_most(rows, 1):
         raise ValueError("training needs at least seven posts of one channel")
     features = [c for c in FEATURE_COLUMNS if c != target]
@@ -68,7 +69,7 @@ def train_growth_model(
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit the growth model; returns it with one row of metrics (RMSE of the hold-out, rows, features)."""
     spark = accounts.sparkSession
-    rows = growth_rows(accounts, as_of)
+    rows = settled(growth_rows(accounts, as_of), "growth")
     if at_most(rows, 1):
         raise ValueError("training needs at least two accounts with sentiment data")
     train, test = hold_out(rows, ["platform", "platform_id"])

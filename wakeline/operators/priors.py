@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..session import inline_table
 from .features import last_posts  # noqa: F401  (re-exported for callers that build histories)
@@ -108,11 +109,11 @@ def category_forecast(channels: DataFrame, priors: DataFrame, steps: int = 5) ->
     views = F.col("_base") * F.pow("_g", F.col("step").cast("double"))
     return base.withColumn("_v", views).select(
         "channel_id", "category", "step",
-        F.round("_v", 1).alias("predicted_views"),
-        F.round(F.col("_v") * F.col("_l"), 1).alias("predicted_likes"),
-        F.round(F.col("_v") * F.col("_c"), 1).alias("predicted_comments"),
-        F.round(F.col("_v") * (1 - F.col("_spread")), 1).alias("ci_low"),
-        F.round(F.col("_v") * (1 + F.col("_spread")), 1).alias("ci_high"),
+        round_to("_v", 1).alias("predicted_views"),
+        round_to(F.col("_v") * F.col("_l"), 1).alias("predicted_likes"),
+        round_to(F.col("_v") * F.col("_c"), 1).alias("predicted_comments"),
+        round_to(F.col("_v") * (1 - F.col("_spread")), 1).alias("ci_low"),
+        round_to(F.col("_v") * (1 + F.col("_spread")), 1).alias("ci_high"),
         F.lit("category_benchmark").alias("engine"),
         F.lit(1.0).alias("prior_weight"),
     )
@@ -135,7 +136,7 @@ def warmup_posts(channels: DataFrame, priors: DataFrame) -> DataFrame:
     rows = rows.withColumn("_v", v)
 
     def part(ratio: str, name: str) -> Column:
-        return F.round(F.col("_v") * F.col(ratio), 1).alias(name)
+        return round_to(F.col("_v") * F.col(ratio), 1).alias(name)
 
     return rows.select(
         "channel_id",
@@ -143,7 +144,7 @@ def warmup_posts(channels: DataFrame, priors: DataFrame) -> DataFrame:
         (F.col("anchor") - F.make_dt_interval(days=F.col("back") * 3)).alias("published_at"),
         "category",
         F.struct(
-            F.round("_v", 1).alias("views"), part("likes_per_view", "likes"), part("comments_per_view", "comments"),
+            round_to("_v", 1).alias("views"), part("likes_per_view", "likes"), part("comments_per_view", "comments"),
             part("shares_per_view", "shares"), F.lit(0.0).alias("saves"),
         ).alias("engagement_metrics"),
         F.struct("positive", "neutral", "negative").alias("sentiment"),

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..functions import sentiment as sx
 from ..functions import text as tx
@@ -37,8 +38,8 @@ def lexicon_scores(
         F.count_if(is_word).alias("n_words"),
     )
     total = F.col("p") + F.col("g") + F.col("u")
-    share = {c: F.when(total > 0, F.round(F.col(c) / total, 3)).otherwise(F.lit(0.0)) for c in ("p", "u", "g")}
-    compound = F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), 4)
+    share = {c: F.when(total > 0, round_to(F.col(c) / total, 3)).otherwise(F.lit(0.0)) for c in ("p", "u", "g")}
+    compound = round_to(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15), 4)
     scored = sums.select(
         key,
         compound.alias("compound"),
@@ -72,7 +73,7 @@ def model_scores(
             yield pd.DataFrame({key: pdf[key], "raw_label": labels, "score": scores})
 
     raw = texts.select(key, body).mapInPandas(run, f"{key} {key_type}, raw_label string, score double")
-    return raw.select(key, sx.canonical_label(F.col("raw_label")).alias("label"), F.round("score", 4).alias("score"))
+    return raw.select(key, sx.canonical_label(F.col("raw_label")).alias("label"), round_to("score", 4).alias("score"))
 
 
 Scorer = Callable[[DataFrame], DataFrame]

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     IDF,
@@ -26,6 +27,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..functions import text as tx
 from ..session import at_most
@@ -33,6 +35,7 @@ from ..session import at_most
 MATRIX_ROWS = 20_000
 BLOCK_ROWS = 20_000
 SLICE_ROWS = 20_000
+_SCORES_AT_ONCE = 4_000_000
 
 
 def video_text(title: Column, description: Column, video_id: Column) -> Column:
@@ -57,30 +60,43 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _best(queries: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    # Scores that agree to nine decimals are ties; the first candidate wins.
-    scores = np.round(np.clip(queries @ matrix.T, 0.0, 1.0), 9)
-    at = scores.argmax(axis=1)
-    return at, scores[np.arange(len(at)), at]
+    """Best row of ``matrix`` for every query, a bounded number of scores at a time."""
+    at = np.zeros(len(queries), dtype=np.int64)
+    score = np.zeros(len(queries))
+    step = max(1, _SCORES_AT_ONCE // max(1, len(matrix)))
+    for lo in range(0, len(queries), step):
+        # Scores that agree to nine decimals are ties; the first candidate wins.
+        s = np.round(np.clip(queries[lo : lo + step] @ matrix.T, 0.0, 1.0), 9)
+        at[lo : lo + step] = s.argmax(axis=1)
+        score[lo : lo + step] = s[np.arange(len(s)), at[lo : lo + step]]
+    return at, score
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+def _rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A list column with equally long lists as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _match_in_matrix(discussions: DataFrame, candidates: DataFrame, key: str, key_type: str, id_type: str) -> DataFrame:
-    rows = candidates.orderBy("video_id").collect()  # at most MATRIX_ROWS
-    ids = [r["video_id"] for r in rows]
-    shared = discussions.sparkSession.sparkContext.broadcast(
-        np.asarray([r["embedding"] for r in rows], dtype=np.float64)
-    )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                at, score = _best(_stack(pdf["embedding"]), shared.value)
-                yield pd.DataFrame({key: pdf[key], "video_id": [ids[i] for i in at], "similarity": score})
-
-    return discussions.select(key, "embedding").mapInPandas(
+    rows = candidates.orderBy("video_id").toArrow()  # at most MATRIX_ROWS
+    if not rows.num_rows:
+        return discussions.select(
+            key, F.lit(None).cast(id_type).alias("video_id"), F.lit(None).cast("double").alias("similarity")
+        ).limit(0)
+    ids = rows.column("video_id").combine_chunks()
+    shared = discussions.sparkSession.sparkContext.broadcast(_rows_of(rows.column("embedding")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, score = _best(_rows_of(batch.column(1)), shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), ids.take(pa.array(at)), pa.array(score)], [key, "video_id", "similarity"]
+                )
+
+    return discussions.select(key, "embedding").mapInArrow(
         run, f"{key} {key_type}, video_id {id_type}, similarity double"
     )
 
@@ -101,15 +117,17 @@ def _match_in_blocks(
         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("slice"),
     )
 
-    def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({key: q[key][:0], "video_id": c["video_id"][:0], "similarity": []})
-        c = c.sort_values("video_id", kind="stable")
-        at, score = _best(_stack(q["embedding"]), _stack(c["embedding"]))
-        return pd.DataFrame({key: q[key].values, "video_id": c["video_id"].values[at], "similarity": score})
+    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            none = {key: q.column(key).slice(0, 0), "video_id": c.column("video_id").slice(0, 0)}
+            return pa.table({**none, "similarity": pa.array([], pa.float64())})
+        c = c.sort_by("video_id")
+        at, score = _best(_rows_of(q.column("embedding")), _rows_of(c.column("embedding")))
+        best = c.column("video_id").combine_chunks().take(pa.array(at))
+        return pa.table({key: q.column(key), "video_id": best, "similarity": pa.array(score)})
 
     by = ["slice", "block"]
-    per_cell = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(
+    per_cell = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
         cell, f"{key} {key_type}, video_id {id_type}, similarity double"
     )
     best = F.min_by(F.struct("video_id", "similarity"), F.struct(-F.col("similarity"), F.col("video_id")))
@@ -138,7 +156,7 @@ def best_match(
     else:
         found = _match_in_blocks(discussions, candidates, key, key_type, id_type, block_rows, slice_rows)
     return found.where(F.col("similarity") >= threshold).select(
-        key, "video_id", F.lit("semantic").alias("match_type"), F.round("similarity", 4).alias("similarity_score")
+        key, "video_id", F.lit("semantic").alias("match_type"), round_to("similarity", 4).alias("similarity_score")
     )
 
 

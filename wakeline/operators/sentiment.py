@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from ..functions import sentiment as sx
 from .ranking import top_per_group
 
@@ -16,7 +17,7 @@ def tally(comments: DataFrame, by: tuple[str, ...] = ACCOUNT, label: str = "sent
     counts = comments.groupBy(*by).agg(*sx.label_counts(F.col(label)))
 
     def pct(c: str):
-        return F.when(F.col("n") > 0, F.round(F.col(c) / F.col("n"), 4)).otherwise(0.0)
+        return F.when(F.col("n") > 0, round_to(F.col(c) / F.col("n"), 4)).otherwise(0.0)
 
     return counts.select(
         *by,
@@ -36,7 +37,7 @@ def macro_average(scores: DataFrame, by: tuple[str, ...], digits: int = 4) -> Da
     avg = scores.groupBy(*by).agg(*[F.avg(c).alias(c) for c in sx.LABELS])
     dominant = sx.top_label(F.col("positive"), F.col("neutral"), F.col("negative"))
     return avg.select(
-        *by, *[F.round(c, digits).alias(c) for c in sx.LABELS], dominant.alias("dominant_label")
+        *by, *[round_to(c, digits).alias(c) for c in sx.LABELS], dominant.alias("dominant_label")
     )
 
 
@@ -125,7 +126,7 @@ def effective_sentiment(primary: DataFrame, fallback: DataFrame, key: str = "vid
     def pick(a: str, b: str):
         return F.when(has_p, F.col(a)).when(has_f, F.col(b)).otherwise(empty)
 
-    raw_gap = F.round(F.col("py.positive") - F.col("pr.positive"), 3)
+    raw_gap = round_to(F.col("py.positive") - F.col("pr.positive"), 3)
     return j.select(
         key,
         pick("py", "fy").alias("youtube_sentiment"),
@@ -142,4 +143,4 @@ def newest_batch_share(comments: DataFrame, by: tuple[str, ...] = ACCOUNT) -> Da
     latest = counts.withColumn("_last", F.max("sentiment_processed_at").over(w)).where(
         F.col("sentiment_processed_at") == F.col("_last")
     )
-    return latest.select(*by, "n", *[F.round(F.col(c) / F.col("n"), 4).alias(c) for c in ("pos", "neu", "neg")])
+    return latest.select(*by, "n", *[round_to(F.col(c) / F.col("n"), 4).alias(c) for c in ("pos", "neu", "neg")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import round_to
 from ..functions import metrics as mx
 from ..functions import sentiment as sx
 from ..operators import fingerprint, keywords, sentiment
@@ -101,7 +102,7 @@ def correlation_summary(
     top = F.max_by(F.struct("video_id", "title", "total_reddit_shares"), order)
     videos = shared.agg(
         F.count(F.lit(1)).alias("total_cross_platform_videos"),
-        F.coalesce(F.round(F.avg("propagation_delay_hours"), 2), F.lit(0.0)).alias("avg_propagation_lag_hours"),
+        F.coalesce(round_to(F.avg("propagation_delay_hours"), 2), F.lit(0.0)).alias("avg_propagation_lag_hours"),
         F.coalesce(F.sum("total_reddit_shares"), F.lit(0)).alias("total_discussions_linked"),
         top.alias("top"),
     )
@@ -110,8 +111,8 @@ def correlation_summary(
     index = engagement.agg(
         F.count_if(yt).alias("total_tracked_youtube_channels"),
         F.count_if(rd).alias("total_tracked_subreddits"),
-        F.coalesce(F.round(F.avg(F.when(yt, score)), 2), F.lit(0.0)).alias("avg_youtube_engagement_score"),
-        F.coalesce(F.round(F.avg(F.when(rd, score)), 2), F.lit(0.0)).alias("avg_reddit_engagement_score"),
+        F.coalesce(round_to(F.avg(F.when(yt, score)), 2), F.lit(0.0)).alias("avg_youtube_engagement_score"),
+        F.coalesce(round_to(F.avg(F.when(rd, score)), 2), F.lit(0.0)).alias("avg_reddit_engagement_score"),
     )
     first_gap = gap.agg(F.coalesce(F.max("sentiment_gap"), F.lit(0.0)).alias("sentiment_gap"))
     one = F.lit(1).alias("_one")

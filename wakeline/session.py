@@ -36,6 +36,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Compute ``df`` once: write it to the shared folder and read it back.
+
+    For results several later steps use. It cuts the lineage, survives lost executors, and the file sizes
+    let Spark choose join strategies.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows, without counting beyond that."""
     return df.limit(rows + 1).count() <= rows
