@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import use_utc
+from ..session import spread, use_utc
 
 _LETTERS = ("0123456789", "abcdefghij")
 
@@ -38,7 +38,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents ⟕ labels as YouTube and Reddit comments."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
     lab = table(spark, sf_dir, "labels")
-    return comments_from(d.join(lab, "doc_id", "left"))
+    return comments_from(spread(d).join(lab, "doc_id", "left"))
 
 
 def comments_from(d: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def comments_from(d: DataFrame) -> DataFrame:
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as a video listing."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"))
     k = F.col("p_partkey")
     return p.select(
         _video_id(k).alias("video_id"),
@@ -105,7 +105,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as Reddit submissions. Some link a video, some name a studio and a take or title words."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     n = F.length("html")
     no = F.when(n % 3 == 0, F.lit(0)).otherwise(F.floor(F.col("page_id") / 5)).cast("bigint")
     link = F.concat(F.lit(" https://youtu.be/"), _video_id(no))

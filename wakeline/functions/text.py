@@ -31,7 +31,9 @@ def is_subreddit_name(c: Column) -> Column:
 
 def video_ids(body: Column) -> Column:
     """Distinct video ids linked in a text, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(V.VIDEO_URL_RE), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(V.VIDEO_URL_RE), F.lit(1)))
+    # Most texts hold no link at all; a plain search settles those.
+    return F.when(F.contains(body, F.lit("youtu")), found).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_video_id(c: Column) -> Column:
@@ -119,8 +121,19 @@ def is_valid_question(c: Column) -> Column:
     return F.coalesce(F.length(c).between(3, 1000), F.lit(False))
 
 
+def _spaced(c: Column, delete: str = "") -> Column:
+    """Every white-space character becomes a plain space and the characters of ``delete`` go, in one pass."""
+    return F.translate(c, V.WS_CHARS + delete, " " * len(V.WS_CHARS))
+
+
+def runs(c: Column) -> Column:
+    """White-space separated runs of a text (with empty strings between adjacent separators)."""
+    return F.split(_spaced(c), " ")
+
+
 def words(text: Column, rule: str) -> Column:
-    """Raw words of a text under one of the three tokenising rules, before length and stop-list filters.
+    """Raw words of a text under one of the three tokenising rules, before length and stop-list filters
+    (empty words included).
 
     ``trend``   URLs become spaces, lower, ASCII punctuation deleted
     ``topic``   URLs deleted, punctuation and digits deleted, lower
@@ -129,16 +142,16 @@ def words(text: Column, rule: str) -> Column:
     not_ws = f"[^{V.WS}]"
     if rule == "trend":
         clean = F.regexp_replace(text, f"(?i)https?://{not_ws}+|www\\.{not_ws}+", " ")
-        clean = F.translate(F.lower(clean), V.ASCII_PUNCTUATION, "")
+        clean = _spaced(F.lower(clean), V.ASCII_PUNCTUATION)
     elif rule == "topic":
         clean = F.regexp_replace(text, f"https?://{not_ws}+|www\\.{not_ws}+", "")
-        clean = F.lower(F.translate(clean, V.ASCII_PUNCTUATION + V.DIGITS, ""))
+        clean = F.lower(_spaced(clean, V.ASCII_PUNCTUATION + V.DIGITS))
     elif rule == "context":
         clean = F.regexp_replace(F.lower(text), f"http{not_ws}+", "")
-        clean = F.translate(clean, V.ASCII_PUNCTUATION, "")
+        clean = _spaced(clean, V.ASCII_PUNCTUATION)
     else:
         raise ValueError(f"unknown rule {rule!r}")
-    return F.split(clean, f"[{V.WS}]+")
+    return F.split(clean, " ")
 
 
 STOP_WORDS = {

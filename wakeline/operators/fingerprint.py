@@ -141,7 +141,7 @@ def evidence(text_lower: Column, fp: Column) -> Column:
 
 def _key_word(phrase: Column) -> Column:
     """Longest word of a phrase; a text with the phrase has a word that contains it."""
-    return F.element_at(_by_length(F.split(F.lower(phrase), f"[{V.WS}]+")), 1)
+    return F.element_at(_by_length(tx.runs(F.lower(phrase))), 1)
 
 
 def _id_grams(text_lower: Column) -> Column:
@@ -169,18 +169,19 @@ def words_with(posts: DataFrame, parts: DataFrame, key: str, text: str) -> DataF
     The containment test runs once per distinct word of the corpus: words and parts meet on the part's first
     five characters, then the test is exact. Posts only join the words that passed.
     """
-    words = posts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), f"[{V.WS}]+"))).alias("word")).where(
+    # explode_outer: a plain explode would evaluate the array a second time for an inferred size filter.
+    words = posts.select(key, F.explode_outer(F.array_distinct(tx.runs(F.lower(text)))).alias("word")).where(
         F.col("word") != ""
     )
     index = parts.select("part", F.substring("part", 1, _GRAM).alias("gram"))
-    vocabulary = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    vocabulary = words.select("word").distinct().select("word", F.explode_outer(_grams(F.col("word"))).alias("gram"))
     hits = vocabulary.join(index, "gram").where(F.contains("word", F.col("part"))).select("word", "part")
     return words.join(hits, "word").select(key, "part").distinct()
 
 
 def id_matches(posts: DataFrame, videos: DataFrame, key: str = "post_id", text: str = "text") -> DataFrame:
     """Tier 1 over whole tables: posts whose text contains a video's id, as a hash join on 11-grams."""
-    grams = posts.select(key, F.explode(_id_grams(F.lower(text))).alias("gram"))
+    grams = posts.select(key, F.explode_outer(_id_grams(F.lower(text))).alias("gram"))
     ids = videos.select("video_id", F.lower("video_id").alias("gram"))
     return grams.join(ids, "gram").select(key, "video_id")
 

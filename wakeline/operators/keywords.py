@@ -20,7 +20,8 @@ def term_counts(
     by = by or []
     seen = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order or [])], F.lit(0).alias("_"))
     docs = texts.select(*by, seen.alias("doc_order"), tx.words(F.col(body), rule).alias("_words"))
-    terms = docs.select(*by, "doc_order", F.posexplode("_words").alias("pos", "term")).where(
+    # posexplode_outer: a plain one would tokenise twice, for an inferred size filter.
+    terms = docs.select(*by, "doc_order", F.posexplode_outer("_words").alias("pos", "term")).where(
         tx.is_keyword(F.col("term"), rule)
     )
     return terms.groupBy(*by, "term").agg(

@@ -11,7 +11,9 @@ from ..functions import text as tx
 
 def link_by_url(comments: DataFrame, target: str | None = None) -> DataFrame:
     """One row per (comment, linked video). A narrow transformation: extract ids, explode."""
-    out = comments.withColumn("linked_video", F.explode(tx.video_ids(F.col("body"))))
+    out = comments.withColumn("linked_video", F.explode_outer(tx.video_ids(F.col("body")))).where(
+        F.col("linked_video").isNotNull()
+    )
     if target:
         out = out.where(F.col("linked_video") == target)
     return out.drop("video_id").withColumnRenamed("linked_video", "video_id").withColumn(

@@ -86,8 +86,8 @@ def running_distribution(scored: DataFrame, label: str = "sentiment_label") -> D
 def running_shares(stream: DataFrame) -> DataFrame:
     """First and last share and share count per linked video; works on batch and streaming input."""
     linked = stream.where(F.col("platform") == "reddit").select(
-        F.explode(tx.video_ids(F.col("body"))).alias("video_id"), "published_at"
-    )
+        F.explode_outer(tx.video_ids(F.col("body"))).alias("video_id"), "published_at"
+    ).where(F.col("video_id").isNotNull())
     return linked.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("shares"),
         F.min("published_at").alias("first_shared_at"),
