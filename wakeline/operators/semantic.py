@@ -114,7 +114,7 @@ def _match_in_blocks(
     right = candidates.select(
         "video_id", "embedding",
         F.pmod(F.xxhash64("video_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("slice"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"),
     )
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
