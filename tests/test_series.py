@@ -3,6 +3,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from wakeline import fixed_values as V
@@ -134,23 +137,26 @@ def test_seeded_noise_stays_in_range(spark):
     assert ((noisy / plain).between(0.949, 1.051)).all() and not (noisy == plain).all()
 
 
-class LastValue:
-    """Stands in for a fitted model: predicts from lag and rolling features."""
-
-    def transform(self, df):
-        return df.withColumn("prediction", F.col("views_lag1") * 0.5 + F.col("views_roll5_mean") + F.col("likes_roll3_std"))
+def linear_model(h):
+    """A fitted spark.ml pipeline over three features, and the same formula for pandas rows."""
+    used = ["views_lag1", "views_roll5_mean", "likes_roll3_std"]
+    stages = [VectorAssembler(inputCols=used, outputCol="features"),
+              LinearRegression(featuresCol="features", labelCol="views", regParam=0.1)]
+    model = Pipeline(stages=stages).fit(features.feature_matrix(h))
+    w, b = model.stages[1].coefficients, model.stages[1].intercept
+    return model, lambda row: sum(w[i] * row[c] for i, c in enumerate(used)) + b
 
 
 def test_recursive_forecast_equals_the_full_recompute(spark):
     h = history(spark, {"long": 23, "edge": 6, "seven": 7}, shuffle_times=True)
     as_of = F.lit(dt.datetime(2027, 1, 1)).cast("timestamp")
-    got = forecast.model_forecast(h, LastValue(), as_of, steps=4).toPandas()
+    model, formula = linear_model(h)
+    got = forecast.model_forecast(h, model, as_of, steps=3).toPandas()
     flat = features.flatten(h).toPandas().sort_values(["published_at", "post_id"])
     for ch, part in flat.groupby("channel_id"):
         part = part.drop(columns=["published_at", "channel_id"]).reset_index(drop=True)
-        for step in range(1, 5):
-            f = pandas_features(part).iloc[-1]
-            v = f.views_lag1 * 0.5 + f.views_roll5_mean + f.likes_roll3_std
+        for step in range(1, 4):
+            v = formula(pandas_features(part).iloc[-1])
             seen = part[part.views > 0]
             l, c = v * (seen.likes / seen.views).mean(), v * (seen.comments / seen.views).mean()
             row = got[(got.channel_id == ch) & (got.step == step)].iloc[0]

@@ -67,7 +67,8 @@ GAP = "CASE WHEN yt_n > 0 AND rd_n > 0 THEN round(yt_positive - rd_positive, 2)
 
 
 def delay(pub: str, first: str) -> str:
-    return f"greatest(0.0, round((epoch_us({first}) - epoch_us({pub})) / 1000000.0 / 3600.0, 1))"
+    hours = f"greatest(0.0, round((epoch_us({first}) - epoch_us({pub})) / 1000000.0 / 3600.0, 1))"
+    return f"CASE WHEN {pub} IS NOT NULL AND {first} IS NOT NULL THEN {hours} END"
 
 
 def speed(d: str, first: str, undated: str) -> str:

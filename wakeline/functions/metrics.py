@@ -34,7 +34,8 @@ def engagement_index(platform: Column, stats: Column) -> Column:
 def delay_hours(published: Column, first_shared: Column) -> Column:
     """Hours from publication to the first share, one decimal, never negative."""
     micros = F.unix_micros(first_shared.cast("timestamp")) - F.unix_micros(published.cast("timestamp"))
-    return F.greatest(F.lit(0.0), round_to(micros / 1_000_000 / 3600.0, 1))
+    # greatest() skips NULL, so an unknown time has to be kept out of it.
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0.0), round_to(micros / 1_000_000 / 3600.0, 1)))
 
 
 def delay_class(delay: Column, first_shared: Column, undated: str) -> Column:
