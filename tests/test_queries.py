@@ -16,7 +16,7 @@ def con():
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(entry.queries())
-    assert set(entry.queries()) - set(SQL) <= {"tfidf_match", "model_forecast", "growth_model"}
+    assert set(entry.queries()) - set(SQL) <= {"model_forecast", "growth_model"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -180,7 +180,7 @@ view("videos", f"""
 SELECT 'v' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS video_id,
  p_name || ' ' || lower(p_type) || ' [take ' || {letters('p_partkey')} || ']' AS title,
  'studio ' || {letters('p_partkey')} AS channel_title, lower(p_brand) AS channel_id,
- string_split(p_name, ' ') AS tags,
+ string_split(p_name, ' ') AS tags, 'A ' || p_name || ' of ' || p_brand AS description,
  CAST(floor(p_retailprice * 1000) AS BIGINT) AS views, CAST(p_size * 100 AS BIGINT) AS likes,
  CAST(p_size * 7 AS BIGINT) AS comment_count,
  make_timestamp((1703980800 + p_partkey * 7200) * 1000000) AS published_at, p_partkey AS video_no
@@ -441,6 +441,30 @@ SELECT k AS video_no, CASE WHEN bool_or(u) AND bool_or(NOT u) THEN 'hybrid' WHEN
  SELECT vec_id % 25 AS k, true AS u, 1.0::DOUBLE AS s FROM embeddings WHERE label < 5
  UNION ALL SELECT vid % 50, false, round(s, 4) FROM sem_best WHERE s >= 0.2) GROUP BY 1""", "sem_best")
 
+view("url_free", f"""
+SELECT platform_id, {strip(f"regexp_replace(regexp_replace(body, 'https?://[^{WS}]+|www\\.[^{WS}]+', ' ', 'g'), '[{WS}]+', ' ', 'g')")} AS t,
+ regexp_extract_all(body, '{URL_RE}', 1) AS ids FROM comments""", "comments")
+
+# TF-IDF over the joint corpus, then the best video of each comment.
+view("corpus", f"""
+SELECT 'd' AS side, platform_id AS id, t FROM url_free WHERE length(t) >= 15 AND len(ids) = 0
+ AND platform_id IN (SELECT platform_id FROM comments WHERE platform = 'reddit')
+UNION ALL SELECT 'v', video_id, title || '. ' || substr(description, 1, 300) FROM videos""", "url_free", "comments", "videos")
+view("corpus_tf", f"""
+SELECT side, id, term, count(*) AS tf FROM (
+ SELECT side, id, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM corpus)
+WHERE term NOT IN ({words_in(V.TREND_STOP_WORDS)}) GROUP BY ALL""", "corpus")
+view("vocabulary", "SELECT term, count(*) AS df FROM corpus_tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 384", "corpus_tf")
+view("weights", """
+SELECT side, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS u FROM (
+ SELECT side, id, term, tf * (ln((1 + (SELECT count(*) FROM corpus)) / (1 + df)) + 1) AS w FROM corpus_tf JOIN vocabulary USING (term))""",
+     "corpus", "corpus_tf", "vocabulary")
+add("tfidf_match", """
+SELECT platform_id, video_id, 'semantic' AS match_type, round(s, 4) AS similarity_score FROM (
+ SELECT *, row_number() OVER (PARTITION BY platform_id ORDER BY s DESC, video_id) AS r FROM (
+  SELECT d.id AS platform_id, v.id AS video_id, round(least(sum(d.u * v.u), 1.0), 9) AS s
+  FROM weights d JOIN weights v USING (term) WHERE d.side = 'd' AND v.side = 'v' GROUP BY 1, 2)) WHERE r = 1 AND s >= 0.1""", "weights")
+
 # --- sentiment -----------------------------------------------------------------------
 
 view("tally", f"""
@@ -821,9 +845,6 @@ add("validate_ids", """
 SELECT doc_id, n_chars % 4 = 2 AS is_channel,
  CASE WHEN length(regexp_replace(substr(md5(text), 1, 8) || ', ' || substr(source, 1, 3) || '!', '[^A-Za-z0-9_\\-]', '', 'g')) = 11
   THEN substr(md5(text), 1, 8) || substr(source, 1, 3) END AS raw_id, length(text) BETWEEN 3 AND 1000 AS is_question FROM documents""")
-view("url_free", f"""
-SELECT platform_id, {strip(f"regexp_replace(regexp_replace(body, 'https?://[^{WS}]+|www\\.[^{WS}]+', ' ', 'g'), '[{WS}]+', ' ', 'g')")} AS t,
- regexp_extract_all(body, '{URL_RE}', 1) AS ids FROM comments""", "comments")
 add("url_clean", f"""
 SELECT platform_id, sha256(t) AS clean_sha, length(t) AS n, array_to_string({ordered_distinct('ids')}, '|') AS ids, substr(t, 1, 20) AS head FROM url_free""",
     "url_free")

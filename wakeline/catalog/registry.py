@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_to
+from .. import fixed_values as V
 from ..functions import metrics as mx
 from ..functions import sentiment as sx
 from ..functions import text as tx
@@ -218,7 +219,9 @@ def semantic_best_match(spark, sf):
 @query
 def tfidf_match(spark, sf):
     c = D.comments(spark, sf).where(F.col("platform") == "reddit")
-    return semantic.tfidf_match(linking.without_url(c), D.videos(spark, sf), threshold=0.3)
+    return semantic.tfidf_match(
+        linking.without_url(c), D.videos(spark, sf), threshold=0.1, stop_words=V.TREND_STOP_WORDS
+    )
 
 
 # --- sentiment -----------------------------------------------------------------

@@ -214,11 +214,13 @@ def tfidf_vectors(
     return vectors(discussions, "platform_id"), vectors(videos, "video_id")
 
 
-def tfidf_match(comments: DataFrame, videos: DataFrame, threshold: float = V.SEMANTIC_THRESHOLD) -> DataFrame:
+def tfidf_match(
+    comments: DataFrame, videos: DataFrame, threshold: float = V.SEMANTIC_THRESHOLD, stop_words: list[str] | None = None
+) -> DataFrame:
     """Match comments to videos by text alone (``video_id, title, description``)."""
     d = discussion_texts(comments).select("platform_id", F.col("clean_text").alias("text"))
     v = videos.select(
         "video_id", video_text(F.col("title"), F.col("description"), F.col("video_id")).alias("text")
     )
-    left, right = tfidf_vectors(d, v)
+    left, right = tfidf_vectors(d, v, stop_words=stop_words)
     return best_match(left, right, threshold)
