@@ -836,6 +836,17 @@ SELECT 'reddit' AS platform, 'c' || doc_id AS platform_id, lower(source) AS pare
  {ts('make_timestamp((1704067200 + doc_id * 3600) * 1000000)')} AS published_at, sha256(text) AS body_sha
 FROM documents WHERE doc_id % 8 > 1 AND text NOT IN ('', '[deleted]', '[removed]')""")
 
+add("normalise_channel_json", """
+SELECT 'UC' || c_custkey AS channel_id, c_name AS display_name, '' AS description,
+ CAST(CASE WHEN c_acctbal > 0 THEN floor(c_acctbal) ELSE 0 END AS BIGINT) AS subscriber_count, 0::BIGINT AS views FROM customer""")
+add("normalise_listing_json", """
+SELECT p_partkey, 'v' || p_partkey AS video_id, p_name AS title, '2026-01-01 00:00:00' AS published_at, p_brand AS next_page_token,
+ CAST(p_size AS BIGINT) AS total_results FROM part""")
+add("account_list", f"SELECT platform_id, display_name, {ts('updated_at')} AS updated_at FROM accounts WHERE platform = 'reddit'", "accounts")
+add("video_facts", f"""
+SELECT video_id, CASE WHEN likes > 1000 THEN 'S ' || title ELSE title END AS title, CASE WHEN likes > 2000 THEN views + 1 ELSE views END AS views,
+ CASE WHEN likes > 3000 THEN likes + 1 ELSE likes END AS likes, comment_count, {ts('published_at')} AS published_at FROM videos""", "videos")
+
 # --- text and ids ---------------------------------------------------------------------------------
 
 view("names", """

@@ -790,6 +790,55 @@ def normalise_reddit_comment_json(spark, sf):
     )
 
 
+@query
+def normalise_channel_json(spark, sf):
+    c = D.table(spark, sf, "customer")
+    raw = c.select(F.to_json(F.struct(F.array(F.struct(
+        F.concat(F.lit("UC"), F.col("c_custkey").cast("string")).alias("id"),
+        F.struct(F.col("c_name").alias("title")).alias("snippet"),
+        F.struct(F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("string")).alias("subscriberCount"))
+        .alias("statistics"),
+    )).alias("items"))).alias("json"))
+    return payload_source.channels(raw).select("channel_id", "display_name", "description", "subscriber_count", "views")
+
+
+@query
+def normalise_listing_json(spark, sf):
+    p = D.table(spark, sf, "part")
+    hit = F.struct(
+        F.struct(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("videoId")).alias("id"),
+        F.struct(F.col("p_name").alias("title"), F.lit("2026-01-01T00:00:00Z").alias("publishedAt")).alias("snippet"),
+    )
+    raw = p.select("p_partkey", F.to_json(F.struct(
+        F.col("p_brand").alias("nextPageToken"), F.struct(F.col("p_size").alias("totalResults")).alias("pageInfo"),
+        F.array(hit).alias("items"),
+    )).alias("json"))
+    return payload_source.video_listing(raw, keep=("p_partkey",)).select(
+        "p_partkey", "video_id", "title", ts("published_at"), "next_page_token", "total_results"
+    )
+
+
+@query
+def account_list(spark, sf):
+    out = table_source.scan_accounts(D.accounts(spark, sf), "reddit", newest_first=True)
+    return out.select("platform_id", "display_name", ts("updated_at"))
+
+
+@query
+def video_facts(spark, sf):
+    """Stored snapshots first, the fresh listing second; small counters are missing in the snapshots."""
+    v = D.videos(spark, sf)
+    snap = v.select(
+        F.col("video_id").alias("platform_id"), F.when(F.col("likes") > 1000, F.concat(F.lit("S "), "title")).alias("title"),
+        F.struct(
+            F.when(F.col("likes") > 2000, F.col("views") + 1).otherwise(0).alias("views"),
+            F.when(F.col("likes") > 3000, F.col("likes") + 1).alias("likes"), F.col("comment_count"),
+        ).alias("stats"),
+        F.col("published_at").alias("ingested_at"),
+    )
+    return linking.video_facts(snap, v).select("video_id", "title", "views", "likes", "comment_count", ts("published_at"))
+
+
 # --- text and ids --------------------------------------------------------------
 
 @query

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..session import inline_table
-from .features import last_posts  # noqa: F401  (re-exported for callers that build histories)
 from .ranking import top_per_group
 
 CATEGORIES = [row[0] for row in V.CATEGORY_PRIORS]

@@ -1,4 +1,4 @@
-"""Session helpers: SQL settings, the shared folder, size-checked broadcasts and inline tables."""
+"""Session helpers: SQL settings, the shared folder, size checks and inline tables."""
 
 from __future__ import annotations
 
@@ -59,11 +59,6 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a row check; beyond it the join is left to Spark (sort-merge + AQE)."""
-    return F.broadcast(df) if at_most(df, rows) else df
-
-
 def _literal(value) -> str:
     if value is None:
         return "NULL"
