@@ -54,6 +54,46 @@ def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+class Workspace:
+    """Owner of the tables one computation writes to the shared folder.
+
+    ``save`` computes a table once and reads it back, ``drop`` removes one that nothing reads any more. Used as
+    a context manager it removes the whole folder at the end; leave it open while a result still reads from it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "work"):
+        self.spark, self.folder, self._n = spark, scratch_path(spark, name), 0
+
+    def path(self, name: str) -> str:
+        self._n += 1
+        return os.path.join(self.folder, f"{self._n}-{name}")
+
+    def save(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._workspace_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        remove(self.spark, df._workspace_path)
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows, without counting beyond that."""
     return df.limit(rows + 1).count() <= rows
