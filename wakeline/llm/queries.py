@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from ..session import Workspace
+from . import bpe, simhash, spans, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +34,73 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# Rules on (host, path) of a url, by which the contract of op7 decides before the list does.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the pages that were seen with a tracking parameter; their plain twins are blocked too."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.col("url").contains("utm_source=")).select("url")
+    return urls.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_sql() -> str:
+    rest = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    fits = " UNION ALL ".join(
+        f"SELECT '{host}{path}' AS rule, '{host}' AS rule_host, '{path}' AS rule_path, '{act}' AS act"
+        for host, path, act in URL_RULES)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH rules AS ({fits}),
+    cut AS (SELECT page_id, url, {rest} AS rest FROM pages),
+    parts AS (
+      SELECT page_id, url, {lower.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+             regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path,
+             regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query
+      FROM cut),
+    canonical AS (
+      SELECT page_id, url, host, path,
+             CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)[.]', '') || rtrim(path, '/') ||
+             array_to_string(list_transform(list_sort(list_filter(string_split(query, '&'),
+               lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), lambda x: '?' || x), '') END AS canonical
+      FROM parts),
+    listed AS (SELECT DISTINCT canonical FROM canonical WHERE contains(url, 'utm_source=') AND canonical IS NOT NULL),
+    fitting AS (
+      SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(act, length(rule)) AS act
+      FROM canonical, rules
+      WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      GROUP BY page_id)
+    SELECT c.page_id, c.host, c.path, f.rule,
+           coalesce(f.act, CASE WHEN l.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+    FROM canonical c LEFT JOIN fitting f ON c.page_id = f.page_id LEFT JOIN listed l ON c.canonical = l.canonical
+    """
+
+
+SQL["op7_url_filter"] = _url_sql()
+
+
+@query
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.deduplicate(docs)
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), Workspace(spark, "toxicity"))
+    return model.score(docs).select(
+        "doc_id", (toxicity.fold() == 2).alias("held_out"), "score", "predicted")
