@@ -136,7 +136,6 @@ def _join_tries(keys: np.ndarray, pairs: np.ndarray, budget: int, parent: np.nda
         bit = np.uint64(1) << (63 - p[:, 5]).astype(np.uint64)
         split_a = _cut(keys, p[:, 0], p[:, 1], bit)
         split_b = np.where(same, split_a, _cut(keys, p[:, 2], p[:, 3], bit))
-        del first, last, across, skip
         nxt = p[:, 5] + 1
         out = []
         for (l0, l1), (r0, r1), more in (
@@ -245,9 +244,10 @@ def links(work: Workspace, leaves: DataFrame, budget: int = 3, blocks: int | Non
         lower = child.select("trie", F.col("up").alias("left"), F.col("node").alias("l"), F.col("count").alias("nl"))
         upper = child.select("trie", F.col("up").alias("right"), F.col("node").alias("r"), F.col("count").alias("nr"))
         depth += width
+        new = F.lit((1 << width) - 1)  # bits of this step; the ones before are counted in err
         pairs = (large.join(lower, ["trie", "left"]).join(upper, ["trie", "right"])
                  .filter((F.col("left") != F.col("right")) | (F.col("l") <= F.col("r")))
-                 .withColumn("err", F.col("err") + F.bit_count(F.col("l").bitwiseXOR(F.col("r"))))
+                 .withColumn("err", F.col("err") + F.bit_count(F.col("l").bitwiseXOR(F.col("r")).bitwiseAND(new)))
                  .filter(F.col("err") <= budget)
                  .select("trie", F.col("l").alias("left"), F.col("r").alias("right"), "err",
                          F.lit(depth).alias("depth"), F.col("nl").alias("n_left"), F.col("nr").alias("n_right"))
