@@ -6,9 +6,9 @@ frees goes to shared lower orders, whose continuation counts come from the words
 An expression that the labelled texts hold rarely, such as an unseen ending of a known stem, is thereby smoothed
 alike in both models and moves their ratio only as far as its known part does.
 
-A text is compared by its toxic and ordinary log-likelihoods, normalised by its number of words, over the whole
-text, over its most toxic window of ``WINDOW`` words and over its most toxic word. A logistic curve turns these
-into a score. Its few coefficients are fitted on labelled rows that the models have not seen (``calibration``
+A text is compared by its toxic and ordinary log-likelihoods, normalised by its number of words: as they are, and
+counting only what words exceed ``EXCESS`` by. The log ratios of its three most toxic words and its length come
+beside them. A logistic curve turns these into a score. Its few coefficients are fitted on labelled rows that the models have not seen (``calibration``
 fold), on at most ``CALIBRATION_ROWS`` of them in an order by hash.
 
 The model that reaches the workers is one float per slot of a hash table of ``SLOTS`` slots, so it never exceeds
@@ -38,16 +38,16 @@ from pyspark.sql import types as T
 from ..session import Workspace
 from .bpe import _slices
 
-CONTEXT = 5
+CONTEXT = 7
 BACKOFF = (3, 1, 0)  # context lengths of the shared lower orders
 DISCOUNT = 0.75
-WINDOW = 12
+EXCESS = 2.0
 SLOTS = 1 << 22
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
-FEATURES = ("mean", "window", "word", "length")
+FEATURES = ("mean", "excess", "word1", "word2", "word3", "length")
 
 
 def _word_counts(df: DataFrame) -> DataFrame:
@@ -173,14 +173,15 @@ class WordRatios(dict):
         return total
 
 
-def features(text: str, ratios: WordRatios) -> tuple[float, float, float, float]:
+def features(text: str, ratios: WordRatios) -> tuple[float, ...]:
     words = _WORD.findall(text.lower())
     if not words:
-        return 0.0, 0.0, 0.0, 0.0
+        return (0.0,) * len(FEATURES)
     r = np.fromiter(map(ratios.__getitem__, words), np.float64, len(words))
-    run = np.concatenate(([0.0], np.cumsum(r)))
-    w = min(WINDOW, len(r))
-    return float(run[-1] / len(r)), float((run[w:] - run[:-w]).max() / w), float(r.max()), math.log1p(len(r))
+    top = [0.0] * 3
+    best = np.sort(np.partition(r, len(r) - min(3, len(r)))[-3:])[::-1]
+    top[:len(best)] = best.tolist()
+    return float(r.mean()), float(np.maximum(r - EXCESS, 0).mean()), *top, math.log1p(len(r))
 
 
 def _with_features(df: DataFrame, table) -> DataFrame:
