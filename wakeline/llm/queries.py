@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from . import bpe, simhash, spans, toxicity, urls
+from . import bpe, mixing, pii, simhash, spans, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +104,74 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), Workspace(spark, "toxicity"))
     return model.score(docs).select(
         "doc_id", (toxicity.fold() == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+MIX_ENTROPY, MIX_REPETITION, MIX_SEED = 0.998, 2.5, 7
+
+
+@query
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, MIX_ENTROPY, MIX_REPETITION, seed=MIX_SEED)
+    return mixed.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"), "copies")
+
+
+SQL["op5_temperature_mix"] = f"""
+    WITH RECURSIVE tok AS (
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS tokens FROM documents),
+    sums AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM tok GROUP BY source),
+    shares AS (
+      SELECT list_sort(list(tokens::DOUBLE / (SELECT sum(tokens) FROM sums))) AS p, max(tokens)::DOUBLE AS largest
+      FROM sums WHERE tokens > 0),
+    cool AS (
+      SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+      UNION ALL
+      SELECT i + 1, CASE WHEN bad THEN mid ELSE lo END, CASE WHEN bad THEN hi ELSE mid END
+      FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+                   ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))))
+                   - (lo + hi) / 2 * list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(x)))
+                     / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))
+                   > {MIX_ENTROPY} * ln(len(p)) AS bad
+            FROM cool, shares WHERE i < 60)),
+    repeat AS (
+      SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+      UNION ALL
+      SELECT i + 1, CASE WHEN bad THEN mid ELSE lo END, CASE WHEN bad THEN hi ELSE mid END
+      FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(p[1] / p[-1], (lo + hi) / 2 - 1) > {MIX_REPETITION} AS bad
+            FROM repeat, shares WHERE i < 60)),
+    exponent AS (
+      SELECT p, largest, greatest(
+        CASE WHEN ln(len(p)) > {MIX_ENTROPY} * ln(len(p)) THEN (SELECT hi FROM cool WHERE i = 60) ELSE 0 END,
+        least(1.0, CASE WHEN p[-1] / p[1] > {MIX_REPETITION} THEN (SELECT hi FROM repeat WHERE i = 60) ELSE 0 END)) AS a
+      FROM shares),
+    norm AS (SELECT a, p[-1] AS most, largest, list_sum(list_transform(p, lambda x: pow(x, a))) AS z FROM exponent),
+    target AS (
+      SELECT source, tokens,
+             CAST(round(pow(tokens / (largest / most), a) / z
+               * (SELECT max(tokens * z / pow(tokens / (largest / most), a)) FROM sums, norm WHERE tokens > 0)) AS BIGINT) AS target
+      FROM sums, norm),
+    epochs AS (
+      SELECT source, CASE WHEN tokens > 0 THEN target // tokens ELSE 1 END AS epochs,
+             CASE WHEN tokens > 0 THEN target - target // tokens * tokens ELSE 0 END AS rest
+      FROM target),
+    keyed AS (
+      SELECT tok.*, epochs, rest,
+             substr(md5('{MIX_SEED}:' || epochs || ':' || substr(md5('{MIX_SEED}:block:' || doc_id), 1, 2)), 1, 3)
+             || md5('{MIX_SEED}:' || epochs || ':' || doc_id) AS key
+      FROM tok JOIN epochs ON tok.source IS NOT DISTINCT FROM epochs.source),
+    placed AS (
+      SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY key
+                                           GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM keyed)
+    SELECT doc_id, source, tokens, epochs + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END AS copies FROM placed
+"""
