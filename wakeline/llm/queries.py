@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from . import bpe, mixing, pii, simhash, spans, toxicity, urls
+from . import ann, bpe, mixing, pii, simhash, spans, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,3 +175,17 @@ SQL["op5_temperature_mix"] = f"""
       FROM keyed)
     SELECT doc_id, source, tokens, epochs + CASE WHEN rest > 0 AND before < rest THEN 1 ELSE 0 END AS copies FROM placed
 """
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "warc")
+    path = work.path("archives")
+    warc.write(read(spark, sf_dir, "pages"), path, work, "page_id", "url", "html")
+    history = warc.index(warc.read(spark, path), work)
+    return history.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
