@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from . import ann, bpe, mixing, pii, simhash, spans, toxicity, urls, warc
+from . import ann, bpe, mixing, nndescent, pii, simhash, spans, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,3 +189,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(read(spark, sf_dir, "embeddings"))
