@@ -24,20 +24,43 @@ def test_fingerprint_columns(spark):
     assert c["creator_variants"] == [] and c["topic_words"] == []
 
 
-def brute(text, fp):
-    t = text.lower()
-    if fp["video_id"].lower() in t:
-        return ("url", 1.0)
-    safe = [x for x in fp["creator_variants"] if " " in x or len(x) >= 5]
-    if not any(x in t for x in safe):
-        return None
-    if any(p.lower() in t for p in fp["distinctive_phrases"]):
-        return ("phrase_match", 0.9)
-    words = fp["topic_words"]
-    hit = [w for w in words if w in t]
-    if len(words) < 3 or len(hit) < 3 or len(hit) / len(words) < 0.6:
-        return None
-    return ("title_match", round(min(0.80 + 0.05 * (len(hit) - 3), 0.95), 3))
+PRINT = ("vid00000001", ["mark rober", "mark", "robert"], ["Glitter Bomb"], ["package", "thief", "maze", "backyard", "bomb"])
+
+
+@pytest.mark.parametrize("text, want", [
+    ("see VID00000001 now", ("url", 1.0)),
+    ("xvid00000001x", ("url", 1.0)),
+    ("mark rober glitter bomb", ("phrase_match", 0.9)),
+    ("robertson: the GLITTER BOMBS", ("phrase_match", 0.9)),  # names and phrases match inside words
+    ("mark made a glitter bomb", None),  # a short single name proves nothing
+    ("glitter bomb", None),
+    ("mark rober package thief maze", ("title_match", 0.8)),  # three of five words
+    ("mark rober package thief backyard mazes", ("title_match", 0.85)),
+    ("mark rober package thief backyard maze bomb", ("title_match", 0.9)),
+    ("mark rober package thief", None),
+    ("package thief maze backyard", None),
+    ("", None),
+])
+def test_evidence(spark, text, want):
+    schema = "video_id string, creator_variants array<string>, distinctive_phrases array<string>, topic_words array<string>"
+    row = spark.createDataFrame([PRINT], schema).select(
+        fingerprint.evidence(F.lower(F.lit(text)), F.struct("*")).alias("e")).first()["e"]
+    assert (tuple(row) if row else None) == want
+
+
+def test_shared_names_make_no_useless_pairs(spark):
+    """One name that all share and common title words: candidate pairs stay near the results."""
+    tested = []
+    for n in (60, 120):
+        v = spark.createDataFrame([(f"vid{i:08d}", f"gameplay walkthrough number {'abcdefghij'[i % 10]}{i:05d}", "gaming", [], None) for i in range(n)],
+                                  "video_id string, title string, channel_title string, tags array<string>, published_at timestamp")
+        posts = spark.createDataFrame([(f"p{i}", f"I like gaming gameplay walkthrough {i}") for i in range(n)], "post_id string, text string")
+        found = fingerprint.verify(posts, fingerprint.fingerprints(v))
+        assert found.count() == 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        tested.append(plan.count("CartesianProduct") + plan.count("BroadcastNestedLoopJoin"))
+        assert fingerprint.candidate_pairs(posts, fingerprint.fingerprints(v)).count() == 0
+    assert tested == [0, 0]
 
 
 def test_evidence_equals_the_nested_loop(spark):
@@ -54,8 +77,10 @@ def test_evidence_equals_the_nested_loop(spark):
     prints = fingerprint.fingerprints(v)
     got = {(r["post_id"], r["video_id"]): (r["match_type"], r["similarity_score"]) for r in
            fingerprint.verify(spark.createDataFrame(texts, "post_id string, text string"), prints).collect()}
-    fps = [r.asDict() for r in prints.collect()]
-    want = {(p, fp["video_id"]): e for p, t in texts for fp in fps if (e := brute(t, fp))}
+    fp = F.struct(*[F.col(c) for c in ("video_id", "creator_variants", "distinctive_phrases", "topic_words")])
+    every = spark.createDataFrame(texts, "post_id string, text string").crossJoin(prints)
+    rows = every.select("post_id", "video_id", fingerprint.evidence(F.lower("text"), fp).alias("e")).where("e IS NOT NULL")
+    want = {(r["post_id"], r["video_id"]): tuple(r["e"]) for r in rows.collect()}
     assert {e[0] for e in want.values()} == {"url", "phrase_match", "title_match"}
     assert got == want
 
@@ -91,6 +116,12 @@ def test_best_match_equals_numpy(spark, plan):
     d = spark.createDataFrame([(f"d{i:02d}", v.tolist()) for i, v in enumerate(q)], "platform_id string, embedding array<float>")
     k = spark.createDataFrame([(f"v{i:02d}", v.tolist()) for i, v in enumerate(c)], "video_id string, embedding array<float>")
     got = {r["platform_id"]: (r["video_id"], r["similarity_score"]) for r in semantic.best_match(d, k, 0.3, **plan).collect()}
+    # Unusable vectors take no part; rows of one key count together.
+    d = d.union(spark.createDataFrame([("n1", None), ("n2", [1.0, 2.0]), ("n3", [None] * 16), ("d01", c[7].tolist())], d.schema))
+    k = k.union(spark.createDataFrame([("v90", None), ("v91", [1.0])], k.schema))
+    got = {r["platform_id"]: (r["video_id"], r["similarity_score"]) for r in semantic.best_match(d, k, 0.3, **plan).collect()}
+    assert got.pop("d01") == ("v07", 1.0)
+    q[1] = 0
     s = np.round(np.clip(q.astype(float) @ c.T.astype(float), 0, 1), 9)
     want = {f"d{i:02d}": (f"v{s[i].argmax():02d}", round(float(s[i].max()), 4)) for i in range(60) if s[i].max() >= 0.3}
     assert got.keys() == want.keys() and got["d00"][0] == "v04"

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -26,30 +27,33 @@ def history(spark, sizes, base=300.0, category=None, shuffle_times=False):
     return spark.createDataFrame(rows, POST_HISTORY)
 
 
-def pandas_features(pdf):
-    """The feature recipe on one channel, in pandas."""
-    df = pdf.copy()
-    cols = list(features.LAGGED)
-    for k in range(1, 6):
-        for c in cols:
-            df[f"{c}_lag{k}"] = df[c].shift(k)
-    df = df.dropna() if len(df) > 5 else df.bfill().fillna(0.0)
-    df = df.reset_index(drop=True)
-    for w in V.ROLLING_WINDOWS:
-        for c in V.ENGAGEMENT_METRICS:
-            r = df[c].rolling(w, min_periods=1)
-            df[f"{c}_roll{w}_mean"], df[f"{c}_roll{w}_std"] = r.mean(), r.std().fillna(0)
-    return df
+def window_features(flat):
+    """Lags and rolling measures as plain SQL windows over whole channels.
+
+    Long channels lose the rows without five predecessors; in short ones a missing lag takes the channel's first
+    value, or zero where the channel has no such lag at all.
+    """
+    order = "(PARTITION BY channel_id ORDER BY published_at, post_id)"
+    lags = ", ".join(
+        f"CASE WHEN pos >= {k} THEN lag({c}, {k}) OVER {order} WHEN n > {k} THEN first_value({c}) OVER {order} ELSE 0 END AS {c}_lag{k}"
+        for k in range(1, 6) for c in features.LAGGED)
+    frame = "(PARTITION BY channel_id ORDER BY pos ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    rolls = ", ".join(
+        f"avg({c}) OVER {frame.format(w - 1)} AS {c}_roll{w}_mean, "
+        f"coalesce(stddev_samp({c}) OVER {frame.format(w - 1)}, 0) AS {c}_roll{w}_std"
+        for w in V.ROLLING_WINDOWS for c in V.ENGAGEMENT_METRICS)
+    return duckdb.sql(f"""
+        WITH placed AS (SELECT *, row_number() OVER {order} - 1 AS pos, count(*) OVER (PARTITION BY channel_id) AS n FROM flat),
+        lagged AS (SELECT *, {lags} FROM placed)
+        SELECT *, {rolls} FROM lagged WHERE n <= 5 OR pos >= 5 ORDER BY channel_id, pos""").df()
 
 
 @pytest.mark.parametrize("chunk, bucket", [(50_000, 86_400), (7, 86_400), (6, 3 * 86_400)])
-def test_features_equal_pandas(spark, chunk, bucket):
+def test_features_equal_sql_windows(spark, chunk, bucket):
     # One channel holds most rows; short channels take the back-fill path.
     h = history(spark, {"hot": 60, "six": 6, "five": 5, "two": 2, "one": 1}, shuffle_times=True)
     got = features.feature_matrix(h, chunk, bucket).toPandas()
-    flat = features.flatten(h).toPandas().sort_values(["published_at", "post_id"])
-    for ch, part in flat.groupby("channel_id"):
-        want = pandas_features(part.drop(columns=["published_at", "channel_id"]))
+    for ch, want in window_features(features.flatten(h).toPandas()).groupby("channel_id"):
         mine = got[got.channel_id == ch].sort_values("position")
         assert list(mine.post_id) == list(want.post_id)
         for c in [*features.LAGGED, *features.LAG_COLUMNS, *features.ROLLING_COLUMNS]:
@@ -154,15 +158,15 @@ def test_recursive_forecast_equals_the_full_recompute(spark):
     got = forecast.model_forecast(h, model, as_of, steps=3).toPandas()
     flat = features.flatten(h).toPandas().sort_values(["published_at", "post_id"])
     for ch, part in flat.groupby("channel_id"):
-        part = part.drop(columns=["published_at", "channel_id"]).reset_index(drop=True)
+        part = part.reset_index(drop=True)
         for step in range(1, 4):
-            v = formula(pandas_features(part).iloc[-1])
+            v = formula(window_features(part).iloc[-1])
             seen = part[part.views > 0]
             l, c = v * (seen.likes / seen.views).mean(), v * (seen.comments / seen.views).mean()
             row = got[(got.channel_id == ch) & (got.step == step)].iloc[0]
             assert np.allclose([row.predicted_views, row.predicted_likes, row.predicted_comments], [v, l, c], atol=0.06)
             new = dict.fromkeys(part.columns, 0.0) | {
-                "post_id": "z", "views": v, "likes": l, "comments": c, "sentiment_positive": 0.5,
+                "channel_id": ch, "published_at": pd.Timestamp("2027-01-01") + pd.Timedelta(days=step), "post_id": "z", "views": v, "likes": l, "comments": c, "sentiment_positive": 0.5,
                 "sentiment_neutral": 0.4, "sentiment_negative": 0.1}
             part = pd.concat([part, pd.DataFrame([new])], ignore_index=True)
 

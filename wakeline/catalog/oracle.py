@@ -404,6 +404,7 @@ add("accepted_posts", "SELECT video_id, post_id, match_type, similarity_score, s
 
 WORTHY = f"""platform = 'reddit' AND lower(author) NOT IN ('automoderator', '[deleted]')
  AND {strip('body')} NOT IN ('[deleted]', '[removed]') AND length({strip('body')}) >= 5"""
+view("worthy_comments", f"SELECT * FROM comments WHERE {WORTHY}", "comments")
 view("best_comments", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, platform_id) AS comment_rank
  FROM comments WHERE {WORTHY}) WHERE comment_rank <= 10""", "comments")
@@ -411,8 +412,8 @@ view("comment_hits", verified("comments", "platform_id", "body", "platform = 're
 view("discussions", """
 SELECT c.* EXCLUDE (video_id), d.video_id FROM (
  SELECT video_id, platform_id FROM comment_hits
- UNION SELECT a.video_id, b.platform_id FROM accepted a JOIN best_comments b USING (post_id)) d
-JOIN comments c USING (platform_id)""", "comment_hits", "accepted", "best_comments", "comments")
+ UNION SELECT a.video_id, b.platform_id FROM accepted a JOIN worthy_comments b USING (post_id)) d
+JOIN comments c USING (platform_id)""", "comment_hits", "accepted", "worthy_comments", "comments")
 add("video_engagement", engagement("discussions", "accepted"), "discussions", "yt_counts")
 
 add("top_threads", f"""
@@ -519,7 +520,7 @@ SELECT target, sentiment_gap, {SUMMARY} AS summary, {YT_RD} FROM s1""", "tally",
 
 add("effective_sentiment", f"""
 , yl AS (SELECT v.video_id, {counts('c.sentiment_label')} FROM videos v JOIN comments c ON c.video_id = v.video_id
- WHERE c.platform = 'youtube' AND c.sentiment_label IS NOT NULL AND c.like_count > 10 GROUP BY 1),
+ WHERE c.platform = 'youtube' AND c.sentiment_label IS NOT NULL GROUP BY 1),
 rl AS (SELECT video_id, {counts('sentiment_label')} FROM links GROUP BY 1),
 pr AS (SELECT v.video_id, {breakdown('yt', 'y.n', 'y.pos', 'y.neu', 'y.neg')}, {breakdown('rd', 'r.n', 'r.pos', 'r.neu', 'r.neg')}
  FROM videos v LEFT JOIN yl y USING (video_id) LEFT JOIN rl r USING (video_id)),
@@ -536,7 +537,7 @@ SELECT video_id, CASE WHEN hp THEN 'engagement' WHEN hf THEN 'comparison' ELSE '
 _lex = ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in LEXICON)
 view("lexicon", f"SELECT * FROM (VALUES {_lex}) AS t(term, valence)")
 view("lex_words", """
-SELECT platform_id, unnest(string_split_regex(lower(substr(body, 1, 1500)), '[^\\p{L}\\p{N}'']+')) AS term FROM comments""", "comments")
+SELECT platform_id, unnest(string_split_regex(lower(body), '[^\\p{L}\\p{N}'']+')) AS term FROM comments""", "comments")
 view("lex_sums", """
 SELECT platform_id, sum(coalesce(valence, 0)) AS s, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0.0 END) AS p,
  sum(CASE WHEN valence < 0 THEN 1 - valence ELSE 0.0 END) AS g, count_if(w.term <> '' AND coalesce(valence, 0) = 0) AS u,
@@ -779,7 +780,7 @@ add("latest_n", f"SELECT platform, parent_id, platform_id, {ts('ingested_at')} A
 add("top_videos", "SELECT video_id, title, views FROM videos WHERE contains(lower(title), 'ring') ORDER BY views DESC, video_id LIMIT 25", "videos")
 add("table_sorts", """
 SELECT video_id, views AS youtube_views, likes AS total_reddit_shares FROM videos
-WHERE contains(lower(title), 'small') OR contains(lower(channel_title), 'small') ORDER BY views DESC, video_id LIMIT 50""", "videos")
+WHERE contains(lower(title), 'small') OR contains(lower(channel_title), 'small') ORDER BY views DESC, video_id""", "videos")
 add("active_first", """
 SELECT platform_id, display_name FROM accounts WHERE platform = 'youtube'
 ORDER BY CASE WHEN platform_id = 'src7' OR contains(lower(display_name), 'src7') THEN 0 ELSE 1 END, display_name, platform_id LIMIT 6""", "accounts")

@@ -269,7 +269,7 @@ def effective_sentiment(spark, sf):
     reddit = c.where(F.col("platform") == "reddit")
     linked = linking.link_by_url(reddit)
     by_post = sentiment.breakdowns(linked, ("video_id",))
-    yt = linking.youtube_label_counts(c.where(F.col("like_count") > 10), v)
+    yt = linking.youtube_label_counts(c, v)
     yt = yt.select("video_id", sx.breakdown(*(F.col(x) for x in ("n", "pos", "neu", "neg"))).alias("breakdown"))
     primary = sentiment.both_sides(yt, by_post, "video_id")
     every = v.select("video_id").join(primary, "video_id", "left")
@@ -608,10 +608,10 @@ def top_videos(spark, sf):
 
 @query
 def table_sorts(spark, sf):
-    """Rank of every video of the engagement table under two of the sorts, with the search filter."""
+    """The engagement table by views, with the search filter."""
     v = ranking.search_videos(D.videos(spark, sf), "small")
     v = v.select("video_id", F.col("views").alias("youtube_views"), F.col("likes").alias("total_reddit_shares"))
-    return ranking.sort_videos(v, "views").limit(50)
+    return ranking.sort_videos(v, "views")
 
 
 @query
@@ -944,8 +944,9 @@ def _comment_stream(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ingest(spark, sf):
     """Comments landed by a stream, de-duplicated and scored once, read back as the current state."""
     log, scores = scratch_path(spark, "log"), scratch_path(spark, "scores")
-    stream = streams.deduplicated(_comment_stream(spark, sf).drop("n_chars"), "36500 days")
-    streams.ingest(stream, log, scratch_path(spark, "cp"), streams.score_into(scores, scorer(spark))).awaitTermination()
+    stream = _comment_stream(spark, sf).drop("n_chars")  # copies meet when the log is read
+    checkpoint = scratch_path(spark, "cp")
+    streams.ingest(stream, log, checkpoint, streams.score_into(scores, scorer(spark), checkpoint)).awaitTermination()
     state = streams.current_comments(spark.read.parquet(log), spark.read.parquet(scores))
     return state.select("platform", "platform_id", "sentiment_label", "sentiment_score", "sentiment_processed")
 

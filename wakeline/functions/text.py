@@ -44,8 +44,17 @@ def canonical_video_id(c: Column) -> Column:
 
 
 def parse_iso(c: Column) -> Column:
-    """ISO-8601 text to a UTC timestamp; text without an offset is UTC, bad text is NULL."""
-    return F.try_to_timestamp(c)
+    """ISO-8601 text to a UTC timestamp; text without an offset is UTC, bad text is NULL.
+
+    A date is complete, in the extended form or in the compact one; a time of day needs a date.
+    """
+    wide = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    wide = F.regexp_replace(wide, r"^(\S{10}[T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3")
+    wide = F.regexp_replace(wide, r"^(\S{10}[T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2")
+    wide = F.regexp_replace(wide, r"^(\S{10}[T ]\d{2})(?=$|[Z+-])", "$1:00")
+    wide = F.regexp_replace(wide, r"(:\d{2}|[.,]\d+)([+-]\d{2})(\d{2})$", "$1$2:$3")
+    shape = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}(?::\d{2})?)?)?$"
+    return F.when(wide.rlike(shape), F.try_to_timestamp(F.translate(wide, ",", ".")))
 
 
 def parse_epoch(c: Column) -> Column:

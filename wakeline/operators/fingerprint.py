@@ -15,7 +15,7 @@ what a match cannot avoid, which turns every tier into hash joins followed by th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_to
@@ -193,34 +193,12 @@ def verify(
 
     A text match needs a creator name and, with it, a phrase or enough title words. So posts are first looked
     up by the key words of names (distinct names, so one shared by many videos costs one lookup), then by
-    (name, key word of a phrase or title word) together. Only pairs that agree on both are tested in full.
+    (name, rarest word of a phrase or of the title) together. Only pairs that agree on both are tested in full.
     """
     by_id = id_matches(posts, prints, key, text).select(
         key, "video_id", F.lit("url").alias("match_type"), F.lit(1.0).alias("similarity_score")
     )
-
-    # What to look for: names, and per video the phrases and its longest title words.
-    named = prints.select("video_id", F.explode(safe_variants(F.col("creator_variants"))).alias("name"))
-    names = named.select("name", _key_word(F.col("name")).alias("part")).distinct()
-    n_words = F.size("topic_words")
-    title_words = F.when(
-        n_words >= 3, F.slice(F.col("topic_words"), F.lit(1), n_words - needed_words(n_words) + 1)
-    ).otherwise(_none())
-    clues = prints.select(
-        "video_id", F.explode(F.array_distinct(F.concat(
-            F.transform(F.col("distinctive_phrases"), _key_word), title_words
-        ))).alias("part"),
-    )
-    looked_for = names.select("part").unionByName(clues.select("part")).distinct()
-
-    # Where it occurs.
-    present = settled(words_with(posts, looked_for, key, text), "present")  # one pass over the texts, used twice
-    mentions = present.join(names, "part").select(key, "name").distinct()
-    by_name = named.join(clues, "video_id").select("name", "part", "video_id").distinct()
-    pairs = (
-        mentions.join(present, key).join(by_name, ["name", "part"]).select(key, "video_id").distinct()
-        .join(by_id.select(key, "video_id"), [key, "video_id"], "left_anti")
-    )
+    pairs = candidate_pairs(posts, prints, key, text).join(by_id.select(key, "video_id"), [key, "video_id"], "left_anti")
 
     # The exact test. Both lookups are on unique keys; AQE splits a hot post or a hot video.
     fp = F.struct(*[F.col(f"p.{c}").alias(c) for c in (
@@ -235,6 +213,34 @@ def verify(
     return by_id.unionByName(tested)
 
 
+def candidate_pairs(posts: DataFrame, prints: DataFrame, key: str = "post_id", text: str = "text") -> DataFrame:
+    """(post, video) pairs in which a name and a rare enough clue of the video occur; no text match is missing."""
+    # What to look for: names, and per video the phrases and its longest title words.
+    named = prints.select("video_id", F.explode(safe_variants(F.col("creator_variants"))).alias("name"))
+    names = named.select("name", _key_word(F.col("name")).alias("part")).distinct()
+    n_words = F.size("topic_words")
+    title = F.when(n_words >= 3, F.array(F.struct(
+        F.lit(-1).alias("clue"), (n_words - needed_words(n_words) + 1).alias("keep"), F.col("topic_words").alias("words"))))
+    phrases = F.transform("distinctive_phrases", lambda p, i: F.struct(
+        i.alias("clue"), F.lit(1).alias("keep"), F.array_distinct(tx.runs(F.lower(p))).alias("words")))
+    groups = prints.select("video_id", F.explode(F.concat(phrases, F.coalesce(title, F.slice(phrases, 1, 0)))).alias("g"))
+    words = groups.select("video_id", "g.clue", "g.keep", F.explode("g.words").alias("part"))
+    looked_for = names.select("part").unionByName(words.select("part")).distinct()
+
+    # Where it occurs. A text with a phrase has all its words, and one with enough title words has one of the
+    # rarest ``keep``: only these are joined, so a pair costs nothing unless its rarest clue is there.
+    present = settled(words_with(posts, looked_for, key, text), "present")  # one pass over the texts, used three times
+    seen = present.groupBy("part").agg(F.count("*").alias("posts"))
+    rarest = Window.partitionBy("video_id", "clue").orderBy(F.coalesce("posts", F.lit(0)), F.desc(F.length("part")), "part")
+    clues = (
+        words.join(seen, "part", "left").withColumn("r", F.row_number().over(rarest))
+        .where((F.col("r") <= F.col("keep")) & F.col("posts").isNotNull()).select("video_id", "part")
+    )
+    mentions = present.join(names, "part").select(key, "name").distinct()
+    by_name = named.join(clues, "video_id").select("name", "part", "video_id").distinct()
+    return mentions.join(present, key).join(by_name, ["name", "part"]).select(key, "video_id").distinct()
+
+
 def post_text(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """Text a post is judged by: URL, body, title, subreddit; image posts add their first ten comments."""
     parts = [F.nullif(F.coalesce(c, F.lit("")), F.lit("")) for c in ("url", "selftext", "title", "subreddit")]

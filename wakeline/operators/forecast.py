@@ -52,6 +52,11 @@ def _field(rows: Column, name: str) -> Column:
     return F.transform(rows, lambda r: r[name])
 
 
+def _squared_deviations(values: Column, mean: Column) -> Column:
+    """Σ (x − mean)²; large counters would cancel in Σx² − n·mean²."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+
+
 def _latest_features() -> list[Column]:
     """Feature columns of the newest post from the state arrays (more than five posts in total)."""
     recent, n = F.col("recent"), F.col("n_posts")
@@ -64,8 +69,7 @@ def _latest_features() -> list[Column]:
         for c in V.ENGAGEMENT_METRICS:
             values = _field(F.slice(recent, -width, width), c)
             mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / width
-            squares = F.aggregate(F.transform(values, lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-            var = F.greatest((squares - width * mean * mean) / (width - 1), F.lit(0.0))
+            var = _squared_deviations(values, mean) / (width - 1)
             cols += [
                 mean.alias(f"{c}_roll{size}_mean"),
                 F.when(width > 1, F.sqrt(var)).otherwise(0.0).alias(f"{c}_roll{size}_std"),

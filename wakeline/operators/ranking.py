@@ -86,9 +86,11 @@ def shared_order(videos: DataFrame, scoped: bool) -> DataFrame:
 
 
 def top_videos_for_topic(videos: DataFrame, topic: str, n: int = 10) -> DataFrame:
-    """Most viewed videos whose title contains the topic (1–25 rows)."""
+    """Most viewed videos whose title contains the topic."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     hit = F.lower(F.coalesce("title", F.lit(""))).contains(topic.lower())
-    return videos.where(hit).orderBy(F.desc(F.coalesce("views", F.lit(0))), "video_id").limit(max(1, min(n, 25)))
+    return videos.where(hit).orderBy(F.desc(F.coalesce("views", F.lit(0))), "video_id").limit(n)
 
 
 def active_first(accounts: DataFrame, active: str | None, n: int = 6) -> DataFrame:

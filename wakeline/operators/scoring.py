@@ -18,14 +18,15 @@ BatchModel = Callable[[list[str]], list[tuple[str, float]]]
 
 
 def lexicon_scores(
-    texts: DataFrame, lexicon: DataFrame, key: str = "text_key", body: str = "body", mode: str = "share"
+    texts: DataFrame, lexicon: DataFrame, key: str = "text_key", body: str = "body", mode: str = "share",
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Score texts against ``lexicon(term, valence)``.
+    """Score texts against ``lexicon(term, valence)``; whole texts, or their first ``max_chars`` characters.
 
     A text's tokens are joined and summed where they are exploded: the partial aggregate reduces every
     text to one row before the shuffle. Blank texts are neutral with score 0.
     """
-    clean = F.lower(tx.truncate(F.col(body), V.SCORING_MAX_CHARS))
+    clean = F.lower(F.col(body) if max_chars is None else tx.truncate(F.col(body), max_chars))
     tokens = texts.select(key, F.explode_outer(F.split(clean, f"[^\\p{{L}}\\p{{N}}']+")).alias("term"))
     hits = tokens.join(lexicon.select("term", F.col("valence").cast("double")), "term", "left")
     v = F.coalesce("valence", F.lit(0.0))
@@ -55,7 +56,8 @@ def lexicon_scores(
 
 
 def model_scores(
-    texts: DataFrame, load_model: Callable[[], BatchModel], key: str = "text_key", body: str = "body", batch: int = 32
+    texts: DataFrame, load_model: Callable[[], BatchModel], key: str = "text_key", body: str = "body", batch: int = 32,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Score texts with an injected model, loaded once per Python worker and fed in Arrow batches."""
     key_type = texts.schema[key].dataType.simpleString()
@@ -63,7 +65,7 @@ def model_scores(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load_model()
         for pdf in frames:
-            bodies = [(b or "")[: V.SCORING_MAX_CHARS] for b in pdf[body]]
+            bodies = [(b or "")[:max_chars] for b in pdf[body]]
             labels, scores = ["neutral"] * len(bodies), [0.0] * len(bodies)
             todo = [i for i, b in enumerate(bodies) if b.strip()]
             for at in range(0, len(todo), batch):

@@ -52,13 +52,6 @@ def discussion_texts(comments: DataFrame) -> DataFrame:
     return out.where(F.length("clean_text") >= V.MIN_SEMANTIC_CHARS)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Dot product of unit vectors clipped to [0, 1], accumulated in doubles."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    dot = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-    return F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0))
-
-
 def _best(queries: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best row of ``matrix`` for every query, a bounded number of scores at a time."""
     at = np.zeros(len(queries), dtype=np.int64)
@@ -79,6 +72,10 @@ def _rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _usable(df: DataFrame, width: int | None) -> DataFrame:
+    return df.where((F.size("embedding") == F.lit(width)) & F.forall("embedding", lambda x: x.isNotNull()))
+
+
 def _match_in_matrix(discussions: DataFrame, candidates: DataFrame, key: str, key_type: str, id_type: str) -> DataFrame:
     rows = candidates.orderBy("video_id").toArrow()  # at most MATRIX_ROWS
     if not rows.num_rows:
@@ -130,8 +127,7 @@ def _match_in_blocks(
     per_cell = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
         cell, f"{key} {key_type}, video_id {id_type}, similarity double"
     )
-    best = F.min_by(F.struct("video_id", "similarity"), F.struct(-F.col("similarity"), F.col("video_id")))
-    return per_cell.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    return per_cell
 
 
 def best_match(
@@ -145,16 +141,21 @@ def best_match(
 ) -> DataFrame:
     """The most similar candidate of each discussion, kept at or above ``threshold``.
 
-    ``discussions(key, embedding)``, ``candidates(video_id, embedding)`` with unit vectors. Ties go to the
-    smallest video id. Scores are rounded to four decimals after the threshold test.
+    ``discussions(key, embedding)``, ``candidates(video_id, embedding)`` with unit vectors; both plans give one
+    row per key, the best over all rows of that key. Vectors that are NULL, hold NULL, or differ in length from
+    most candidates take no part. Ties go to the smallest video id. Scores are rounded to four decimals after the threshold test.
     """
     key_type = discussions.schema[key].dataType.simpleString()
     id_type = candidates.schema["video_id"].dataType.simpleString()
-    candidates = candidates.select("video_id", "embedding")
+    width = candidates.agg(F.mode(F.size("embedding"))).first()[0]
+    candidates = _usable(candidates.select("video_id", "embedding"), width)
+    discussions = _usable(discussions.select(key, "embedding"), width)
     if at_most(candidates, matrix_rows):
         found = _match_in_matrix(discussions, candidates, key, key_type, id_type)
     else:
         found = _match_in_blocks(discussions, candidates, key, key_type, id_type, block_rows, slice_rows)
+    best = F.min_by(F.struct("video_id", "similarity"), F.struct(-F.col("similarity"), F.col("video_id")))
+    found = found.groupBy(key).agg(best.alias("b")).select(key, "b.*")
     return found.where(F.col("similarity") >= threshold).select(
         key, "video_id", F.lit("semantic").alias("match_type"), round_to("similarity", 4).alias("similarity_score")
     )

@@ -15,18 +15,21 @@ TOP_COMMENTS = 10
 TOP_THREADS = 10
 
 
-def best_comments(comments: DataFrame, n: int = TOP_COMMENTS) -> DataFrame:
+def best_comments(comments: DataFrame, n: int | None = TOP_COMMENTS) -> DataFrame:
     """The ``n`` highest scored worthy comments of each post."""
     worthy = comments.where(
         (F.col("platform") == "reddit") & tx.is_worthy_comment(F.col("author"), F.col("body"))
     )
+    if n is None:
+        return worthy
     return ranking.top_per_group(worthy, ["post_id"], [F.desc("score"), F.asc("platform_id")], n, "comment_rank")
 
 
 def matched_discussions(
-    comments: DataFrame, prints: DataFrame, accepted: DataFrame | None = None
+    comments: DataFrame, prints: DataFrame, accepted: DataFrame | None = None, per_post: int | None = None
 ) -> DataFrame:
-    """(video, comment) rows: comments that carry evidence themselves, then top comments of accepted posts.
+    """(video, comment) rows: comments that carry evidence themselves, then worthy comments of accepted posts,
+    all of them or the best ``per_post``.
 
     A comment found both ways counts once, with its own evidence.
     """
@@ -34,7 +37,7 @@ def matched_discussions(
     own = fingerprint.verify(reddit, prints, key="platform_id", text="body").withColumn("source_rank", F.lit(0))
     found = own
     if accepted is not None:
-        top = best_comments(comments).select("post_id", "platform_id")
+        top = best_comments(comments, per_post).select("post_id", "platform_id")
         via = accepted.select("post_id", "video_id", "match_type", "similarity_score").join(top, "post_id")
         found = own.unionByName(via.drop("post_id").withColumn("source_rank", F.lit(1)))
     evidence = F.struct("source_rank", "match_type", "similarity_score")

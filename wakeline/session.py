@@ -36,12 +36,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table stored in fewer pieces than that; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def settled(df: DataFrame, name: str = "settled") -> DataFrame:
     """Compute ``df`` once: write it to the shared folder and read it back.
 

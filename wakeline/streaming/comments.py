@@ -1,12 +1,15 @@
 """Comment streams.
 
-The store is an append-only log with one folder per micro-batch (``batch_id=N``). A batch that is retried
-after a failure overwrites its own folder, so delivery is exactly-once without rewriting the table; readers
-reduce the log to the current state with the same field-wise merge the batch jobs use.
+The store is an append-only log with one folder per query and micro-batch (``run_id=Q/batch_id=N``). Q comes
+from the checkpoint's path, so a batch that is retried after a failure overwrites its own folder and delivery is exactly-once
+without rewriting the table, while a new checkpoint over an old log starts a folder of its own and erases nothing.
+Readers reduce the log to the current state with the same field-wise merge the batch jobs use, which is also what
+removes copies, however late they come.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +31,22 @@ def read_stream(
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
-def deduplicated(stream: DataFrame, delay: str = "7 days", time: str = "ingested_at") -> DataFrame:
-    """First arrival per comment key; ``delay`` has to cover how late a copy can come."""
+def deduplicated(stream: DataFrame, delay: str, time: str = "ingested_at") -> DataFrame:
+    """First arrival per comment key, to keep a log small; ``delay`` has to cover how late a copy can come.
+
+    Spark drops first arrivals later than ``delay``: leave this step out where they matter.
+    """
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(KEY)
 
 
-def _append(batch: DataFrame, log: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+def _folder(log: str, checkpoint: str, batch_id: int) -> str:
+    """Folder of a batch. A checkpoint is the identity of a stream, so its path names the run."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    return f"{log}/run_id=r{run}/batch_id={batch_id}"
+
+
+def _append(batch: DataFrame, folder: str) -> None:
+    batch.write.mode("overwrite").parquet(folder)
 
 
 def ingest(stream: DataFrame, log: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None,
@@ -42,10 +54,11 @@ def ingest(stream: DataFrame, log: str, checkpoint: str, after: Callable[[DataFr
     """Land a stream in the log and run the follow-on step for each landed batch. Runs until caught up."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _append(batch, log, batch_id)
+        folder = _folder(log, checkpoint, batch_id)
+        _append(batch, folder)
         if after is not None:
             # Re-read what was landed: the follow-on step never recomputes the source.
-            after(batch.sparkSession.read.parquet(f"{log}/batch_id={batch_id}"), batch_id)
+            after(batch.sparkSession.read.parquet(folder), batch_id)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:
@@ -53,7 +66,7 @@ def ingest(stream: DataFrame, log: str, checkpoint: str, after: Callable[[DataFr
     return writer.trigger(availableNow=True).start()
 
 
-def score_into(log: str, scorer: scoring.Scorer) -> Callable[[DataFrame, int], None]:
+def score_into(log: str, scorer: scoring.Scorer, checkpoint: str = "") -> Callable[[DataFrame, int], None]:
     """Follow-on step that scores each landed comment once and logs (key, label, score)."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -64,18 +77,18 @@ def score_into(log: str, scorer: scoring.Scorer) -> Callable[[DataFrame, int], N
             if c not in todo.columns:
                 todo = todo.withColumn(c, F.lit(None).cast(t))
         rows = scoring.score_unprocessed(todo, scorer, F.current_timestamp())
-        _append(rows, log, batch_id)
+        _append(rows, _folder(log, checkpoint, batch_id))
 
     return step
 
 
 def current_comments(log: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """Current state of the log: newest present value per field and key, scores merged on top."""
-    base = log.drop("batch_id")
+    base = log.drop("run_id", "batch_id")
     state = upsert.set_fields(base.limit(0), base)
     if scores is None:
         return state
-    return upsert.set_fields(state, scores.drop("batch_id"))
+    return upsert.set_fields(state, scores.drop("run_id", "batch_id"))
 
 
 def running_distribution(scored: DataFrame, label: str = "sentiment_label") -> DataFrame:
@@ -109,7 +122,7 @@ def run_updates(aggregated: DataFrame, log: str, checkpoint: str) -> StreamingQu
     """Log the changed groups of a running aggregate (update mode), one folder per batch."""
     return (
         aggregated.writeStream.outputMode("update")
-        .foreachBatch(lambda batch, batch_id: _append(batch, log, batch_id))
+        .foreachBatch(lambda batch, batch_id: _append(batch, _folder(log, checkpoint, batch_id)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -118,5 +131,5 @@ def run_updates(aggregated: DataFrame, log: str, checkpoint: str) -> StreamingQu
 
 def newest_update(log: DataFrame, key: list[str]) -> DataFrame:
     """Latest logged value of each group."""
-    values = F.struct(*[c for c in log.columns if c not in (*key, "batch_id")])
+    values = F.struct(*[c for c in log.columns if c not in (*key, "run_id", "batch_id")])
     return log.groupBy(*key).agg(F.max_by(values, F.col("batch_id")).alias("_v")).select(*key, "_v.*")
