@@ -552,6 +552,20 @@ FROM (SELECT platform_id, nw, round(s / sqrt(s * s + 15), 4) AS compound,
  CASE WHEN p + g + u > 0 THEN round(g / (p + g + u), 3) ELSE 0.0 END AS negative FROM lex_sums)""", "lex_sums")
 add("lexicon_score", """
 SELECT platform_id, compound, positive, neutral, negative, label, CASE WHEN nw = 0 THEN 0.0 ELSE share END AS score FROM lex""", "lex")
+add("lexicon_score_compound", """
+SELECT platform_id, label, CASE WHEN nw = 0 THEN 0.0 ELSE abs(compound) END AS score FROM lex""", "lex")
+add("label_canonical", """
+SELECT doc_id, raw, CASE raw WHEN 'LABEL_0' THEN 'negative' WHEN 'label_2' THEN 'positive' WHEN 'Neg' THEN 'negative'
+ WHEN 'POS' THEN 'positive' WHEN '2' THEN 'positive' WHEN '0' THEN 'negative' ELSE 'neutral' END AS label
+FROM (SELECT doc_id, ['LABEL_0', 'label_2', 'Neg', 'POS', '2', '0', 'neutral', 'odd', '', NULL][(n_chars % 10) + 1] AS raw FROM documents)""")
+add("time_texts", """
+SELECT event_id, CASE k WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(t, '%Y-%m-%d %H:%M:%S')
+ WHEN 2 THEN strftime(t, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 3 THEN strftime(t, '%Y%m%dT%H%M%SZ') WHEN 4 THEN strftime(t, '%Y-%m-%d')
+ WHEN 5 THEN strftime(t, '%Y-%m-%dT%H:%M') WHEN 6 THEN strftime(t, '%H:%M') WHEN 7 THEN strftime(t, 'T%H:%M:%S')
+ WHEN 8 THEN strftime(t, '%Y') WHEN 9 THEN strftime(t, '%Y-%m') WHEN 10 THEN strftime(t, 'on %Y-%m-%d') END AS text,
+ strftime(CASE k WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t - INTERVAL 2 HOUR WHEN 3 THEN t WHEN 4 THEN date_trunc('day', t)
+  WHEN 5 THEN date_trunc('minute', t) END, '%Y-%m-%d %H:%M:%S') AS parsed
+FROM (SELECT event_id, date_trunc('second', ts) AS t, event_id % 12 AS k FROM events)""")
 add("sentiment_macro_avg", f"""
 SELECT platform, parent_id, round(p, 4) AS positive, round(u, 4) AS neutral, round(g, 4) AS negative, {top_label('p', 'u', 'g')} AS dominant_label
 FROM (SELECT platform, parent_id, avg(positive) AS p, avg(neutral) AS u, avg(negative) AS g FROM lex JOIN comments USING (platform_id) GROUP BY 1, 2)""",
@@ -812,7 +826,8 @@ SELECT coalesce(a.platform, f.platform) AS platform, coalesce(a.platform_id, f.p
  {ts(f"CASE WHEN f.platform IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE a.updated_at END")} AS updated_at
 FROM accounts a FULL JOIN f ON a.platform = f.platform AND a.platform_id = f.platform_id""", "accounts")
 add("metadata_merge", f"""
-SELECT platform, parent_id AS platform_id, 'import' AS origin, {PCTS}, n AS total_comments_analyzed FROM tally""", "tally")
+SELECT platform, parent_id AS platform_id, 'import' AS origin, {PCTS}, n AS total_comments_analyzed,
+ 'lexicon' AS model, '2030-01-01T00:00:00Z' AS analyzed_at, '2030-01-01 00:00:00' AS updated_at FROM tally""", "tally")
 
 # --- payloads -----------------------------------------------------------------------------------
 

@@ -291,6 +291,37 @@ def lexicon_score(spark, sf):
     )
 
 
+@query
+def lexicon_score_compound(spark, sf):
+    """Scores whose confidence is the absolute compound value."""
+    c = D.comments(spark, sf).select(F.col("platform_id").alias("text_key"), "body")
+    return scoring.lexicon_scores(c, lexicon(spark), mode="compound").select(
+        F.col("text_key").alias("platform_id"), "label", "score"
+    )
+
+
+@query
+def label_canonical(spark, sf):
+    """Raw model labels of any spelling as the three classes; unknown and missing ones are neutral."""
+    raw = F.array(*[F.lit(x) for x in ("LABEL_0", "label_2", "Neg", "POS", "2", "0", "neutral", "odd", "", None)])
+    d = D.table(spark, sf, "documents").select("doc_id", F.get(raw, (F.col("n_chars") % 10).cast("int")).alias("raw"))
+    return d.select("doc_id", "raw", sx.canonical_label(F.col("raw")).alias("label"))
+
+
+@query
+def time_texts(spark, sf):
+    """Times of the events in twelve spellings, good and bad, read back."""
+    e = D.table(spark, sf, "events").select("event_id", F.date_trunc("second", "ts").alias("t"))
+    spell = lambda f: F.date_format("t", f)
+    texts = F.array(
+        spell("yyyy-MM-dd'T'HH:mm:ss'Z'"), spell("yyyy-MM-dd HH:mm:ss"), spell("yyyy-MM-dd'T'HH:mm:ss'+02:00'"),
+        spell("yyyyMMdd'T'HHmmss'Z'"), spell("yyyy-MM-dd"), spell("yyyy-MM-dd'T'HH:mm"), spell("HH:mm"),
+        spell("'T'HH:mm:ss"), spell("yyyy"), spell("yyyy-MM"), spell("'on 'yyyy-MM-dd"), F.lit(None).cast("string"),
+    )
+    text = F.get(texts, (F.col("event_id") % 12).cast("int"))
+    return e.select("event_id", text.alias("text"), ts(tx.parse_iso(text), "parsed"))
+
+
 @query
 def sentiment_macro_avg(spark, sf):
     c = D.comments(spark, sf)
@@ -689,10 +720,11 @@ def metadata_merge(spark, sf):
     acc = upsert.merge_sentiment(
         D.accounts(spark, sf),
         sentiment.tally(D.comments(spark, sf)).withColumnRenamed("parent_id", "platform_id"),
+        model="lexicon", analyzed_at=F.to_timestamp(F.lit(AS_OF)),
     )
     out = upsert.sentiment_block(acc)
     return out.select(
-        "platform", "platform_id", F.element_at("extra_metadata", "origin").alias("origin"), "sentiment.*"
+        "platform", "platform_id", F.element_at("extra_metadata", "origin").alias("origin"), "sentiment.*", ts("updated_at")
     )
 
 

@@ -37,7 +37,6 @@ ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 DIGITS = "0123456789"
 
 # --- fixed values: limits and thresholds ------------------------------------
-SCORING_MAX_CHARS = 1500
 DESCRIPTION_MAX_CHARS = 300
 MIN_SEMANTIC_CHARS = 15
 SEMANTIC_THRESHOLD = 0.55
@@ -57,26 +56,29 @@ LABEL_ALIASES = {
 
 # --- fixed values: stop lists -----------------------------------------------
 TREND_STOP_WORDS = """
-about above after again against because been before being below between both cannot could does
-doing down during each from further have having here hers herself himself into itself more most
-myself once only other ought ours ourselves over same should some such than that their theirs them
-themselves then there these they this those through under until very were what when where which
-while whom with would your yours yourself yourselves
-just like will also even really much many know think people make made good well http https watch
-youtube reddit comments
+a about above after again against all am an and any are aren't as at be because been before being below between
+both but by can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from
+further had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers herself him himself his
+how how's i i'd i'll i'm i've if in into is isn't it it's its itself let's me more most mustn't my myself no nor
+not of off on once only or other ought our ours ourselves out over own same shan't she she'd she'll she's should
+shouldn't so some such than that that's the their theirs them themselves then there there's these they they'd
+they'll they're they've this those through to too under until up very was wasn't we we'd we'll we're we've were
+weren't what what's when when's where where's which while who who's whom why why's with won't would wouldn't you
+you'd you'll you're you've your yours yourself yourselves
+just like will also get one even really much many know think people would could make made good well http https
+com www watch youtube reddit comments
 """.split()
 
-TOPIC_STOP_WORDS = """
-with from were been being have does will would could should might shall both either neither three
-your they them their this that these those what which whom when where than then also just more very
-much many some each about after before between into through during again further once http https
-youtube watch reddit youtu imgur twitter facebook source medium campaign video comments
+CONTEXT_STOP_WORDS = """
+the a an and or but in on at to for of with by from is are was were be been being have has had do does did will
+would could should may might shall can not no nor so yet both either neither one two three i me my we our you
+your he she it its they them their this that these those what which who whom how when where why than then also
+just more very much many some any all each about after before between into through during again further once
 """.split()
 
-CONTEXT_STOP_WORDS = """
-with from were been being have does will would could should might shall both either neither three
-your they them their this that these those what which whom when where than then also just more very
-much many some each about after before between into through during again further once
+TOPIC_STOP_WORDS = CONTEXT_STOP_WORDS + """
+http https www ftp youtube watch reddit youtu imgur twitter facebook amp utm ref source medium campaign com net
+org video comments
 """.split()
 
 TITLE_STOP_WORDS = """

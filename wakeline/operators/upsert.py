@@ -62,20 +62,29 @@ def upsert_accounts(accounts: DataFrame, incoming: DataFrame, key: tuple[str, ..
     return joined.select(*[F.col(c) if c in key else pick(c) for c in accounts.columns])
 
 
-def merge_sentiment(accounts: DataFrame, summaries: DataFrame, key: tuple[str, ...] = COMMENT_KEY) -> DataFrame:
-    """Write the ``sentiment`` entry of the metadata map; all other entries survive."""
-    block = F.to_json(
-        F.struct("positive_pct", "neutral_pct", "negative_pct", "total_comments_analyzed")
-    )
+def merge_sentiment(
+    accounts: DataFrame, summaries: DataFrame, key: tuple[str, ...] = COMMENT_KEY, model: str | None = None,
+    analyzed_at: Column | None = None,
+) -> DataFrame:
+    """Write the ``sentiment`` entry of the metadata map; all other entries survive.
+
+    The entry names the ``model`` and the time of the analysis, which is also the account's ``updated_at``.
+    """
+    at = F.lit(None).cast("timestamp") if analyzed_at is None else analyzed_at
+    block = F.to_json(F.struct(
+        "positive_pct", "neutral_pct", "negative_pct", "total_comments_analyzed", F.lit(model).cast("string").alias("model"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("analyzed_at"),
+    ))
     fresh = summaries.select(*key, block.alias("_block"))
     old = F.coalesce("extra_metadata", F.create_map().cast("map<string,string>"))
     others = F.map_filter(old, lambda k, v: k != "sentiment")
     merged = F.when(F.col("_block").isNull(), F.col("extra_metadata")).otherwise(
         F.map_concat(others, F.create_map(F.lit("sentiment"), F.col("_block")))
     )
-    return accounts.join(fresh, list(key), "left").withColumn("extra_metadata", merged).drop("_block").select(
-        *accounts.columns
-    )
+    out = accounts.join(fresh, list(key), "left").withColumn("extra_metadata", merged)
+    if analyzed_at is not None and "updated_at" in accounts.columns:
+        out = out.withColumn("updated_at", F.when(F.col("_block").isNotNull(), at).otherwise(F.col("updated_at")))
+    return out.select(*accounts.columns)
 
 
 def sentiment_block(accounts: DataFrame) -> DataFrame:

@@ -27,7 +27,8 @@ POST_HISTORY = (
     "sentiment STRUCT<positive: DOUBLE, neutral: DOUBLE, negative: DOUBLE>, topic_encoded INT"
 )
 SENTIMENT_SUMMARY = (
-    "positive_pct DOUBLE, neutral_pct DOUBLE, negative_pct DOUBLE, total_comments_analyzed BIGINT"
+    "positive_pct DOUBLE, neutral_pct DOUBLE, negative_pct DOUBLE, total_comments_analyzed BIGINT, "
+    "model STRING, analyzed_at STRING"
 )
 
 _THUMBS = (
