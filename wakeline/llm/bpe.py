@@ -32,7 +32,7 @@ NONE = np.int64(1) << 40  # rank of a pair that does not merge
 
 # White space other than these four characters makes the fast split below unsafe.
 _CHUNK = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
