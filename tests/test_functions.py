@@ -175,3 +175,15 @@ def test_rounding_follows_the_scaled_binary_value(spark, ints):
     got = [r["y"] for r in df.select(round_to("x", 2).alias("y")).collect()]
     # Half to even on x·100: within one last digit of round(), and never a negative zero.
     assert all(abs(y - i / 1000) <= 0.005 + 1e-9 and str(y) != "-0.0" for i, y in zip(ints, got))
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-05-10T12:00:00Z", "2024-05-10 12:00:00"), ("2024-05-10", "2024-05-10 00:00:00"), ("20240510", "2024-05-10 00:00:00"),
+    ("20240510T120000Z", "2024-05-10 12:00:00"), ("2024-05-10T12:00:00.250+0530", "2024-05-10 06:30:00"),
+    ("2024-05-10 12:30", "2024-05-10 12:30:00"), ("2024-05-10T12:00:00-01:00", "2024-05-10 13:00:00"), ("2024-05-10T12", "2024-05-10 12:00:00"),
+    ("12:30", None), ("T12:30:00", None), ("2024", None), ("2024-05", None), ("2024-13-01", None), ("2024-02-30", None),
+    ("today", None), ("", None), (" 2024-05-10", None), ("2024-05-10T25:00:00", None), (None, None),
+])
+def test_time_texts(one, text, want):
+    got = one(tx.parse_iso(F.col("c").cast("string")), c=text)
+    assert (got and got.strftime("%Y-%m-%d %H:%M:%S")) == want

@@ -50,9 +50,12 @@ def test_account_upsert_and_metadata(spark):
     c = spark.createDataFrame([("youtube", "c", "positive"), ("youtube", "c", "neutral"), ("youtube", "c", None)],
                               "platform string, parent_id string, sentiment_label string")
     summary = sentiment.tally(c).withColumnRenamed("parent_id", "platform_id")
-    merged = upsert.sentiment_block(upsert.merge_sentiment(a, summary)).first()
-    assert merged["extra_metadata"]["k"] == "v"
-    assert merged["sentiment"].asDict() == {"positive_pct": 0.5, "neutral_pct": 0.5, "negative_pct": 0.0, "total_comments_analyzed": 2}
+    at = F.lit("2024-06-01 10:00:00").cast("timestamp")
+    merged = upsert.sentiment_block(upsert.merge_sentiment(a, summary, model="m1", analyzed_at=at)).first()
+    assert merged["extra_metadata"]["k"] == "v" and merged["updated_at"] == dt.datetime(2024, 6, 1, 10)
+    assert merged["sentiment"].asDict() == {
+        "positive_pct": 0.5, "neutral_pct": 0.5, "negative_pct": 0.0, "total_comments_analyzed": 2,
+        "model": "m1", "analyzed_at": "2024-06-01T10:00:00Z"}
 
 
 def as_json(spark, *objects):
@@ -113,13 +116,15 @@ def test_stream_equals_batch(spark, tmp_path):
     source = lambda: streams.read_stream(spark, f"{tmp_path}/in/*", cols, files_per_batch=1)
     log, scores = f"{tmp_path}/log", f"{tmp_path}/scores"
     for _ in range(2):  # a restart finds nothing new
-        streams.ingest(streams.deduplicated(source()), log, f"{tmp_path}/cp", streams.score_into(scores, scorer)).awaitTermination()
-    assert spark.read.parquet(log).count() == 40 and spark.read.parquet(scores).count() == 40
+        streams.ingest(source(), log, f"{tmp_path}/cp", streams.score_into(scores, scorer)).awaitTermination()
+    assert spark.read.parquet(log).count() == 50 and spark.read.parquet(scores).count() == 50
+    streams.ingest(source(), log, f"{tmp_path}/other").awaitTermination()  # a new checkpoint erases nothing
+    assert spark.read.parquet(log).count() == 100
     state = streams.current_comments(spark.read.parquet(log), spark.read.parquet(scores))
     assert state.count() == 40 and state.where("sentiment_processed").count() == 40
 
     batch = spark.createDataFrame(rows, cols)
-    streams.run_updates(streams.running_shares(streams.deduplicated(source())), f"{tmp_path}/u", f"{tmp_path}/cp2").awaitTermination()
+    streams.run_updates(streams.running_shares(streams.deduplicated(source(), "7 days")), f"{tmp_path}/u", f"{tmp_path}/cp2").awaitTermination()
     now = streams.newest_update(spark.read.parquet(f"{tmp_path}/u"), ["video_id"])
     assert now.collect() == streams.running_shares(batch).collect()
     dist = streams.running_distribution(state)
