@@ -601,7 +601,7 @@ def blended_forecast(spark, sf):
 def model_forecast(spark, sf):
     h = D.post_history(spark, sf).withColumn("post_id", F.col("post_id").cast("string"))
     cats = priors.detect_category(D.channels(spark, sf), h)
-    model = models.train_post_model(h, rounds=10)
+    model = models.train_post_model(h)
     longer = forecast.with_warmup(h, cats, priors.category_priors(spark))
     return forecast.model_forecast(longer, model, F.to_timestamp(F.lit(AS_OF)))
 
@@ -612,7 +612,7 @@ def growth_model(spark, sf):
         D.accounts(spark, sf),
         sentiment.tally(D.comments(spark, sf)).withColumnRenamed("parent_id", "platform_id"),
     )
-    _, metrics = models.train_growth_model(acc, F.to_timestamp(F.lit(AS_OF)), rounds=10)
+    _, metrics = models.train_growth_model(acc, F.to_timestamp(F.lit(AS_OF)))
     return metrics.select("n_train", "n_test", "rmse", joined("feature_order"))
 
 

@@ -1,8 +1,8 @@
 """Forecasts of the next posts of every channel at once.
 
 All engines work on one row of facts per channel: post counts and ratio sums are aggregates, and the model
-engine keeps the last ten posts as a bounded array, so the recursive steps are narrow transformations
-(no window, no shuffle and no lineage to cut per step).
+engine keeps the last ten posts as a bounded array, so the recursive steps are narrow transformations without a
+window or a shuffle. The state is written once per step, so a plan never holds the steps before it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import round_to
 from .. import fixed_values as V
+from ..session import settled
 from .features import FEATURE_COLUMNS, LAGGED, calendar, engagement_ratios, flatten, last_posts, trailing_mean
 from .priors import category_forecast, detect_category, warmup_posts
 
@@ -118,6 +119,7 @@ def model_forecast(history: DataFrame, model, as_of: Column, steps: int = 5, tar
             grow("sum_likes_ratio", "_l"), grow("sum_comments_ratio", "_c"),
             F.array_append("done", result).alias("done"),
         )
+        state = settled(state, "forecast")  # else every step would plan all steps before it again
     out = state.select("channel_id", F.explode("done").alias("f"))
     return out.select(
         "channel_id", "f.step",
