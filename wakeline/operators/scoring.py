@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_to
-from .. import fixed_values as V
 from ..functions import sentiment as sx
 from ..functions import text as tx
 
