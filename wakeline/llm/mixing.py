@@ -19,7 +19,6 @@ empty table gives an empty result; all other columns pass through.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window

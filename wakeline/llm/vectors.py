@@ -23,9 +23,3 @@ def matrix(column: pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
-
-
-def by_width(column: pa.Array) -> list[np.ndarray]:
-    """Row numbers of each vector length: vectors of unequal length are never compared."""
-    n = np.diff(column.offsets.to_numpy()) if not isinstance(column, pa.ChunkedArray) else np.diff(column.combine_chunks().offsets.to_numpy())
-    return [np.flatnonzero(n == w) for w in np.unique(n)]
