@@ -790,6 +790,18 @@ LEFT JOIN baseline b ON b.channel_id = p.channel_id AND b.step = p.step""", "sca
 view("newest", """
 SELECT *, row_number() OVER (PARTITION BY platform, parent_id ORDER BY ingested_at DESC, platform_id) AS r FROM comments""", "comments")
 add("page_comments", "SELECT platform, parent_id, platform_id, r AS rank FROM newest WHERE r BETWEEN 6 AND 10", "newest")
+add("page_by_label", f"""
+SELECT platform_id, sentiment_label, {ts('ingested_at')} AS ingested_at FROM (
+ SELECT *, row_number() OVER (ORDER BY c.ingested_at DESC, platform_id) AS r FROM comments c
+ WHERE platform = 'youtube' AND parent_id = 'src0' AND sentiment_label = 'positive') c WHERE r BETWEEN 6 AND 10""", "comments")
+add("payload_scan", "SELECT video_id AS platform_id, title, views FROM videos WHERE video_id IN (SELECT video_id FROM links)", "videos", "links")
+add("newest_payloads", f"""
+SELECT video_id AS platform_id, {ts('published_at')} AS ingested_at FROM videos ORDER BY videos.published_at DESC, video_id LIMIT 40""", "videos")
+add("snapshot_replace", """
+SELECT video_id AS platform_id, title || CASE WHEN likes % 200 = 0 THEN ' v2' ELSE '' END AS title, views,
+ CASE WHEN likes % 200 <> 0 THEN likes::DOUBLE END AS likes,
+ strftime(published_at + CASE WHEN likes % 200 = 0 THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END, '%Y-%m-%d %H:%M:%S') AS ingested_at
+FROM videos""", "videos")
 add("latest_n", f"SELECT platform, parent_id, platform_id, {ts('ingested_at')} AS ingested_at, r AS rank FROM newest WHERE r <= 3", "newest")
 add("top_videos", "SELECT video_id, title, views FROM videos WHERE contains(lower(title), 'ring') ORDER BY views DESC, video_id LIMIT 25", "videos")
 add("table_sorts", """

@@ -625,6 +625,45 @@ def page_comments(spark, sf):
     )
 
 
+@query
+def page_by_label(spark, sf):
+    """The second page of the positive comments of one channel."""
+    page = ranking.page_of_target(D.comments(spark, sf), "youtube", "SRC0", 2, 5, label="positive")
+    return page.select("platform_id", "sentiment_label", ts("ingested_at"))
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    v = D.videos(spark, sf)
+    return v.select(F.lit("youtube").alias("platform"), F.col("video_id").alias("platform_id"), "title", "views", "likes",
+                    F.col("published_at").alias("ingested_at"))
+
+
+@query
+def payload_scan(spark, sf):
+    """Stored snapshots of the videos that discussions link."""
+    reddit = D.comments(spark, sf).where(F.col("platform") == "reddit")
+    linked = linking.link_by_url(reddit).select(F.col("video_id").alias("platform_id"))
+    return table_source.scan_payloads(_snapshots(spark, sf), "youtube", linked).select("platform_id", "title", "views")
+
+
+@query
+def newest_payloads(spark, sf):
+    """The 40 snapshots ingested last."""
+    return table_source.newest_payloads(_snapshots(spark, sf), "youtube", 40).select("platform_id", ts("ingested_at"))
+
+
+@query
+def snapshot_replace(spark, sf):
+    """Two newer copies of every second snapshot; the later one replaces the stored row, NULL likes included."""
+    old = _snapshots(spark, sf)
+    again = old.where(F.col("likes") % 200 == 0)
+    copies = [again.withColumns({"title": F.concat("title", F.lit(f" v{n}")), "likes": F.lit(None if n == 2 else n).cast("bigint"),
+                                 "ingested_at": F.col("ingested_at") + F.expr(f"INTERVAL {n} DAY")}) for n in (2, 1)]
+    return upsert.replace_snapshots(old, copies[0].unionByName(copies[1])).select(
+        "platform_id", "title", "views", dbl("likes"), ts("ingested_at")
+    )
+
+
 @query
 def latest_n(spark, sf):
     return ranking.latest_per_target(D.comments(spark, sf), 3).select(

@@ -40,8 +40,11 @@ def insert_only(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] =
 
 
 def replace_snapshots(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Payload snapshots: the newest row per key replaces older ones."""
-    return set_fields(existing, incoming)
+    """Payload snapshots: the newest incoming row of a key replaces the stored one whole, missing fields included."""
+    row = F.struct("ingested_at", *[c for c in incoming.columns if c not in (*COMMENT_KEY, "ingested_at")])
+    newest = incoming.groupBy(*COMMENT_KEY).agg(F.max(row).alias("_row")).select(*COMMENT_KEY, "_row.*")
+    kept = existing.join(newest.select(*COMMENT_KEY), list(COMMENT_KEY), "left_anti")
+    return kept.unionByName(newest.select(*incoming.columns), allowMissingColumns=True).select(*existing.columns)
 
 
 def upsert_accounts(accounts: DataFrame, incoming: DataFrame, key: tuple[str, ...] = COMMENT_KEY) -> DataFrame:
