@@ -2,7 +2,7 @@
 
 Archives are written with Spark's text writer, whose line separator is the two line breaks that end a WARC record,
 so executors need nothing but the shared file system. Payloads are given as text and stored as its UTF-8 bytes.
-Every archive holds about ``ARCHIVE_BYTES`` of payload: records are dealt to archives by hash, so neither one host
+Archives are gzip files unless told otherwise; offsets count uncompressed bytes. Every archive holds about ``ARCHIVE_BYTES`` of payload: records are dealt to archives by hash, so neither one host
 nor one payload fills a file. Archives are read back whole, one per row of Spark's binary-file source, and cut by
 their ``Content-Length`` headers.
 
@@ -21,6 +21,7 @@ with an id; an empty table gives no records and an empty index; extra columns ar
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -78,8 +79,8 @@ def _record() -> Column:
 
 
 def write(df: DataFrame, path: str, work: Workspace, record_id: str, url: str, payload: str, min_bytes: int = 0,
-          archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write one record per row of ``df`` to archives under ``path``."""
+          archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
+    """Write one record per row of ``df`` to archives under ``path``, compressed with ``gzip`` or ``none``."""
     rows = df.select(F.col(record_id).cast("long").alias("id"), F.col(url).alias("url"),
                      F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -91,12 +92,12 @@ def write(df: DataFrame, path: str, work: Workspace, record_id: str, url: str, p
     total = marks.agg(F.sum("n")).first()[0] or 0
     dealt = rows.withColumn("key", key).repartition(max(1, -(-total // archive_bytes)), "key")
     met = dealt.join(kinds, "key")
-    met.select(_record().alias("value")).write.option("lineSep", END).text(path)
+    met.select(_record().alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def _parse(raw: memoryview | bytes, name: str) -> Iterator[dict]:
     """Records of one archive; a payload that does not match its digest is an error."""
-    raw, at = bytes(raw), 0
+    raw, at = gzip.decompress(raw) if name.endswith(".gz") else bytes(raw), 0
     while at < len(raw):
         stop = raw.index(END.encode(), at)
         lines = raw[at:stop].decode().split("\r\n")
