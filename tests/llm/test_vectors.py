@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wakeline.llm import ann, nndescent
+from wakeline.session import Workspace
 
 BAD = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] + [1.0] * 15), (9004, [None] + [1.0] * 15), (9005, [float("inf")] + [1.0] * 15), (9006, [])]
 
@@ -77,6 +78,44 @@ def test_near_duplicates(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def dense_groups(seed=8, groups=2, n=20):
+    """Groups of more than K near copies each; links between the groups are weaker than those inside."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=16)
+    centre /= np.linalg.norm(centre)
+    away = rng.normal(size=16)
+    away -= (away @ centre) * centre
+    away *= math.tan(math.acos(0.9855)) / np.linalg.norm(away)
+    x = [centre + g * away + 0.003 * rng.normal(size=16) for g in range(groups) for _ in range(n)]
+    return np.array(x)
+
+
+def test_dense_groups_link_across(spark):
+    x = dense_groups()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (u[:20] @ u[:20].T).min() > 0.999 and 0.98 < (u[:20] @ u[20:].T).min() and (u[:20] @ u[20:].T).max() < 0.99
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    rows = nndescent.near_duplicates(df).collect()
+    assert all((r.n_links, r.component_id, r.kept) == (39, 0, r.vec_id == 0) for r in rows)
+
+
+def test_blocks_across_components(spark, monkeypatch):
+    """Every pair of components that link is found, whether they fill blocks of their own or share them."""
+    monkeypatch.setattr(nndescent, "BLOCK", 16)
+    x = np.concatenate([dense_groups(8), dense_groups(9, 3, 6), np.random.default_rng(1).normal(size=(30, 16))])
+    parts = [20, 20, 6, 6, 6] + [1] * 30
+    start = np.repeat(np.cumsum([0, *parts[:-1]]), parts)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    rows = [(i, 0, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame(rows, "node long, label long, x array<double>, copies long")
+    group = spark.createDataFrame([(i, int(start[i])) for i in range(len(x))], "node long, component long")
+    got = nndescent._across(nodes.select("node"), nodes, group, 0.98, Workspace(spark, "across")).collect()
+    want = {tuple(sorted((int(start[i]), int(start[j])))) for i, j in zip(*np.nonzero(link)) if start[i] != start[j]}
+    assert want and {tuple(sorted((int(start[r.a]), int(start[r.b])))) for r in got} == want
+    assert all(link[r.a, r.b] for r in got)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None, 0), (2, [1.0], None), (None, [1.0], 0)], "vec_id long, embedding array<float>, label int")
     rows = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}

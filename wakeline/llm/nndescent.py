@@ -6,11 +6,13 @@ of each chunk. Then lists are refined: all nodes in the list of one node, or lis
 themselves to each other (neighbours of neighbours), until a round changes few lists. Long reverse lists are dealt
 in parts, none is cut off. Pairs at the threshold or above connect nodes to components.
 
-A list in which all entries are links is saturated: there may be more. Lists are therefore enlarged to the whole
-component before links are counted: members meet in blocks of ``BLOCK`` x ``BLOCK``, numpy multiplies each block in
-double precision, and only sums per node leave it. Links of a vector lie in its component, so counts are exact
-given the components. An audit compares the counts of ``AUDIT`` nodes, chosen by hash, with brute force over their
-whole labels; below ``RECALL`` the search is repeated with twice as many orders.
+A list in which all entries are links is saturated: there may be more, also in other components. Saturated nodes of
+one label therefore meet those of its other components in blocks of ``BLOCK`` x ``BLOCK``, which numpy multiplies in
+double precision; one link per pair of components leaves a block. Before links are counted, lists are enlarged to the
+whole component in the same way, and only sums per node leave a block. Links of a vector lie in its component, so
+counts are exact given the components. An audit compares the counts of ``AUDIT`` nodes, chosen by hash, with brute
+force over their whole labels; below ``RECALL`` the search is repeated with twice as many orders, and from
+``MOST_TABLES`` on all nodes of a label, saturated or not, meet in blocks, which is exact.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with
 nothing; unequal lengths never link; repeated rows are equal vectors and link; different vectors under one id count
@@ -41,6 +43,7 @@ EXPLORE = 0.5  # entries below this cosine are no path to a near-duplicate
 BLOCK = 512
 AUDIT = 256
 RECALL = 0.99
+MOST_TABLES = 64
 SEED = 77
 
 
@@ -196,6 +199,57 @@ def _links(nodes: DataFrame, group: DataFrame, threshold: float, work: Workspace
         _counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """Nodes whose lists are full of links."""
+    return lists.filter(F.col("cos") >= threshold - 1e-5).groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("node"))
+
+
+def _cross_links(threshold: float):
+    """Per pair of blocks: one link of each pair of components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches, 3):
+            side, node, component = (table.column(c).to_numpy() for c in ("side", "node", "component"))
+            u = _unit(matrix(table.column("x")))
+            left, right = side == 0, side == 1
+            if not right.any():
+                right = left  # a block with itself
+            link = (u[left] @ u[right].T >= threshold) & (component[left][:, None] != component[right][None, :])
+            i, j = np.nonzero(link)
+            if not len(i):
+                continue
+            _, one = np.unique(np.stack([component[left][i], component[right][j]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node[left][i[one]]), pa.array(node[right][j[one]])], names=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, nodes: DataFrame, group: DataFrame, threshold: float, work: Workspace) -> DataFrame:
+    """Links ``(a, b)`` that connect the components of each label between which ``members`` link."""
+    members = members.join(nodes.select("node", "label"), "node").distinct().join(group, "node", "left").select(
+        "node", "label", F.coalesce("component", "node").alias("component"))
+    members = work.save(members, "members")
+    # A component of more than a block has blocks of its own, which need not meet each other; the others share blocks.
+    sizes = members.groupBy("label", "component").agg(F.count("*").alias("n"))
+    sizes = work.save(sizes.withColumn("own", F.when(F.col("n") > BLOCK, F.col("component"))), "sizes")
+    shared = sizes.filter("own IS NULL").groupBy("label").agg(F.ceil(F.sum("n") / BLOCK).alias("shared"))
+    placed = members.join(sizes, ["label", "component"]).join(shared, "label", "left").select(
+        "label", "node", "component", "own", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("component"), "shared"))
+        .otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))).alias("part"))
+    placed = placed.withColumn("block", F.xxhash64("label", F.coalesce(F.col("own"), F.lit(0)), F.col("own").isNull(), "part"))
+    placed = work.save(placed, "placed")
+    block = work.save(placed.select("label", "block", "own").distinct(), "across_blocks")
+    other = block.select("label", F.col("block").alias("j"), F.col("own").alias("own_j"))
+    pairs = block.withColumnRenamed("block", "i").join(other, "label").filter("i <= j AND (own IS NULL OR own_j IS NULL OR own <> own_j)")
+    pairs = work.save(pairs.select("label", "i", "j"), "across_pairs")
+    x = placed.join(nodes.select("label", "node", "x"), ["label", "node"]).select("label", "block", "node", "component", "x")
+    on_left = x.withColumnRenamed("block", "i").join(pairs, ["label", "i"]).withColumn("side", F.lit(0))
+    on_right = x.withColumnRenamed("block", "j").join(pairs.filter("i < j"), ["label", "j"]).withColumn("side", F.lit(1))
+    pair = ["label", "i", "j"]
+    rows = on_left.unionByName(on_right).select(*pair, "side", "node", "component", "x")
+    return rows.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_cross_links(threshold), "a long, b long")
+
+
 def _audit(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
     """Share of the links of sampled nodes that were counted."""
     sample = nodes.filter("node IS NOT NULL").orderBy(F.xxhash64("node"), "node").limit(AUDIT)
@@ -280,13 +334,27 @@ def _one_width(nodes: DataFrame, width: int, n: int, threshold: float, tables: i
         near = lists.filter(F.col("cos") >= threshold - 1e-5).select("a", "b")
         sure = work.save(_exact(near, nodes, threshold, work), "links")
         group = work.save(components(work, sure), "components")
+        full = work.save(_saturated(lists, threshold), "saturated")
+        if not full.isEmpty():
+            group = _joined(full, nodes, group, threshold, work)
         links = work.save(_links(nodes, group, threshold, work), "counts")
-        recall = _audit(nodes, links, threshold)
-        if recall >= RECALL or tables >= 64:
+        if _audit(nodes, links, threshold) >= RECALL:
             return group, links
+        if tables >= MOST_TABLES:
+            group = _joined(nodes.select("node"), nodes, group, threshold, work)
+            return group, work.save(_links(nodes, group, threshold, work), "counts")
         tables *= 2
 
 
+def _joined(members: DataFrame, nodes: DataFrame, group: DataFrame, threshold: float, work: Workspace) -> DataFrame:
+    """Components with the links between ``members`` of different ones."""
+    more = work.save(_across(members, nodes, group, threshold, work), "across")
+    if more.isEmpty():
+        return group
+    stars = group.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return work.save(components(work, stars.unionByName(more)), "components")
+
+
 def _exact(pairs: DataFrame, nodes: DataFrame, threshold: float, work: Workspace) -> DataFrame:
     """The pairs that reach the threshold in double precision."""
     once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
