@@ -60,6 +60,13 @@ def test_rows_and_edge_cases(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (8, c)], "doc_id long, text string")
+    rows = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert rows == {(3, 3), (5, 3), (7, 3), (8, 8)}
+
+
 def planted(seed):
     """Clusters around centres, one of them large and below one node, and scattered fingerprints."""
     rng = np.random.default_rng(seed)

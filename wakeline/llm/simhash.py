@@ -282,7 +282,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                      .drop("text"), "fingerprints")
     # Smallest id of each fingerprint, and of each id over its fingerprints.
     leaves = work.save(rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc")), "leaves")
-    found = links(work, leaves, budget)
+    # An id with several fingerprints joins them: edges from the smallest doc of each to the id.
+    named = rows.filter("doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("doc_id")
+    same = named.join(several, "doc_id").join(leaves, "fp").select(F.col("doc").alias("a"), F.col("doc_id").alias("b"))
+    found = links(work, leaves, budget).unionByName(same)
     group = work.save(components(work, found), "components")
     of_fp = leaves.join(group, leaves["doc"] == group["node"], "left").select(
         "fp", F.coalesce("component", "doc").alias("component_id"))
