@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from . import ann, bpe, mixing, nndescent, pii, simhash, spans, toxicity, urls, warc
+from . import ann, bpe, merkle, mixing, nndescent, pii, simhash, spans, spelling, tokenfile, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -194,3 +194,30 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group(Workspace(spark, "spelling"), read(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "tokens").path("files")
+    tokenfile.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    changed = merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    rows = docs.select("doc_id", "lang", merkle.leaf([F.col(c) for c in columns]).alias("leaf"),
+                       F.when(tampered, changed).alias("changed"))
+    found = merkle.manifest(Workspace(spark, "merkle"), rows, "lang", "doc_id")
+    found = merkle.verified(found, F.coalesce("changed", "leaf"))
+    proof = merkle.path_digest(F.concat("path", "top_path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
