@@ -57,7 +57,8 @@ def corpus(seed):
     for i in range(150):
         picked = rng.choices(words, k=80) + rng.choices(words[:40], k=80) * 3
         rows.append((i if i % 9 else None, " ".join(w.upper() if rng.random() < 0.1 else w for w in picked)))
-    return rows + [(1, None), (2, ""), (3, "12 34 ×÷ıſ"), (4, "aaaaaa," * 300)] + rows[:3]
+    chain = " ".join(["Chaina"] * 7 + ["chainab"] * 50 + ["schainab"] * 400)
+    return rows + [(5, chain), (1, None), (2, ""), (3, "12 34 ×÷ıſ"), (4, "aaaaaa," * 300)] + rows[:3]
 
 
 @pytest.mark.parametrize("options", [{}, {"crowd": 4}, {"crowd": 0}, {"parts": 2, "pieces": 3}, {"parts": 3, "pieces": 2}])

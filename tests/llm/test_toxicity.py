@@ -1,7 +1,12 @@
 """Held-out accuracy on planted words, and the defined cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -48,3 +53,70 @@ def test_several_labels_of_one_document(spark):
     docs = spark.createDataFrame(corpus(60), "doc_id long, text string, toxic int")
     labels = docs.select("doc_id", "toxic").union(docs.select("doc_id", F.lit(0).alias("toxic")))
     assert toxicity.fit(docs.drop("toxic"), labels, Workspace(spark)).score(docs.select("doc_id", "text")).count() == 60
+
+
+def kneser_ney(texts):
+    """Log ratio of a word under both classes, from the definition; ``texts`` holds (text, class or None)."""
+    per, pairs = (defaultdict(Counter), defaultdict(Counter)), set()
+    for text, label in texts:
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            s = f"^{w}$"
+            for k in range(1, len(s)):
+                pairs.add((s[max(0, k - 7):k], s[k]))
+                if label is not None:
+                    per[label][s[max(0, k - 7):k]][s[k]] += 1
+    orders = []
+    for n in (3, 1, 0):
+        level, longer = defaultdict(Counter), {(c[len(c) - min(n, len(c)):], x, c) for c, x in pairs}
+        for c, x, _ in longer:
+            level[c][x] += 1
+        orders.append(level)
+        pairs = {(c, x) for c, x, _ in longer}
+    letters = len(orders[2][""]) + 1
+
+    def shared(c, x, at=0):
+        if at == 3:
+            return 1 / letters
+        n = (3, 1, 0)[at]
+        c = c[len(c) - min(n, len(c)):]
+        counts = orders[at][c]
+        return (max(counts[x] - 0.75, 0) + 0.75 * len(counts) * shared(c, x, at + 1)) / sum(counts.values())
+
+    def probability(label, c, x):
+        counts = per[label][c]
+        if not counts:
+            return shared(c, x)
+        total = sum(counts.values())
+        return max(counts.get(x, 0) - 0.75, 0) / total + 0.75 * len(counts) / total * shared(c, x)
+
+    def ratio(word):
+        s, out = f"^{word}$", 0.0
+        for k in range(1, len(s)):
+            c = s[max(0, k - 7):k]
+            if per[0][c] or per[1][c]:
+                if per[0][c][s[k]] + per[1][c][s[k]]:
+                    out += math.log(probability(1, c, s[k]) / probability(0, c, s[k]))
+                else:
+                    freed = [0.75 * sum(v > 0 for v in per[i][c].values()) / sum(per[i][c].values()) if sum(per[i][c].values()) else 1 for i in (0, 1)]
+                    out += math.log(freed[1] / freed[0])
+        return out
+
+    return ratio
+
+
+@pytest.mark.parametrize("entries", [toxicity.MODEL_ENTRIES, 0])
+def test_features_equal_the_definition(spark, entries):
+    """By broadcast arrays, and with more entries than may be broadcast, by joins."""
+    rows = corpus(90) + [(200, "Éa ß_x 77 grolmig grolmig grolmig", 1), (201, "", 0), (202, None, 0), (203, "unseen wording", 0)] + corpus(3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows if i % 3], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, Workspace(spark), model_entries=entries)
+    got = model.add_features(docs, "text").collect()
+    known = {i: x for i, _, x in rows if i % 3 and zlib.crc32(str(i).encode()) % 4 < 2}
+    ratio = kneser_ney([(t, known.get(i)) for i, t, _ in rows])
+    assert len(got) == len(rows)
+    for r in got:
+        values = [ratio(w) for w in re.findall(r"[^\W_]+", (r.text or "").lower())]
+        n, best = len(values), (sorted(values, reverse=True) + [0.0] * 3)[:3]
+        want = [sum(values) / n, sum(max(v - 2, 0) for v in values) / n, *best, math.log1p(n)] if n else [0.0] * 6
+        assert list(r.features) == pytest.approx(want, abs=1e-9)

@@ -11,8 +11,10 @@ counting only what words exceed ``EXCESS`` by. The log ratios of its three most
 beside them. A logistic curve turns these into a score. Its few coefficients are fitted on labelled rows that the models have not seen (``calibration``
 fold), on at most ``CALIBRATION_ROWS`` of them in an order by hash.
 
-The model that reaches the workers is one float per slot of a hash table of ``SLOTS`` slots, so it never exceeds
-16 MB; where two entries meet in a slot, the more frequent one stays.
+All entries are kept. Where there are at most ``MODEL_ENTRIES`` of them, the workers get two sorted arrays, the 64-bit
+hashes of the keys and their log ratios; a key that is absent backs off. With more entries nothing is broadcast: the
+ratio of each distinct word is summed by joins, and the words of the texts, counted per text, are joined with it.
+Both ways give the same features.
 
 Labels are broadcast while there are at most ``BROADCAST_LABELS`` of them, else joined by a shuffle.
 
@@ -25,24 +27,27 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import Workspace
+from ..session import Workspace, at_most
 from .bpe import _slices
 
 CONTEXT = 7
 BACKOFF = (3, 1, 0)  # context lengths of the shared lower orders
 DISCOUNT = 0.75
 EXCESS = 2.0
-SLOTS = 1 << 22
+MODEL_ENTRIES = 5_000_000  # 16 bytes each
+CACHE_WORDS = 300_000  # words a worker remembers
+FLUSH_WORDS = 200_000
+SLICE_BYTES = 1_000_000  # of text that is split into words at once
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.3
@@ -54,40 +59,44 @@ def _word_counts(df: DataFrame) -> DataFrame:
     """``word, toxic, ordinary``: occurrences in the texts of each class; ``df`` has ``text`` and ``toxic``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+        of_class, unlabelled = (Counter(), Counter()), set()
 
         def flush() -> pa.RecordBatch:
-            rows = list(found.values())
+            ordinary, toxic = of_class
+            words = list(unlabelled.union(ordinary, toxic))
             out = pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.string()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[0] for r in rows], pa.int64())], names=["word", "toxic", "ordinary"])
-            found.clear()
+                [pa.array(words, pa.string()), pa.array(map(toxic.__getitem__, words), pa.int64()),
+                 pa.array(map(ordinary.__getitem__, words), pa.int64())], names=["word", "toxic", "ordinary"])
+            for kept in (ordinary, toxic, unlabelled):
+                kept.clear()
             return out
 
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in _slices(whole, "text", SLICE_BYTES):
                 for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = _WORD.findall((text or "").lower())
                     if label is None:
-                        for w in set(words):
-                            found[w]
+                        unlabelled.update(words)
                     else:
-                        for w in words:
-                            found[w][label] += 1
-                if len(found) > 200_000:
+                        of_class[label].update(words)
+                if len(unlabelled) + sum(map(len, of_class)) > FLUSH_WORDS:
                     yield flush()
         yield flush()
 
     return df.select("text", F.col("toxic").cast("int")).mapInArrow(run, "word string, toxic long, ordinary long")
 
 
-def _grams(counts: DataFrame) -> DataFrame:
-    """``ctx, ch, toxic, ordinary``: each letter after up to ``CONTEXT`` letters; ``^`` and ``$`` bound a word."""
+def _letters(counts: DataFrame) -> DataFrame:
+    """``ctx, ch`` of every letter of each word, with up to ``CONTEXT`` letters before it; ``^`` and ``$`` bound a word."""
     s = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    at = counts.select(s.alias("s"), "toxic", "ordinary", F.explode(F.sequence(F.lit(1), F.length(s) - 1)).alias("k"))
+    at = counts.withColumn("s", s).withColumn("k", F.explode(F.sequence(F.lit(1), F.length(s) - 1)))
     ctx = F.substring(F.col("s"), F.greatest(F.col("k") - CONTEXT, F.lit(0)) + 1, F.least(F.col("k"), F.lit(CONTEXT)))
-    return at.select(ctx.alias("ctx"), F.substring(F.col("s"), F.col("k") + 1, F.lit(1)).alias("ch"), "toxic", "ordinary") \
-        .groupBy("ctx", "ch").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    return at.select("*", ctx.alias("ctx"), F.substring(F.col("s"), F.col("k") + 1, F.lit(1)).alias("ch")).drop("s", "k")
+
+
+def _grams(counts: DataFrame) -> DataFrame:
+    """``ctx, ch, toxic, ordinary``: each letter after its context."""
+    return _letters(counts).groupBy("ctx", "ch").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def _shared(grams: DataFrame, work: Workspace) -> DataFrame:
@@ -114,7 +123,7 @@ def _shared(grams: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _ratios(grams: DataFrame, work: Workspace) -> DataFrame:
-    """``key, ratio, weight``: log of toxic over ordinary probability of a letter in its context (key ``ctx`` +
+    """``key, ratio``: log of toxic over ordinary probability of a letter in its context (key ``ctx`` +
     letter, context first), and of any letter not seen there (key ``ctx`` alone)."""
     seen = grams.filter("toxic + ordinary > 0")
     per = seen.groupBy("ctx").agg(
@@ -132,49 +141,55 @@ def _ratios(grams: DataFrame, work: Workspace) -> DataFrame:
     low = _shared(grams, work).select(F.col("ctx").alias("short"), "ch", "p")
     rows = seen.join(per, "ctx").withColumn("short", F.expr(f"right(ctx, {BACKOFF[0]})")).join(low, ["short", "ch"])
     letters = rows.select(F.concat("ctx", F.lit(" "), "ch").alias("key"),
-                          F.log(probability("toxic", "k_t", "n_t") / probability("ordinary", "k_o", "n_o")).alias("ratio"),
-                          (F.col("toxic") + F.col("ordinary")).alias("weight"))
-    unseen = per.select(F.col("ctx").alias("key"), F.log(freed("k_t", "n_t") / freed("k_o", "n_o")).alias("ratio"),
-                        (F.col("n_t") + F.col("n_o")).alias("weight"))
+                          F.log(probability("toxic", "k_t", "n_t") / probability("ordinary", "k_o", "n_o")).alias("ratio"))
+    unseen = per.select(F.col("ctx").alias("key"), F.log(freed("k_t", "n_t") / freed("k_o", "n_o")).alias("ratio"))
     return letters.union(unseen)
 
 
-def _table(ratios: DataFrame) -> np.ndarray:
-    """The hash table of the workers: NaN marks an empty slot."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(SLOTS)).cast("int")
-    rows = ratios.groupBy(slot.alias("slot")).agg(
-        F.max_by("ratio", F.struct("weight", "key")).cast("float").alias("ratio")).toArrow()
-    table = np.full(SLOTS, np.nan, np.float32)
-    table[rows.column("slot").to_numpy()] = rows.column("ratio").to_numpy()
-    return table
+def _arrays(ratios: DataFrame) -> dict:
+    """The entries as the workers get them: hashes of the keys, ascending, and the ratios."""
+    rows = ratios.select(F.xxhash64("key").alias("hash"), "ratio").toArrow()
+    hashes = rows.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return {"hashes": hashes[order], "ratios": rows.column("ratio").to_numpy()[order]}
 
 
 class WordRatios(dict):
-    """Log ratio of each word, computed once per task and word."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-
-    def _slot(self, key: str) -> float:
-        value = self.table[xxhash.xxh64_intdigest(key.encode(), 42) % SLOTS]
-        return float(value)
-
-    def __missing__(self, word: str) -> float:
-        s, total = f"^{word}$", 0.0
-        for k in range(1, len(s)):
-            ctx = s[max(0, k - CONTEXT):k]
-            value = self._slot(f"{ctx} {s[k]}")
-            if value != value:
-                value = self._slot(ctx)
-            if value == value:
-                total += value
-        if len(self) < 500_000:
-            self[word] = total
-        return total
-
-
-def features(text: str, ratios: WordRatios) -> tuple[float, ...]:
-    words = _WORD.findall(text.lower())
+    """Log ratio of each word, computed for many new words at once."""
+
+    def __init__(self, hashes: np.ndarray, ratios: np.ndarray):
+        self.hashes, self.ratios = hashes, ratios
+
+    def _find(self, keys: list[str]) -> np.ndarray:
+        """Ratio of each key, NaN where the model has none."""
+        if not len(self.hashes):
+            return np.full(len(keys), np.nan)
+        wanted = np.fromiter((xxhash.xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, self.ratios[at], np.nan)
+
+    def learn(self, words: set[str]) -> None:
+        """Make the ratios of ``words`` known; may forget others."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self]
+        for start in range(0, len(new), 20_000):
+            some = new[start:start + 20_000]
+            contexts, letters, owner = [], [], []
+            for i, word in enumerate(some):
+                s = f"^{word}$"
+                for k in range(1, len(s)):
+                    contexts.append(s[max(0, k - CONTEXT):k])
+                    letters.append(s[k])
+                    owner.append(i)
+            found = self._find([f"{c} {x}" for c, x in zip(contexts, letters, strict=True)])
+            absent = np.flatnonzero(np.isnan(found))
+            found[absent] = np.nan_to_num(self._find([contexts[i] for i in absent]))
+            self.update(zip(some, np.bincount(owner, found, len(some)).tolist(), strict=True))
+
+
+def features(words: list[str], ratios: dict[str, float]) -> tuple[float, ...]:
+    """Features of a text from its words and their log ratios."""
     if not words:
         return (0.0,) * len(FEATURES)
     r = np.fromiter(map(ratios.__getitem__, words), np.float64, len(words))
@@ -184,22 +199,71 @@ def features(text: str, ratios: WordRatios) -> tuple[float, ...]:
     return float(r.mean()), float(np.maximum(r - EXCESS, 0).mean()), *top, math.log1p(len(r))
 
 
-def _with_features(df: DataFrame, table) -> DataFrame:
-    """Add the features of ``text``; the text itself is dropped."""
-    kept = [f for f in df.schema.fields if f.name != "text"]
+_FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in FEATURES])
+
+
+def _features_by_arrays(df: DataFrame, text: str, shared) -> DataFrame:
+    """Add ``features`` of ``text`` to ``df``; only the text travels to Python."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # A worker keeps a broadcast value over its tasks, and with it the words it has met.
+        model = shared.value
+        ratios = model.get("words") or model.setdefault("words", WordRatios(model["hashes"], model["ratios"]))
+        for whole in texts:
+            rows = []
+            for part in _slices(pa.RecordBatch.from_arrays([whole], names=["text"]), "text", SLICE_BYTES):
+                words = [_WORD.findall((t or "").lower()) for t in part.column(0).to_pylist()]
+                ratios.learn(set().union(*words))
+                rows += [features(w, ratios) for w in words]
+            columns = list(zip(*rows, strict=True)) or [()] * len(FEATURES)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], names=list(FEATURES))
+
+    return df.withColumn("features", F.arrow_udf(run, _FEATURES)(F.col(text)))
+
+
+def _word_ratios(counts: DataFrame, grams: DataFrame, ratios: DataFrame, work: Workspace) -> DataFrame:
+    """``word, ratio`` of every distinct word, by joins."""
+    key = F.concat("ctx", F.lit(" "), "ch").alias("key")
+    own, backed = ratios.select("key", "ratio"), ratios.select(F.col("key").alias("ctx"), F.col("ratio").alias("back"))
+    each = grams.select("ctx", "ch", key).join(own, "key", "left").join(backed, "ctx", "left")
+    each = work.save(each.select("ctx", "ch", F.coalesce("ratio", "back", F.lit(0.0)).alias("ratio")), "letters")
+    met = _letters(counts.select("word")).join(each, ["ctx", "ch"])
+    return work.save(met.groupBy("word").agg(F.sum("ratio").alias("ratio")), "ratios")
+
+
+def _text_key(text: str) -> list:
+    return [F.xxhash64(text).alias("t1"), F.crc32(text).alias("t2")]
+
+
+def _features_by_join(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
+    """Add ``features`` of ``text`` to ``df``: words are counted per text (equal texts count as one) and joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios = WordRatios(table.value)
         for whole in batches:
-            for batch in _slices(whole, "text"):
-                at = batch.schema.get_field_index("text")
-                x = [features(t or "", ratios) for t in batch.column(at).to_pylist()]
-                columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays(
-                    columns + [pa.array([v[i] for v in x], pa.float64()) for i in range(len(FEATURES))],
-                    names=[f.name for f in kept] + list(FEATURES))
-
-    return df.mapInArrow(run, T.StructType(kept + [T.StructField(n, T.DoubleType()) for n in FEATURES]))
+            for part in _slices(whole, "text", SLICE_BYTES):
+                for t1, t2, t in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
+                    found = Counter(_WORD.findall(t.lower()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([t1] * len(found), pa.int64()), pa.array([t2] * len(found), pa.int64()),
+                         pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["t1", "t2", "word", "n"])
+
+    texts = df.filter(F.col(text).isNotNull()).select(*_text_key(text), F.col(text).alias("text"))
+    uses = texts.mapInArrow(run, "t1 long, t2 long, word string, n long").groupBy("t1", "t2", "word").agg(F.max("n").alias("n"))
+    met = uses.join(words, "word").select("t1", "t2", "n", "ratio")
+    sums = met.groupBy("t1", "t2").agg(
+        (F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("mean"),
+        (F.sum(F.col("n") * F.greatest(F.col("ratio") - EXCESS, F.lit(0.0))) / F.sum("n")).alias("excess"),
+        F.log1p(F.sum("n").cast("double")).alias("length"))
+    place = F.row_number().over(Window.partitionBy("t1", "t2").orderBy(F.desc("ratio"), F.desc("n")))
+    best = met.withColumn("place", place).filter("place <= 3").groupBy("t1", "t2").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ratio", "n"))),
+                              lambda x: F.array_repeat(x["ratio"], F.least(x["n"], F.lit(3)).cast("int")))).alias("top"))
+    top = [F.coalesce(F.get("top", F.lit(i)), F.lit(0.0)).alias(f"word{i + 1}") for i in range(3)]
+    found = sums.join(best, ["t1", "t2"]).select("t1", "t2", F.struct("mean", "excess", *top, "length").alias("found"))
+    keyed = df.withColumns({"_t1": F.xxhash64(text), "_t2": F.crc32(text)})
+    none = F.struct(*[F.lit(0.0).alias(n) for n in FEATURES])
+    keyed = keyed.join(found, (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")), "left")
+    return keyed.withColumn("features", F.coalesce("found", none)).drop("_t1", "_t2", "t1", "t2", "found")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -222,22 +286,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 class Model:
     """A fitted model: ``score`` applies it."""
 
-    def __init__(self, table, weights: np.ndarray):
-        self.table, self.weights = table, weights
+    def __init__(self, add_features, weights: np.ndarray):
+        self.add_features, self.weights = add_features, weights
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with ``score`` and ``predicted`` added; a column named like a result is replaced."""
-        results = ("score", "predicted")
-        rows = df.select(F.struct(*[c for c in df.columns if c not in results]).alias("row"), F.col(text).alias("text"))
-        found = _with_features(rows, self.table)
+        row = F.struct(*[c for c in df.columns if c not in ("score", "predicted")]).alias("row")
+        found = self.add_features(df.select(row, F.col(text).alias("text")), "text")
         z = F.lit(float(self.weights[0]))
         for name, w in zip(FEATURES, self.weights[1:], strict=True):
-            z = z + F.lit(float(w)) * F.col(name)
+            z = z + F.lit(float(w)) * F.col("features")[name]
         score = 1 / (1 + F.exp(-z))
-        return found.select(
-            *[F.col("row")[c].alias(c) for c in df.columns if c not in results], score.alias("score"),
-            (score >= THRESHOLD).cast("int").alias("predicted"),
-        )
+        return found.select("row.*", score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def fold(doc_id: str = "doc_id"):
@@ -246,22 +306,28 @@ def fold(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, work: Workspace, doc_id: str = "doc_id", text: str = "text",
-        label: str = "toxic") -> Model:
+        label: str = "toxic", model_entries: int = MODEL_ENTRIES) -> Model:
     """Learn from ``docs`` (all their words) and ``labels`` (``doc_id`` and ``label``)."""
     spark = docs.sparkSession
     marked = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id"))
               .agg((F.max(label) > 0).cast("int").alias("toxic")).withColumn("fold", fold("id")).filter("fold <> 2"))
     marked = work.save(marked, "labels")
-    small = marked.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    small = at_most(marked, BROADCAST_LABELS)
     side = F.broadcast(marked) if small else marked
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(side, "id", "left")
     learn = rows.select("text", F.when(F.col("fold") < 2, F.col("toxic")).alias("toxic"))
     counts = work.save(_word_counts(learn).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "words")
     grams = work.save(_grams(counts), "grams")
-    table = spark.sparkContext.broadcast(_table(_ratios(grams, work)))
+    ratios = work.save(_ratios(grams, work).select("key", "ratio"), "entries")
+    if at_most(ratios, model_entries):
+        shared = spark.sparkContext.broadcast(_arrays(ratios))
+        add_features = lambda df, text: _features_by_arrays(df, text, shared)
+    else:
+        words = _word_ratios(counts, grams, ratios, work)
+        add_features = lambda df, text: _features_by_join(df, text, words)
     ids = marked.filter("fold = 3").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).select("id", "toxic")
     check = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
-    sample = _with_features(check.select("text", "toxic"), table).toPandas()
+    sample = add_features(check.select("text", "toxic"), "text").select("toxic", "features.*").toPandas()
     x, y = sample[list(FEATURES)].to_numpy(float), sample["toxic"].to_numpy(float)
     if len(y) and 0 < y.sum() < len(y):
         weights = _logistic(x, y)
@@ -269,4 +335,4 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, doc_id: str = "doc_
         share = marked.agg(F.sum("toxic"), F.count("*")).first()
         share = ((share[0] or 0) + 0.5) / (share[1] + 1)
         weights = np.array([math.log(share / (1 - share))] + [0.0] * len(FEATURES))
-    return Model(table, weights)
+    return Model(add_features, weights)
