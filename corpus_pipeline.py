@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, mixing, pii, resemblance, toxicity
-from wakeline.session import Workspace
+from wakeline.llm import bpe, mixing, pii, simhash, toxicity
+from wakeline.session import Workspace, at_most
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 MAX_REPETITION = 1.25  # how often the rarest source may be read; the most frequent one is read exactly once
@@ -28,21 +28,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 80 % of their five-word shingles stays, the one with the smallest
-    id; rows without an id stay unless a document with one is in their group."""
-    work = Workspace(spark, "resemblance")
-    group = work.save(resemblance.near_duplicates(docs.select("doc_id", "text"), work=work), "groups")
+    """One document of each group of linked SimHash fingerprints (three-word shingles, at most three differing bits)
+    stays, the one with the smallest id. Rows of one id are one document; rows without an id are grouped by equal
+    fingerprints, and one of them stays where no document with an id has theirs."""
+    work = Workspace(spark, "simhash")
+    group = work.save(simhash.near_duplicates(docs.select("doc_id", "text"), size=3, budget=3, work=work), "groups")
     gone = work.save(group.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    nameless = group.filter("doc_id IS NULL AND component_id IS NOT NULL").select("node").distinct()
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    ids = group.filter("doc_id = component_id").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if ids[0] > ids[1]:  # rows of one id are one document
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    if not nameless.isEmpty():
-        marked = resemblance.marked(kept.filter("doc_id IS NULL"))
-        kept = kept.filter("doc_id IS NOT NULL").unionByName(marked.join(nameless, "node", "left_anti").select(*docs.columns))
-    return kept
+    kept = docs.join(F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone, "doc_id", "left_anti")
+    ids = group.agg(F.count("doc_id"), F.count_distinct("doc_id"), F.count("*")).first()
+    named, nameless = kept.filter("doc_id IS NOT NULL"), kept.filter("doc_id IS NULL")
+    if ids[0] > ids[1]:
+        named = named.dropDuplicates(["doc_id"])
+    if ids[2] > ids[0]:
+        marked = simhash.fingerprints(nameless.withColumn("row", F.struct(*docs.columns)).select("row", "text"), "text", 3)
+        taken = group.filter("doc_id IS NOT NULL").select("fp").distinct()
+        marked = marked.join(taken, "fp", "left_anti").dropDuplicates(["fp"])
+        return named.unionByName(marked.select("row.*"))
+    return named
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

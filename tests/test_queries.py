@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import differences, duck
+from wakeline.catalog import oracle, registry
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = oracle.SQL
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +16,8 @@ def con():
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(SQL) <= set(entry.queries())
-    assert set(entry.queries()) - set(SQL) <= {"model_forecast", "growth_model"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) - set(SQL) <= {"model_forecast", "growth_model"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
