@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,15 +39,20 @@ def test_space_of_a_packed_list():
     assert bits < 2 + np.log2(500) + 1.5  # a 64-bit table has 64
 
 
-def test_chunks_encode_as_whole_texts():
+def test_pieces_encode_as_whole_texts():
     rng, plain = random.Random(5), library()
     letters = [" ", "  ", "\n", "\r\n", "\t", "\xa0", " ", "᠎", "​", "\x0b", "\x1c", "\x85", "a", "É", "ß", "中", "'s", "'ll", "1", "٣", "!", "<|endoftext|>",
                "😀", "́", "word", "'", "ʼ", "²", "_"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(20_000)]
     with open(PATH, encoding="utf-8") as f:
-        got = tokenfile.Encoder(f.read()).encode(texts)
-    want = plain.encode_batch_fast(texts, add_special_tokens=False)
-    assert all(np.frombuffer(g, "<u2").tolist() == w.ids for g, w in zip(got, want, strict=True))
+        encoder = tokenfile.Encoder(f.read())
+    want = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    for array in (pa.array(texts), pa.array(["x", *texts]).slice(1), pa.array([t for t in texts if not tokenfile._ODD_SPACE.search(t)])):
+        ids, lengths = encoder.encode(array)
+        expected = want if len(array) == len(texts) else [w for w, t in zip(want, texts, strict=True) if not tokenfile._ODD_SPACE.search(t)]
+        cuts = np.cumsum(lengths)
+        assert [ids[b - n:b].tolist() for b, n in zip(cuts, lengths, strict=True)] == expected
+    assert encoder.encode(pa.array(["", ""]))[1].tolist() == [0, 0]
 
 
 @pytest.mark.parametrize("file_bytes", [200, 1 << 30])

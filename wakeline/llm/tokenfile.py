@@ -13,9 +13,9 @@ a bit vector of at most three bits a value. Every ``SAMPLE``-th set bit's place
 there, so one offset, or the offsets of a run of documents, are found without a table of 64-bit offsets.
 
 The blocks go through Spark's text writer, whose line break follows the last id and is ignored. Folder names hold
-file number, documents and token ids, so the manifest needs no file to be opened. Texts are cut into chunks of white
-space and what follows it, which the byte-level pre-tokeniser never joins; the tokenizers library encodes each distinct
-chunk, and a worker remembers at most ``CACHE_ENTRIES`` of them. A text with unusual white space goes to it whole.
+file number, documents and token ids, so the manifest needs no file to be opened. Texts are cut where the byte-level
+pre-tokeniser always cuts; the tokenizers library encodes each distinct piece, and a worker remembers them, forgetting
+all beyond ``CACHE_ENTRIES``. A text with unusual white space goes to the library whole.
 
 Defined cases: a null text is empty, and an empty text has only the end id; a null doc_id comes first; rows of one
 doc_id are ordered by the hash of the text, equal rows stand in any order; an empty table gives no file; other columns
@@ -25,6 +25,7 @@ are ignored; one document has to fit a task (its ids in memory), a file holds at
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import at_most
-from .bpe import _CHUNK, _ODD_SPACE, _slices
+from .bpe import _ODD_SPACE, _slices
 from .order import running_totals
 
 FILE_BYTES = 64_000_000  # of text for each file
@@ -46,6 +47,13 @@ SAMPLE = 256
 MAGIC = b"WKTOKEN1"
 HEADER, LIST = "<8sIQQQqQQ", "<QQIQ"  # formats of the headers of a file and of a list
 
+SPACE, LETTER, SIGN = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b" \n\t\r")] = SPACE
+for _c in range(33, 127):
+    _KIND[_c] = LETTER if chr(_c).isalpha() else 0 if chr(_c).isdigit() else SIGN
+_ODD_SPACE_BYTES = re.compile(b"|".join(re.escape(chr(c).encode()) for c in range(0x3001) if _ODD_SPACE.match(chr(c))))
+
 
 def pack(values: np.ndarray) -> bytes:
     """Elias-Fano form of an ascending array of unsigned 64-bit values."""
@@ -113,18 +121,18 @@ class TokenFile:
         return [None] * none + [int(v) + self.smallest for v in values]
 
 
-def block(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
+def block(doc_ids: list[int | None], lengths: np.ndarray, ids: bytes, width: int) -> bytes:
     """Content of a file; documents without an id come first, the others ascend."""
     named = [d for d in doc_ids if d is not None]
     smallest = named[0] if named else 0
-    bounds = pack(np.cumsum(np.array(lengths, np.uint64)))
+    bounds = pack(np.cumsum(lengths).astype(np.uint64))
     names = pack(np.array([d - smallest for d in named], np.uint64))
     head = struct.pack(HEADER, MAGIC, width, len(doc_ids), len(doc_ids) - len(named), len(ids) // width, smallest, len(bounds), len(names))
     return b"".join([head, bounds, names, ids])
 
 
 class Encoder:
-    """Whole texts to packed token ids, by the JSON text of a tokenizers file."""
+    """Whole texts to token ids, by the JSON text of a tokenizers file."""
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
@@ -132,23 +140,85 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> Iterator[bytes]:
+        vocabulary = self.library.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token is a byte of text
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
+        self.cache: dict[bytes, bytes] = {}
+
+    def _library(self, texts: list[str]) -> Iterator[np.ndarray]:
         for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, f"<u{self.width}").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
+            yield np.array(found.ids, self.dtype)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encode pieces and remember them. Words that begin with white space go to the library as one long text,
+        whose ids are cut again where the pieces end."""
+        spaced = [p for p in pieces if p[0] in b" \n\t\r" and p[-1] not in b" \n\t\r"]
+        runs = [spaced[i:i + 100] for i in range(0, len(spaced), 100)]
+        alone = [p for p in pieces if p[0] not in b" \n\t\r" or p[-1] in b" \n\t\r"]
+        for run, ids in zip(runs, self._library([b"".join(r).decode(errors="replace") for r in runs]), strict=True):
+            ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)))
+            covered = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(covered, ends) + 1
+            if cuts[-1] != len(ids) or (covered[cuts - 1] != ends).any():
+                alone += run  # bytes that are no UTF-8
+                continue
+            starts = [0, *cuts[:-1].tolist()]
+            self.cache.update((p, ids[i:j].tobytes()) for p, i, j in zip(run, starts, cuts.tolist(), strict=True))
+        self.cache.update(zip(alone, (x.tobytes() for x in self._library([p.decode(errors="replace") for p in alone])), strict=True))
+
+    def _pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in ``data`` that begin at ``starts[:-1]``, and how many each has.
+
+        Texts are cut before white space, and between a letter and a sign of ASCII: the pre-tokeniser cuts there, and
+        never looks back."""
+        kind = _KIND[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[1:] == SPACE) & (kind[:-1] != SPACE) | (kind[1:] == SIGN) & (kind[:-1] == LETTER)
+        cut[starts] = True
+        cut[-1] = True
+        bounds = np.flatnonzero(cut)
+        coded = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
+        coded = coded.dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        new = list({c for chunks in cut if chunks for c in chunks}.difference(self.cache))
-        for at in range(0, len(new), 50_000):
-            self.cache.update(zip(new[at:at + 50_000], self._library(new[at:at + 50_000]), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) if chunks is not None else next(self._library([text]))
-                for text, chunks in zip(texts, cut, strict=True)]
+        new = [p for p in distinct if p not in self.cache]
+        if new:
+            self._learn(new)
+        packed = list(map(self.cache.__getitem__, distinct))
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        each = size[codes]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(packed), self.dtype)[np.repeat(first[codes] - ends + each, each) + np.arange(ends[-1])]
+        before = np.concatenate([[0], ends])
+        return ids, np.diff(before[np.searchsorted(bounds[:-1], starts)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[starts[0]:starts[-1]]
+        starts = starts - starts[0]
+        if not len(data):
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        odd = {int(np.searchsorted(starts, m.start(), "right")) - 1 for m in _ODD_SPACE_BYTES.finditer(data)}
+        if not odd:
+            return self._pieces(data, starts)
+        ids, lengths, at = [], [], 0
+        for i in [*sorted(odd), len(texts)]:
+            if i > at and starts[i] > starts[at]:
+                found, n = self._pieces(data[starts[at]:starts[i]], starts[at:i + 1] - starts[at])
+                ids.append(found)
+                lengths += n.tolist()
+            else:
+                lengths += [0] * (i - at)
+            if i < len(texts):
+                ids.append(next(self._library([data[starts[i]:starts[i + 1]].tobytes().decode(errors="replace")])))
+                lengths.append(len(ids[-1]))
+            at = i + 1
+        return np.concatenate(ids), np.array(lengths, np.int64)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> None:
@@ -162,18 +232,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value.get("encoder") or shared.value.setdefault("encoder", Encoder(shared.value["tokenizer"]))
-        end = np.array([end_id], f"<u{encoder.width}").tobytes()
         doc_ids, lengths, ids = [], [], []
         for whole in batches:
             for batch in _slices(whole, "text", BATCH_BYTES):
-                for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    doc_ids.append(doc_id)
-                    lengths.append(len(found) // encoder.width + 1)
-                    ids += (found, end)
+                found, n = encoder.encode(batch.column(1))
+                doc_ids += batch.column(0).to_pylist()
+                lengths.append(n + 1)
+                ids.append(np.insert(found, np.cumsum(n), end_id))
         if doc_ids:
-            content = block(doc_ids, lengths, b"".join(ids), encoder.width)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "documents": pa.array([len(doc_ids)], pa.int64()),
-                                              "tokens": pa.array([sum(lengths)], pa.int64()), "content": pa.array([content], pa.binary())})
+            lengths = np.concatenate(lengths)
+            content = block(doc_ids, lengths, b"".join(ids), encoder.dtype.itemsize)
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([TaskContext.get().partitionId()], pa.int64()), "documents": pa.array([len(doc_ids)], pa.int64()),
+                "tokens": pa.array([int(lengths.sum())], pa.int64()), "content": pa.array([content], pa.binary())})
 
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
