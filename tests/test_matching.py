@@ -63,6 +63,47 @@ def test_shared_names_make_no_useless_pairs(spark):
     assert tested == [0, 0]
 
 
+def test_words_in_another_order_make_no_pairs(spark):
+    """A phrase is looked up by neighbouring words: the same words the other way round, or apart, meet nothing."""
+    schema = "video_id string, title string, channel_title string, tags array<string>, published_at timestamp"
+    for n in (100, 300):
+        v = spark.createDataFrame([(f"vid{i:08d}", "walkthrough gameplay", "gaming", [], None) for i in range(n)], schema)
+        texts = ["gaming gameplay walkthrough", "gaming walkthrough of gameplay", "gaming walkthrough\tis gameplay", "gaming walkthroughs gameplay"]
+        posts = spark.createDataFrame([(f"p{i}", texts[i % 4]) for i in range(n)], "post_id string, text string")
+        prints = fingerprint.fingerprints(v)
+        assert fingerprint.candidate_pairs(posts, prints).count() == 0
+        assert fingerprint.verify(posts, prints).count() == 0
+    found = fingerprint.verify(spark.createDataFrame([("p", "Gaming xwalkthrough gameplays")], "post_id string, text string"), prints)
+    assert found.count() == n  # inside words at both ends
+
+
+def test_phrases_of_many_words_and_odd_spaces(spark):
+    """Single words, three words, two spaces, tabs, and names that lost a sign between two spaces."""
+    schema = "video_id string, title string, channel_title string, tags array<string>, published_at timestamp"
+    v = spark.createDataFrame([
+        ("vid00000001", "Zed  Prime Cut", "A & B", [], None), ("vid00000002", "one two three four", "Mister Long Name", [], None),
+        ("vid00000003", "unboxing", "Mister Long Name", [], None), ("vid00000004", "Tab\there it goes", "Ok & Go", [], None)], schema)
+    texts = ["a  b: zed  prime cut", "a  b: zed prime cut", "a b zed  prime cut", "mister long name one two three four", "mister long name two three one four",
+             "name long mister unboxings", "xmister long names unboxings", "ok  go tab\there it goes", "ok  go tab here it goes", "unboxing", ""]
+    posts = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "post_id string, text string")
+    prints = fingerprint.fingerprints(v)
+    got = {(r["post_id"], r["video_id"], r["match_type"]) for r in fingerprint.verify(posts, prints).collect()}
+    fp = F.struct(*[F.col(c) for c in ("video_id", "creator_variants", "distinctive_phrases", "topic_words")])
+    rows = posts.crossJoin(prints).select("post_id", "video_id", fingerprint.evidence(F.lower("text"), fp).alias("e")).where("e IS NOT NULL")
+    want = {(r["post_id"], r["video_id"], r["e"]["match_type"]) for r in rows.collect()}
+    assert got == want and {("p0", "vid00000001", "phrase_match"), ("p6", "vid00000003", "phrase_match")} <= want
+
+
+def test_posts_and_comments_from_one_index(spark):
+    v = spark.createDataFrame([("vid00000001", "secret maze", "gardenia", [], None)],
+                              "video_id string, title string, channel_title string, tags array<string>, published_at timestamp")
+    posts = spark.createDataFrame([("c1", "gardenia: secret maze"), ("1", None), ("p1", "vid00000001")], "post_id string, text string")
+    comments = spark.createDataFrame([("c1", "secret maze"), ("1", "gardenia secret maze")], "platform_id string, body string")
+    of_posts, of_comments = fingerprint.verify_together(posts, comments, fingerprint.fingerprints(v))
+    assert {(r.post_id, r.match_type) for r in of_posts.collect()} == {("c1", "phrase_match"), ("p1", "url")}
+    assert {(r.platform_id, r.match_type) for r in of_comments.collect()} == {("1", "phrase_match")}
+
+
 def test_evidence_equals_the_nested_loop(spark):
     rng = random.Random(7)
     words = ["mark", "rober", "marksmanship", "glitter", "bomb", "package", "thief", "squirrel", "maze", "backyard",

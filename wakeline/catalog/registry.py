@@ -146,8 +146,10 @@ def video_engagement(spark, sf):
     """Engagement from all three tiers, over comments and posts."""
     c, v, p = D.comments(spark, sf), D.videos(spark, sf), D.posts(spark, sf)
     prints = settled(fingerprint.fingerprints(v), "prints")
-    accepted = settled(fingerprint.collect_by_tier(fingerprint.post_text(p, c), v, prints), "accepted")
-    d = engagement_plan.matched_discussions(c, prints, accepted)
+    posts = fingerprint.post_text(p, c)
+    of_posts, of_comments = fingerprint.verify_together(posts, engagement_plan.spoken(c), prints)
+    accepted = settled(fingerprint.collect_by_tier(posts, v, prints, found=of_posts), "accepted")
+    d = engagement_plan.matched_discussions(c, prints, accepted, own=of_comments)
     return _engagement_columns(engagement_plan.video_engagement(d, c, D.facts(spark, sf), accepted))
 
 

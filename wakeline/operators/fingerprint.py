@@ -7,10 +7,13 @@ The tests are substring tests, so the obvious plan is a nested-loop join. Instea
 what a match cannot avoid, which turns every tier into hash joins followed by the exact test:
 
 * an id of 11 characters lies in a run of id characters, so it equals one of the run's 11-grams;
-* the longest word of a name or phrase lies inside one word of the text, and its first five characters are
-  a 5-gram of that word;
-* with n title words and k needed, any n-k+1 of them include a matched one, so only the longest n-k+1 have
-  to be looked up.
+* the only word of a name or phrase lies inside one word of the text, and its first five characters are a 5-gram
+  of that word;
+* a name or phrase of several words is an inverted index entry with positions: its neighbouring words stand next to
+  each other in the text, the left one at the end of a text word, the right one at the start of the next. The same
+  words in another order, or apart, meet nothing;
+* with n title words and k needed, any n-k+1 of them include a matched one, so only the rarest n-k+1 have
+  to be looked up, and only in texts that mention a name.
 """
 
 from __future__ import annotations
@@ -139,11 +142,6 @@ def evidence(text_lower: Column, fp: Column) -> Column:
     )
 
 
-def _key_word(phrase: Column) -> Column:
-    """Longest word of a phrase; a text with the phrase has a word that contains it."""
-    return F.element_at(_by_length(tx.runs(F.lower(phrase))), 1)
-
-
 def _id_grams(text_lower: Column) -> Column:
     runs = F.regexp_extract_all(text_lower, F.lit(r"[a-z0-9_\-]{11,}"), F.lit(0))
     grams = F.transform(
@@ -153,32 +151,83 @@ def _id_grams(text_lower: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def _grams(word: Column) -> Column:
-    """Character runs of one to five characters of a word."""
-    sizes = F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length(word)))
-    runs = F.transform(
-        sizes,
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)),
-    )
-    return F.array_distinct(F.flatten(runs))
+def _grams(word: Column, sizes: list[int]) -> Column:
+    """Character runs of the given sizes of a word."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), _gram(word, n)) for n in sizes]
+    return F.array_distinct(F.flatten(F.array(*runs)))
 
 
-def words_with(posts: DataFrame, parts: DataFrame, key: str, text: str) -> DataFrame:
-    """(post, part) rows where some word of the post contains the part.
+def _gram(word: Column, size: int):
+    return lambda i: F.substring(word, i, size)
 
-    The containment test runs once per distinct word of the corpus: words and parts meet on the part's first
-    five characters, then the test is exact. Posts only join the words that passed.
-    """
+
+def _edge(part: Column, end: bool) -> Column:
+    """The last, or first, five characters of a part (fewer, if it is shorter)."""
+    return F.substring(part, -_GRAM if end else 1, _GRAM)
+
+
+def word_pairs(posts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, word, next``: words of each text with the word that follows, null after the last; each pair once."""
+    split = posts.select(key, tx.runs(F.lower(text)).alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))
     # explode_outer: a plain explode would evaluate the array a second time for an inferred size filter.
-    words = posts.select(key, F.explode_outer(F.array_distinct(tx.runs(F.lower(text)))).alias("word")).where(
-        F.col("word") != ""
-    )
+    return split.select(key, F.explode_outer(F.array_distinct(pairs)).alias("p")).select(key, "p.word", "p.next").where(
+        F.col("word").isNotNull())
+
+
+def _words_around(vocabulary: DataFrame, parts: DataFrame, sizes: list[int]) -> DataFrame:
+    """``word, part``: words that contain a part. They meet on the part's first characters, then the test is exact."""
     index = parts.select("part", F.substring("part", 1, _GRAM).alias("gram"))
-    vocabulary = words.select("word").distinct().select("word", F.explode_outer(_grams(F.col("word"))).alias("gram"))
-    hits = vocabulary.join(index, "gram").where(F.contains("word", F.col("part"))).select("word", "part")
+    grams = vocabulary.select("word", F.explode_outer(_grams(F.col("word"), sizes)).alias("gram"))
+    return grams.join(index, "gram").where(F.contains("word", F.col("part"))).select("word", "part")
+
+
+def _words_at_edge(vocabulary: DataFrame, parts: DataFrame, end: bool) -> DataFrame:
+    """``word, part``: words that end, or begin, with a part."""
+    index = parts.select("part", _edge(F.col("part"), end).alias("gram"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length("word")))
+    cut = (lambda n: F.substring("word", -n, n)) if end else (lambda n: F.substring(F.col("word"), F.lit(1), n))
+    grams = vocabulary.select("word", F.explode_outer(F.transform(sizes, cut)).alias("gram"))
+    fits = F.endswith("word", "part") if end else F.startswith("word", "part")
+    return grams.join(index, "gram").where(fits).select("word", "part")
+
+
+def words_with(pairs: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(post, part) rows where some word of the post contains the part (column ``part``). The test runs once per distinct
+    word of the corpus; posts only join the words that passed."""
+    sizes = sorted(r[0] for r in parts.select(F.least(F.length("part"), F.lit(_GRAM)).alias("n")).where("n > 0").distinct().collect())
+    words = pairs.select(key, "word").where(F.length("word") >= (sizes or [1])[0]).distinct()
+    hits = _words_around(words.select("word").distinct(), parts, sizes or [1])
     return words.join(hits, "word").select(key, "part").distinct()
 
 
+def phrase_places(pairs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """``key, phrase``: posts in which a phrase (lower case) may stand; none in which it does is missing.
+
+    Of a phrase with several words the rarest pair of neighbours is joined; a phrase whose other pairs occur nowhere
+    has no place. One without neighbours (a single word, or words with more than one space between) is looked up by
+    its longest word."""
+    words = phrases.select("phrase").distinct().withColumn("w", tx.runs(F.col("phrase")))
+    twos = F.filter(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w")).alias("b")),
+                    lambda p: (p["a"] != "") & (p["b"] != ""))
+    words = words.withColumn("twos", F.when(F.size("w") > 1, twos).otherwise(F.slice(twos, 1, 0)))
+    single = words.where(F.size("twos") == 0).select("phrase", F.element_at(_by_length(F.col("w")), 1).alias("part"))
+    found = words_with(pairs, single.select("part").distinct(), key).join(single, "part").select(key, "phrase")
+
+    two = settled(words.select("phrase", F.explode("twos").alias("p")).select("phrase", "p.a", "p.b").distinct(), "pairs")
+    vocabulary = pairs.select("word").where("word <> ''").distinct()
+    ends = _words_at_edge(vocabulary, two.select(F.col("a").alias("part")).distinct(), True)
+    starts = _words_at_edge(vocabulary, two.select(F.col("b").alias("part")).distinct(), False)
+    beside = pairs.where("next <> ''").join(ends.withColumnRenamed("part", "a"), "word").join(
+        starts.select(F.col("word").alias("next"), F.col("part").alias("b")), "next")
+    places = settled(beside.join(two.select("a", "b").distinct(), ["a", "b"], "left_semi").select(key, "a", "b").distinct(), "places")
+    seen = places.groupBy("a", "b").agg(F.count("*").alias("posts"))
+    rarest = two.join(seen, ["a", "b"], "left").groupBy("phrase").agg(
+        F.min_by(F.struct("a", "b"), F.struct("posts", "a", "b")).alias("p"), F.count_if(F.col("posts").isNull()).alias("absent")
+    ).where("absent = 0").select("phrase", "p.a", "p.b")
+    return found.unionByName(places.join(rarest, ["a", "b"]).select(key, "phrase"))
+
+
 def id_matches(posts: DataFrame, videos: DataFrame, key: str = "post_id", text: str = "text") -> DataFrame:
     """Tier 1 over whole tables: posts whose text contains a video's id, as a hash join on 11-grams."""
     grams = posts.select(key, F.explode_outer(_id_grams(F.lower(text))).alias("gram"))
@@ -192,8 +241,8 @@ def verify(
     """All (post, video) pairs with evidence: ``key, video_id, match_type, similarity_score``.
 
     A text match needs a creator name and, with it, a phrase or enough title words. So posts are first looked
-    up by the key words of names (distinct names, so one shared by many videos costs one lookup), then by
-    (name, rarest word of a phrase or of the title) together. Only pairs that agree on both are tested in full.
+    up by names (distinct names, so one shared by many videos costs one lookup), then by (name, phrase) or
+    (name, rare title word) together. Only pairs that agree on both are tested in full.
     """
     by_id = id_matches(posts, prints, key, text).select(
         key, "video_id", F.lit("url").alias("match_type"), F.lit(1.0).alias("similarity_score")
@@ -215,30 +264,31 @@ def verify(
 
 def candidate_pairs(posts: DataFrame, prints: DataFrame, key: str = "post_id", text: str = "text") -> DataFrame:
     """(post, video) pairs in which a name and a rare enough clue of the video occur; no text match is missing."""
-    # What to look for: names, and per video the phrases and its longest title words.
+    pairs = settled(word_pairs(posts, key, text), "words")  # one pass over the texts
     named = prints.select("video_id", F.explode(safe_variants(F.col("creator_variants"))).alias("name"))
-    names = named.select("name", _key_word(F.col("name")).alias("part")).distinct()
+    mentions = settled(phrase_places(pairs, named.select(F.col("name").alias("phrase")), key)
+                       .withColumnRenamed("phrase", "name"), "mentions")
+    pairs = settled(pairs.join(mentions.select(key).distinct(), key, "left_semi"), "words")
+
+    phrases = prints.select("video_id", F.explode("distinctive_phrases").alias("phrase")).select(
+        "video_id", F.lower("phrase").alias("phrase"))
+    by_phrase = phrase_places(pairs, phrases, key).select(key, F.concat(F.lit("p:"), "phrase").alias("clue"))
+
     n_words = F.size("topic_words")
-    title = F.when(n_words >= 3, F.array(F.struct(
-        F.lit(-1).alias("clue"), (n_words - needed_words(n_words) + 1).alias("keep"), F.col("topic_words").alias("words"))))
-    phrases = F.transform("distinctive_phrases", lambda p, i: F.struct(
-        i.alias("clue"), F.lit(1).alias("keep"), F.array_distinct(tx.runs(F.lower(p))).alias("words")))
-    groups = prints.select("video_id", F.explode(F.concat(phrases, F.coalesce(title, F.slice(phrases, 1, 0)))).alias("g"))
-    words = groups.select("video_id", "g.clue", "g.keep", F.explode("g.words").alias("part"))
-    looked_for = names.select("part").unionByName(words.select("part")).distinct()
-
-    # Where it occurs. A text with a phrase has all its words, and one with enough title words has one of the
-    # rarest ``keep``: only these are joined, so a pair costs nothing unless its rarest clue is there.
-    present = settled(words_with(posts, looked_for, key, text), "present")  # one pass over the texts, used three times
+    titles = prints.where(n_words >= 3).select(
+        "video_id", (n_words - needed_words(n_words) + 1).alias("keep"), F.explode("topic_words").alias("part"))
+    present = settled(words_with(pairs, titles.select("part").distinct(), key), "present")
     seen = present.groupBy("part").agg(F.count("*").alias("posts"))
-    rarest = Window.partitionBy("video_id", "clue").orderBy(F.coalesce("posts", F.lit(0)), F.desc(F.length("part")), "part")
-    clues = (
-        words.join(seen, "part", "left").withColumn("r", F.row_number().over(rarest))
-        .where((F.col("r") <= F.col("keep")) & F.col("posts").isNotNull()).select("video_id", "part")
+    rarest = Window.partitionBy("video_id").orderBy(F.coalesce("posts", F.lit(0)), F.desc(F.length("part")), "part")
+    rare = (
+        titles.join(seen, "part", "left").withColumn("r", F.row_number().over(rarest))
+        .where((F.col("r") <= F.col("keep")) & F.col("posts").isNotNull()).select("video_id", F.concat(F.lit("w:"), "part").alias("clue"))
     )
-    mentions = present.join(names, "part").select(key, "name").distinct()
-    by_name = named.join(clues, "video_id").select("name", "part", "video_id").distinct()
-    return mentions.join(present, key).join(by_name, ["name", "part"]).select(key, "video_id").distinct()
+    clues = phrases.select("video_id", F.concat(F.lit("p:"), "phrase").alias("clue")).unionByName(rare)
+    by_name = named.join(clues, "video_id").select("name", "clue", "video_id").distinct()
+    there = by_phrase.unionByName(present.select(key, F.concat(F.lit("w:"), "part").alias("clue")))
+    there = there.join(by_name.select("clue").distinct(), "clue", "left_semi")
+    return mentions.join(there, key).join(by_name, ["name", "clue"]).select(key, "video_id").distinct()
 
 
 def post_text(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
@@ -265,16 +315,28 @@ def post_text(posts: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     ).drop("_bodies")
 
 
+def verify_together(posts: DataFrame, comments: DataFrame, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Evidence of posts (``post_id, text``) and of comments (``platform_id, body``), from one index over both."""
+    texts = posts.select(F.concat(F.lit("p"), "post_id").alias("key"), "text").unionByName(
+        comments.select(F.concat(F.lit("c"), "platform_id").alias("key"), F.col("body").alias("text")))
+    found = settled(verify(settled(texts, "texts"), prints, "key"), "evidence")
+
+    def of(kind: str, name: str) -> DataFrame:
+        return found.where(F.startswith("key", F.lit(kind))).withColumn(name, F.expr("substring(key, 2)")).drop("key")
+
+    return of("p", "post_id"), of("c", "platform_id")
+
+
 def collect_by_tier(
-    posts: DataFrame, videos: DataFrame, prints: DataFrame, gate: int = V.TIER_GATE_POSTS
+    posts: DataFrame, videos: DataFrame, prints: DataFrame, gate: int = V.TIER_GATE_POSTS, found: DataFrame | None = None
 ) -> DataFrame:
-    """Posts accepted for each video.
+    """Posts accepted for each video; ``found`` is their evidence, where it is known already.
 
     Spam communities never count, negative scores only by URL, and posts older than the publish window are
     out. Text tiers are used for a video only while the tiers before hold fewer than ``gate`` posts.
     """
     ok = posts.where(~tx.is_spam_subreddit(F.col("subreddit")))
-    found = verify(ok, prints).join(
+    found = (verify(ok, prints) if found is None else found).join(
         ok.select("post_id", "subreddit", "score", "num_comments", "created_at"), "post_id"
     ).join(videos.select("video_id", F.col("published_at").alias("_published")), "video_id")
     tier = F.when(F.col("match_type") == "url", 1).when(F.col("match_type") == "phrase_match", 2).otherwise(3)

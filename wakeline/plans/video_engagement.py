@@ -25,16 +25,23 @@ def best_comments(comments: DataFrame, n: int | None = TOP_COMMENTS) -> DataFram
     return ranking.top_per_group(worthy, ["post_id"], [F.desc("score"), F.asc("platform_id")], n, "comment_rank")
 
 
+def spoken(comments: DataFrame) -> DataFrame:
+    """Community comments with a text."""
+    return comments.where((F.col("platform") == "reddit") & (F.coalesce("body", F.lit("")) != ""))
+
+
 def matched_discussions(
-    comments: DataFrame, prints: DataFrame, accepted: DataFrame | None = None, per_post: int | None = None
+    comments: DataFrame, prints: DataFrame, accepted: DataFrame | None = None, per_post: int | None = None,
+    own: DataFrame | None = None,
 ) -> DataFrame:
     """(video, comment) rows: comments that carry evidence themselves, then worthy comments of accepted posts,
     all of them or the best ``per_post``.
 
-    A comment found both ways counts once, with its own evidence.
+    A comment found both ways counts once, with its own evidence (``own``, where it is known already).
     """
-    reddit = comments.where((F.col("platform") == "reddit") & (F.coalesce("body", F.lit("")) != ""))
-    own = fingerprint.verify(reddit, prints, key="platform_id", text="body").withColumn("source_rank", F.lit(0))
+    reddit = spoken(comments)
+    own = fingerprint.verify(reddit, prints, key="platform_id", text="body") if own is None else own
+    own = own.select("platform_id", "video_id", "match_type", "similarity_score").withColumn("source_rank", F.lit(0))
     found = own
     if accepted is not None:
         top = best_comments(comments, per_post).select("post_id", "platform_id")
