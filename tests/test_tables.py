@@ -2,20 +2,23 @@
 
 import datetime as dt
 import json
+import os
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from wakeline import schemas
 from wakeline.operators import ranking, scoring, sentiment, upsert
 from wakeline.session import settled
-from wakeline.sources import payloads, tables
+from wakeline.sources import payloads, stored, tables
 from wakeline.streaming import comments as streams
 
 T0 = dt.datetime(2024, 5, 10)
 
 
 def rows_of(df, *cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
 
 def test_field_wise_upsert_is_idempotent(spark):
@@ -105,30 +108,129 @@ def test_ranking_helpers(spark):
     assert rows_of(ranking.last_turns(turns), "turn") == [(i,) for i in range(3, 9)]
 
 
+COMMENT = "platform string, platform_id string, parent_id string, body string, published_at timestamp, ingested_at timestamp"
+
+
+def comment_rows(ids, later=0, body=None):
+    return [("reddit" if i % 2 else "youtube", f"c{i}", f"s{i % 3}", body or ("good" if i % 4 else "see https://youtu.be/dQw4w9WgXcQ bad"),
+             T0 + dt.timedelta(hours=i), T0 + dt.timedelta(hours=i + later)) for i in ids]
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    cols = "platform string, platform_id string, parent_id string, body string, published_at timestamp, ingested_at timestamp"
-    rows = [("reddit" if i % 2 else "youtube", f"c{i}", f"s{i % 3}", "good" if i % 4 else "see https://youtu.be/dQw4w9WgXcQ bad",
-             T0 + dt.timedelta(hours=i), T0 + dt.timedelta(hours=i)) for i in range(40)]
-    for n, part in enumerate((rows[:25], rows[15:])):  # ten comments arrive twice
-        spark.createDataFrame(part, cols).coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
+    rows = comment_rows(range(40))
+    # Ten comments arrive twice, five of them once more in a third batch, long after the first copy.
+    for n, part in enumerate((rows[:25], rows[15:], rows[:5])):
+        spark.createDataFrame(part, COMMENT).coalesce(1).write.parquet(f"{tmp_path}/in/b{n}")
     lex = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "term string, valence double")
     scorer = lambda t: scoring.lexicon_scores(t, lex)
-    source = lambda: streams.read_stream(spark, f"{tmp_path}/in/*", cols, files_per_batch=1)
+    source = lambda: streams.read_stream(spark, f"{tmp_path}/in/*", COMMENT, files_per_batch=1)
     log, scores = f"{tmp_path}/log", f"{tmp_path}/scores"
+    landed = []
     for _ in range(2):  # a restart finds nothing new
-        streams.ingest(source(), log, f"{tmp_path}/cp", streams.score_into(scores, scorer)).awaitTermination()
-    assert spark.read.parquet(log).count() == 50 and spark.read.parquet(scores).count() == 50
+        streams.ingest(source(), log, f"{tmp_path}/cp", lambda batch, n: landed.append(batch.count())).awaitTermination()
+        streams.score_once(streams.read_stream(spark, f"{log}/*/*", COMMENT, files_per_batch=1), scores, scorer, f"{tmp_path}/cps").awaitTermination()
+    assert sorted(landed) == [5, 25, 25] and spark.read.parquet(log).count() == 55
+    assert spark.read.parquet(scores).count() == 40  # every comment once, over three batches
     streams.ingest(source(), log, f"{tmp_path}/other").awaitTermination()  # a new checkpoint erases nothing
-    assert spark.read.parquet(log).count() == 100
-    state = streams.current_comments(spark.read.parquet(log), spark.read.parquet(scores))
+    assert spark.read.parquet(log).count() == 110
+    streams.score_once(source(), scores, scorer, f"{tmp_path}/others").awaitTermination()  # and scores nothing again
+    assert spark.read.parquet(scores).count() == 40
+    state = streams.comment_state(spark, log, scores)
     assert state.count() == 40 and state.where("sentiment_processed").count() == 40
 
-    batch = spark.createDataFrame(rows, cols)
-    streams.run_updates(streams.running_shares(streams.deduplicated(source(), "7 days")), f"{tmp_path}/u", f"{tmp_path}/cp2").awaitTermination()
+    batch = spark.createDataFrame(rows, COMMENT)
+    for run in ("cp2", "cp3"):
+        streams.run_updates(streams.running_shares(source()), f"{tmp_path}/u", f"{tmp_path}/{run}").awaitTermination()
     now = streams.newest_update(spark.read.parquet(f"{tmp_path}/u"), ["video_id"])
     assert now.collect() == streams.running_shares(batch).collect()
-    dist = streams.running_distribution(state)
+    labelled = lambda df: df.withColumn("sentiment_label", F.lit("positive"))
+    streams.run_updates(streams.running_distribution(labelled(source())), f"{tmp_path}/d", f"{tmp_path}/cp4").awaitTermination()
+    dist = streams.newest_update(spark.read.parquet(f"{tmp_path}/d"), ["platform", "parent_id"])
     assert dist.agg(F.sum("n")).first()[0] == 40
+    assert rows_of(dist, "platform", "parent_id", "n") == rows_of(streams.running_distribution(labelled(batch)), "platform", "parent_id", "n")
+
+
+def test_the_last_run_has_the_newest_update(spark, tmp_path):
+    """A later run's first batch is newer than an earlier run's last one."""
+    log = f"{tmp_path}/log"
+    first = streams.run_name(spark, log, "one")
+    spark.createDataFrame([("v", 9)], "video_id string, shares long").write.parquet(f"{log}/{first}/batch_id=5")
+    second = streams.run_name(spark, log, "two")
+    spark.createDataFrame([("v", 1)], "video_id string, shares long").write.parquet(f"{log}/{second}/batch_id=0")
+    assert streams.run_name(spark, log, "one") == first < second == streams.run_name(spark, log, "two")
+    assert streams.newest_update(spark.read.parquet(log), ["video_id"]).collect() == [("v", 1)]
+
+
+def test_compacted_logs_keep_the_state(spark, tmp_path):
+    """Twenty batches with late and partial copies: equal state, a flat number of files to read."""
+    log, plain, read = f"{tmp_path}/log", f"{tmp_path}/plain", []
+    run = streams.run_name(spark, log, "cp")
+    for n in range(20):
+        rows = [(*r[:3], None if n % 3 == 1 else f"text {n}", *r[4:]) for r in comment_rows(range(n, n + 6), later=(n * 7) % 11)]
+        for where in (log, plain):
+            spark.createDataFrame(rows, COMMENT).coalesce(1).write.parquet(f"{where}/{run}/batch_id={n}")
+        if n % 4 == 3:
+            streams.compact(spark, log)
+        read.append(len(streams.batches(spark, log, streams.generations.newest(spark, log)[1].get("covered"))))
+    assert max(read) <= 3 and read[-1] == 0 and len(streams.batches(spark, plain)) == 20
+    columns = [c.split()[0] for c in COMMENT.split(", ")]
+    assert rows_of(streams.comment_state(spark, log), *columns) == rows_of(streams.comment_state(spark, plain), *columns)
+    left = [n for n in streams.generations.children(spark, log) if n.startswith("_snapshot")]
+    assert len(left) == 2  # the newest, and the one a reader may still use
+
+
+def test_a_crash_while_compacting_loses_nothing(spark, tmp_path, monkeypatch):
+    log = f"{tmp_path}/log"
+    run = streams.run_name(spark, log, "cp")
+    for n in range(3):
+        spark.createDataFrame(comment_rows(range(n, n + 5)), COMMENT).write.parquet(f"{log}/{run}/batch_id={n}")
+    streams.compact(spark, log)
+    spark.createDataFrame(comment_rows(range(50, 55)), COMMENT).write.parquet(f"{log}/{run}/batch_id=3")
+    want = rows_of(streams.comment_state(spark, log), "platform_id", "body")
+
+    def die(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(streams.generations, "publish", die)  # the snapshot is written, the generation is not
+        with pytest.raises(OSError):
+            streams.compact(spark, log)
+    assert rows_of(streams.comment_state(spark, log), "platform_id", "body") == want and len(want) == 12
+    (tmp_path / "log" / "_generations" / "000000000002").mkdir()  # a pointer that was never finished
+    assert rows_of(streams.comment_state(spark, log), "platform_id", "body") == want
+    streams.compact(spark, log)
+    assert rows_of(streams.comment_state(spark, log), "platform_id", "body") == want
+
+
+def test_merges_rewrite_touched_buckets_only(spark, tmp_path):
+    rows = [("reddit", f"c{i}", i, "a") for i in range(200)]
+    cols = "platform string, platform_id string, ingested_at int, author string"
+    folder = f"{tmp_path}/stored"
+    files = lambda: {b: sorted(os.listdir(f)) for b, f in stored.layout(spark, folder).items()}
+    stored.create(spark.createDataFrame(rows, cols), folder, buckets=8)
+    before = files()
+    fresh = spark.createDataFrame([("reddit", "c3", 900, "new"), ("reddit", "c3", 901, None), ("reddit", "other", 1, "b")], cols)
+    stored.merge(fresh, folder)
+    after, state = files(), rows_of(stored.load(spark, folder), "platform_id", "ingested_at", "author")
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(changed) <= 2 and set(before) <= set(after)
+    assert len(state) == 201 and ("c3", 901, "new") in state and ("other", 1, "b") in state
+    stored.merge(fresh, folder)  # the same again
+    assert rows_of(stored.load(spark, folder), "platform_id", "ingested_at", "author") == state
+    stored.merge(fresh.limit(0), folder)
+    snapshots = spark.createDataFrame([("reddit", "c4", 5, None)], cols)
+    stored.merge(snapshots, folder, upsert.replace_snapshots)
+    assert ("c4", 5, None) in rows_of(stored.load(spark, folder), "platform_id", "ingested_at", "author")
+    with pytest.raises(RuntimeError):  # a second writer of the same generation
+        stored.generations.publish(spark, folder, 1, {})
+
+
+def test_equal_times_are_settled_by_content(spark):
+    rows = [("reddit", "k", 1, v) for v in ("b", "z", "a")]
+    cols = "platform string, platform_id string, ingested_at int, author string"
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, cols)
+        assert upsert.set_fields(df.limit(0), df).first()["author"] == "z"
 
 
 def test_settled_tables_keep_rows_and_schema(spark):

@@ -942,9 +942,17 @@ FROM (SELECT *, row_number() OVER (ORDER BY last_ingested DESC, video_id) AS r F
 
 # --- streams: the batch equivalent ----------------------------------------------------------------------
 
-add("stream_ingest", """
-SELECT platform, platform_id, label AS sentiment_label, CASE WHEN nw = 0 THEN 0.0 ELSE share END AS sentiment_score, true AS sentiment_processed
-FROM comments JOIN lex USING (platform_id)""", "comments", "lex")
+add("stream_ingest", f"""
+SELECT platform, platform_id, label AS sentiment_label, CASE WHEN nw = 0 THEN 0.0 ELSE share END AS sentiment_score, true AS sentiment_processed,
+ {ts('newest')} AS ingested_at, 1::BIGINT AS times_scored
+FROM (SELECT *, ingested_at + CASE WHEN (epoch(published_at)::BIGINT // 3600) % 5 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS newest
+ FROM comments) JOIN lex USING (platform_id)""", "comments", "lex")
+add("stored_merge", f"""
+SELECT bucket, count(*) AS rows, CAST(sum(like_count + CASE WHEN fresh THEN 1000 ELSE 0 END) AS BIGINT) AS likes,
+ max({ts("ingested_at + CASE WHEN fresh THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END")}) AS newest,
+ count_if(fresh OR author = upper(author)) AS upper_authors, bool_or(fresh) AS rewritten
+FROM (SELECT *, bucket % 3 = 0 AND platform = 'youtube' AS fresh FROM (
+ SELECT *, ('0x' || substr(md5(platform || chr(31) || platform_id), 1, 7))::BIGINT % 16 AS bucket FROM comments)) GROUP BY 1""", "comments")
 add("stream_distribution", """
 SELECT platform, parent_id, CAST(count_if(n_chars % 3 < 2) AS BIGINT) AS n, CAST(count_if(n_chars % 3 = 0) AS BIGINT) AS pos,
  CAST(count_if(n_chars % 3 = 1) AS BIGINT) AS neu, 0::BIGINT AS neg FROM comments GROUP BY 1, 2""", "comments")

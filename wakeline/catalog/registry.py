@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.rounding import round_to
 from .. import fixed_values as V
@@ -32,6 +33,7 @@ from ..plans import shared_videos as shared_plan
 from ..plans import video_engagement as engagement_plan
 from ..session import inline_table, scratch_path, settled
 from ..sources import payloads as payload_source
+from ..sources import stored
 from ..sources import tables as table_source
 from ..streaming import comments as streams
 from . import datasets as D
@@ -1005,41 +1007,78 @@ def shared_video_sheet(spark, sf):
 
 # --- streams -------------------------------------------------------------------
 
-def _comment_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """documents read as a file stream, as comments (labels are left to the stream)."""
-    schema = D.table(spark, sf, "documents").sparkSession.read.parquet(f"{sf}/documents.parquet").schema
-    raw = streams.read_stream(spark, f"{sf}/documents*.parquet", schema)
-    null = F.lit(None).cast("int")
-    return D.comments_from(raw.withColumn("quality", null).withColumn("toxic", null))
+def _feed(spark: SparkSession, sf: str) -> tuple[str, StructType, int]:
+    """Comments as files that arrive in four portions; the last one brings every fifth comment a second time, a day
+    later. Folder, schema, and files of a portion."""
+    c = D.comments(spark, sf).drop("sentiment_processed", "sentiment_label", "sentiment_score")
+    hour = F.unix_timestamp("published_at") / 3600
+    portion = (hour % 3).cast("int")
+    copies = c.where((hour.cast("bigint") % 5) == 0).withColumn("ingested_at", F.col("ingested_at") + F.expr("INTERVAL 1 DAY"))
+    rows = c.withColumn("portion", portion).unionByName(copies.withColumn("portion", F.lit(3)))
+    path = scratch_path(spark, "feed")
+    rows.write.partitionBy("portion").parquet(path)
+    return path, c.schema, max(1, len(spark.read.parquet(path).inputFiles()) // 4)
 
 
 @query
 def stream_ingest(spark, sf):
-    """Comments landed by a stream, de-duplicated and scored once, read back as the current state."""
+    """Comments landed by a stream in several batches and by a second run, compacted on the way, each scored once, read
+    back as the current state."""
+    feed, schema, files = _feed(spark, sf)
     log, scores = scratch_path(spark, "log"), scratch_path(spark, "scores")
-    stream = _comment_stream(spark, sf).drop("n_chars")  # copies meet when the log is read
-    checkpoint = scratch_path(spark, "cp")
-    streams.ingest(stream, log, checkpoint, streams.score_into(scores, scorer(spark), checkpoint)).awaitTermination()
-    state = streams.current_comments(spark.read.parquet(log), spark.read.parquet(scores))
-    return state.select("platform", "platform_id", "sentiment_label", "sentiment_score", "sentiment_processed")
+    for run in ("one", "two"):
+        source = streams.read_stream(spark, f"{feed}/*", schema, files_per_batch=files)
+        streams.ingest(source, log, scratch_path(spark, run), compact_every=2).awaitTermination()
+        source = streams.read_stream(spark, f"{feed}/*", schema, files_per_batch=files)
+        streams.score_once(source, scores, scorer(spark), scratch_path(spark, run)).awaitTermination()
+    times = spark.read.parquet(scores).groupBy(*streams.KEY).agg(F.count("*").alias("times_scored"))
+    state = streams.comment_state(spark, log, scores).join(times, streams.KEY, "left")
+    return state.select("platform", "platform_id", "sentiment_label", "sentiment_score", "sentiment_processed",
+                        ts("ingested_at"), "times_scored")
 
 
 @query
 def stream_distribution(spark, sf):
+    """Label counts of distinct comments, from several batches and a second run."""
+    feed, schema, files = _feed(spark, sf)
     log = scratch_path(spark, "dist")
-    stream = _comment_stream(spark, sf).withColumn(
-        "sentiment_label", F.when(F.col("n_chars") % 3 == 0, "positive").when(F.col("n_chars") % 3 == 1, "neutral")
-    )
-    streams.run_updates(streams.running_distribution(stream), log, scratch_path(spark, "cp")).awaitTermination()
+    for _ in range(2):
+        stream = streams.read_stream(spark, f"{feed}/*", schema, files_per_batch=files).withColumn(
+            "sentiment_label", F.when(F.col("n_chars") % 3 == 0, "positive").when(F.col("n_chars") % 3 == 1, "neutral"))
+        streams.run_updates(streams.running_distribution(stream), log, scratch_path(spark, "cp")).awaitTermination()
     return streams.newest_update(spark.read.parquet(log), ["platform", "parent_id"])
 
 
 @query
 def stream_first_share(spark, sf):
+    """Shares of distinct comments, joined to the videos in the stream, from several batches and a second run."""
+    feed, schema, files = _feed(spark, sf)
     log = scratch_path(spark, "shares")
-    shares = streams.running_shares(_comment_stream(spark, sf))
-    streams.run_updates(shares, log, scratch_path(spark, "cp")).awaitTermination()
-    now = streams.newest_update(spark.read.parquet(log), ["video_id"])
-    return streams.share_delays(now, D.videos(spark, sf)).select(
-        "video_id", "shares", ts("first_shared_at"), "propagation_delay_hours", "propagation_speed"
-    )
+    for _ in range(2):
+        stream = streams.read_stream(spark, f"{feed}/*", schema, files_per_batch=files)
+        found = streams.share_delays(streams.running_shares(stream), D.videos(spark, sf))
+        streams.run_updates(found, log, scratch_path(spark, "cp")).awaitTermination()
+    return streams.newest_update(spark.read.parquet(log), ["video_id"]).select(
+        "video_id", "shares", ts("first_shared_at"), "propagation_delay_hours", "propagation_speed")
+
+
+MERGE_BUCKETS = 16
+
+
+@query
+def stored_merge(spark, sf):
+    """Comments merged into a stored table, twice the same; how many rows each bucket has and whether it was rewritten."""
+    c = D.comments(spark, sf)
+    folder = scratch_path(spark, "stored")
+    stored.create(c, folder, buckets=MERGE_BUCKETS)
+    before = stored.layout(spark, folder)
+    incoming = _incoming(c).where(stored.bucket_of(["platform", "platform_id"], MERGE_BUCKETS) % 3 == 0)
+    for _ in range(2):
+        stored.merge(incoming, folder)
+    after = stored.layout(spark, folder)
+    changed = [b for b in after if after[b] != before.get(b)]
+    rows = stored.load(spark, folder).withColumn("bucket", stored.bucket_of(["platform", "platform_id"], MERGE_BUCKETS))
+    return rows.groupBy(big("bucket")).agg(
+        F.count("*").alias("rows"), F.sum("like_count").cast("bigint").alias("likes"), F.max(ts("ingested_at")).alias("newest"),
+        F.count_if(F.col("author") == F.upper("author")).alias("upper_authors"),
+    ).withColumn("rewritten", F.col("bucket").isin(changed))

@@ -22,14 +22,30 @@ def set_fields(
     both = existing.withColumn("_src", F.lit(0)).unionByName(
         incoming.withColumn("_src", F.lit(1)), allowMissingColumns=True
     )
-    fields = [c for c in both.columns if c not in (*key, "_src")]
-    rank = F.struct("_src", *order)
+    return of_states(field_states(both, key, ("_src", *order)), key).select(*[c for c in both.columns if c != "_src"])
+
+
+def field_states(rows: DataFrame, key: tuple[str, ...] = COMMENT_KEY, order: tuple[str, ...] = ("ingested_at",)) -> DataFrame:
+    """Per key and field the newest present value, with its order: ``struct(<order>, value)``, null where none is present.
+
+    Equal orders are settled by the larger value (maps, which have no order, by chance)."""
 
     def newest(c: str) -> Column:
-        return F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c)
+        if rows.schema[c].dataType.typeName() == "map":
+            return F.struct(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias("value")).alias(c)
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("value")))).alias(c)
+
+    return rows.groupBy(*key).agg(*[newest(c) for c in rows.columns if c not in (*key, "_src")])
+
+
+def merged_states(states: DataFrame, key: tuple[str, ...] = COMMENT_KEY) -> DataFrame:
+    """States of the same keys, from any number of merges in any order, as one state each."""
+    return states.groupBy(*key).agg(*[F.max(c).alias(c) for c in states.columns if c not in key])
+
 
-    merged = both.groupBy(*key).agg(*[newest(c) for c in fields])
-    return merged.select(*[c for c in both.columns if c != "_src"])
+def of_states(states: DataFrame, key: tuple[str, ...] = COMMENT_KEY) -> DataFrame:
+    """The rows that states stand for."""
+    return states.select(*key, *[F.col(c)["value"].alias(c) for c in states.columns if c not in key])
 
 
 def insert_only(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = COMMENT_KEY) -> DataFrame:
