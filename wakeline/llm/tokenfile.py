@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import at_most
+from . import batches
 from .bpe import _ODD_SPACE, _slices
 from .order import running_totals
 
@@ -223,6 +224,7 @@ class Encoder:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) with the tokenizers file at ``tokenizer`` and write them under ``path``."""
+    batches.bound(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
@@ -230,10 +232,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: i
         # A worker keeps a broadcast value over its tasks, and with it the encoder and the chunks it has met.
         shared = docs.sparkSession.sparkContext.broadcast({"tokenizer": f.read()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value.get("encoder") or shared.value.setdefault("encoder", Encoder(shared.value["tokenizer"]))
         doc_ids, lengths, ids = [], [], []
-        for whole in batches:
+        for whole in parts:
             for batch in _slices(whole, "text", BATCH_BYTES):
                 found, n = encoder.encode(batch.column(1))
                 doc_ids += batch.column(0).to_pylist()
@@ -269,8 +271,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document; ``ids`` are packed little-endian unsigned 32-bit integers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
             for base, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 file = TokenFile(memoryview(raw.as_buffer()))
                 start = 0

@@ -11,8 +11,8 @@ counting only what words exceed ``EXCESS`` by. The log ratios of its three most
 beside them. A logistic curve turns these into a score. Its few coefficients are fitted on labelled rows that the models have not seen (``calibration``
 fold), on at most ``CALIBRATION_ROWS`` of them in an order by hash.
 
-All entries are kept. Where there are at most ``MODEL_ENTRIES`` of them, the workers get two sorted arrays, the 64-bit
-hashes of the keys and their log ratios; a key that is absent backs off. With more entries nothing is broadcast: the
+All entries are kept. Where there are at most ``MODEL_ENTRIES`` of them, the workers get two arrays, the 64-bit hashes
+of context and letter in order and their log ratios; a key that is absent backs off. With more entries nothing is broadcast: the
 ratio of each distinct word is summed by joins, and the words of the texts, counted per text, are joined with it.
 Both ways give the same features.
 
@@ -32,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Workspace, at_most
+from . import batches
 from .bpe import _slices
 
 CONTEXT = 7
@@ -45,20 +45,21 @@ BACKOFF = (3, 1, 0)  # context lengths of the shared lower orders
 DISCOUNT = 0.75
 EXCESS = 2.0
 MODEL_ENTRIES = 5_000_000  # 16 bytes each
-CACHE_WORDS = 300_000  # words a worker remembers
+CACHE_WORDS = 200_000  # words a worker remembers
 FLUSH_WORDS = 200_000
 SLICE_BYTES = 1_000_000  # of text that is split into words at once
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W_]+")
+_OFFSET, _PRIME = np.uint64(14695981039346656037), np.uint64(1099511628211)
 FEATURES = ("mean", "excess", "word1", "word2", "word3", "length")
 
 
 def _word_counts(df: DataFrame) -> DataFrame:
     """``word, toxic, ordinary``: occurrences in the texts of each class; ``df`` has ``text`` and ``toxic``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_class, unlabelled = (Counter(), Counter()), set()
 
         def flush() -> pa.RecordBatch:
@@ -71,7 +72,7 @@ def _word_counts(df: DataFrame) -> DataFrame:
                 kept.clear()
             return out
 
-        for whole in batches:
+        for whole in parts:
             for batch in _slices(whole, "text", SLICE_BYTES):
                 for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = _WORD.findall((text or "").lower())
@@ -123,8 +124,8 @@ def _shared(grams: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _ratios(grams: DataFrame, work: Workspace) -> DataFrame:
-    """``key, ratio``: log of toxic over ordinary probability of a letter in its context (key ``ctx`` +
-    letter, context first), and of any letter not seen there (key ``ctx`` alone)."""
+    """``ctx, ch, ratio``: log of toxic over ordinary probability of a letter in its context, and, with a null ``ch``, of
+    any letter not seen there."""
     seen = grams.filter("toxic + ordinary > 0")
     per = seen.groupBy("ctx").agg(
         F.sum("toxic").alias("n_t"), F.sum("ordinary").alias("n_o"),
@@ -140,33 +141,65 @@ def _ratios(grams: DataFrame, work: Workspace) -> DataFrame:
 
     low = _shared(grams, work).select(F.col("ctx").alias("short"), "ch", "p")
     rows = seen.join(per, "ctx").withColumn("short", F.expr(f"right(ctx, {BACKOFF[0]})")).join(low, ["short", "ch"])
-    letters = rows.select(F.concat("ctx", F.lit(" "), "ch").alias("key"),
+    letters = rows.select("ctx", "ch",
                           F.log(probability("toxic", "k_t", "n_t") / probability("ordinary", "k_o", "n_o")).alias("ratio"))
-    unseen = per.select(F.col("ctx").alias("key"), F.log(freed("k_t", "n_t") / freed("k_o", "n_o")).alias("ratio"))
+    unseen = per.select("ctx", F.lit(None).cast("string").alias("ch"), F.log(freed("k_t", "n_t") / freed("k_o", "n_o")).alias("ratio"))
     return letters.union(unseen)
 
 
+def _mixed(context: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """64-bit key of a letter (0: any) after a context hash."""
+    h = (context ^ letter) * _PRIME
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
+def _context(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of the letters of a context, the farthest first; 0 where the word has not begun."""
+    h = np.full(len(columns[0]), _OFFSET, np.uint64)
+    for letters in columns:
+        h = (h ^ letters) * _PRIME
+    return h
+
+
+def _letters_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _keys(contexts: list[str], letters: list[str | None]) -> np.ndarray:
+    """Keys of entries of the model."""
+    rows = "".join(c.rjust(CONTEXT, "\0") + (x or "\0") for c, x in zip(contexts, letters, strict=True))
+    matrix = _letters_of(rows).reshape(-1, CONTEXT + 1)
+    return _mixed(_context([matrix[:, i] for i in range(CONTEXT)]), matrix[:, CONTEXT])
+
+
 def _arrays(ratios: DataFrame) -> dict:
-    """The entries as the workers get them: hashes of the keys, ascending, and the ratios."""
-    rows = ratios.select(F.xxhash64("key").alias("hash"), "ratio").toArrow()
-    hashes = rows.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return {"hashes": hashes[order], "ratios": rows.column("ratio").to_numpy()[order]}
+    """The entries as the workers get them: their keys, ascending, and the ratios."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            keys = _keys(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(2)], names=["key", "ratio"])
+
+    rows = ratios.select("ctx", "ch", "ratio").mapInArrow(run, "key long, ratio double").toArrow()
+    keys = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return {"keys": keys[order], "ratios": rows.column("ratio").to_numpy()[order]}
 
 
 class WordRatios(dict):
     """Log ratio of each word, computed for many new words at once."""
 
-    def __init__(self, hashes: np.ndarray, ratios: np.ndarray):
-        self.hashes, self.ratios = hashes, ratios
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        self.keys_, self.ratios = keys, ratios
 
-    def _find(self, keys: list[str]) -> np.ndarray:
+    def _find(self, wanted: np.ndarray) -> np.ndarray:
         """Ratio of each key, NaN where the model has none."""
-        if not len(self.hashes):
-            return np.full(len(keys), np.nan)
-        wanted = np.fromiter((xxhash.xxh64_intdigest(k.encode(), 42) for k in keys), np.uint64, len(keys))
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == wanted, self.ratios[at], np.nan)
+        if not len(self.keys_):
+            return np.full(len(wanted), np.nan)
+        wanted, where = np.unique(wanted, return_inverse=True)  # ascending, so the search stays in cache
+        at = np.minimum(np.searchsorted(self.keys_, wanted), len(self.keys_) - 1)
+        return np.where(self.keys_[at] == wanted, self.ratios[at], np.nan)[where]
 
     def learn(self, words: set[str]) -> None:
         """Make the ratios of ``words`` known; may forget others."""
@@ -175,16 +208,15 @@ class WordRatios(dict):
         new = [w for w in words if w not in self]
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
-            contexts, letters, owner = [], [], []
-            for i, word in enumerate(some):
-                s = f"^{word}$"
-                for k in range(1, len(s)):
-                    contexts.append(s[max(0, k - CONTEXT):k])
-                    letters.append(s[k])
-                    owner.append(i)
-            found = self._find([f"{c} {x}" for c, x in zip(contexts, letters, strict=True)])
+            size = np.fromiter(map(len, some), np.int64, len(some)) + 2
+            letters = _letters_of("".join(f"^{w}$" for w in some))
+            place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+            before = [np.where(place >= j, np.roll(letters, j), np.uint64(0)) for j in range(CONTEXT, 0, -1)]
+            context, inner = _context(before), place > 0  # the mark of the beginning is no letter
+            context, letters, owner = context[inner], letters[inner], np.repeat(np.arange(len(some)), size)[inner]
+            found = self._find(_mixed(context, letters))
             absent = np.flatnonzero(np.isnan(found))
-            found[absent] = np.nan_to_num(self._find([contexts[i] for i in absent]))
+            found[absent] = np.nan_to_num(self._find(_mixed(context[absent], np.uint64(0))))
             self.update(zip(some, np.bincount(owner, found, len(some)).tolist(), strict=True))
 
 
@@ -208,7 +240,7 @@ def _features_by_arrays(df: DataFrame, text: str, shared) -> DataFrame:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # A worker keeps a broadcast value over its tasks, and with it the words it has met.
         model = shared.value
-        ratios = model.get("words") or model.setdefault("words", WordRatios(model["hashes"], model["ratios"]))
+        ratios = model.get("words") or model.setdefault("words", WordRatios(model["keys"], model["ratios"]))
         for whole in texts:
             rows = []
             for part in _slices(pa.RecordBatch.from_arrays([whole], names=["text"]), "text", SLICE_BYTES):
@@ -223,9 +255,8 @@ def _features_by_arrays(df: DataFrame, text: str, shared) -> DataFrame:
 
 def _word_ratios(counts: DataFrame, grams: DataFrame, ratios: DataFrame, work: Workspace) -> DataFrame:
     """``word, ratio`` of every distinct word, by joins."""
-    key = F.concat("ctx", F.lit(" "), "ch").alias("key")
-    own, backed = ratios.select("key", "ratio"), ratios.select(F.col("key").alias("ctx"), F.col("ratio").alias("back"))
-    each = grams.select("ctx", "ch", key).join(own, "key", "left").join(backed, "ctx", "left")
+    backed = ratios.filter("ch IS NULL").select("ctx", F.col("ratio").alias("back"))
+    each = grams.select("ctx", "ch").join(ratios.filter("ch IS NOT NULL"), ["ctx", "ch"], "left").join(backed, "ctx", "left")
     each = work.save(each.select("ctx", "ch", F.coalesce("ratio", "back", F.lit(0.0)).alias("ratio")), "letters")
     met = _letters(counts.select("word")).join(each, ["ctx", "ch"])
     return work.save(met.groupBy("word").agg(F.sum("ratio").alias("ratio")), "ratios")
@@ -238,8 +269,8 @@ def _text_key(text: str) -> list:
 def _features_by_join(df: DataFrame, text: str, words: DataFrame) -> DataFrame:
     """Add ``features`` of ``text`` to ``df``: words are counted per text (equal texts count as one) and joined."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
             for part in _slices(whole, "text", SLICE_BYTES):
                 for t1, t2, t in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
                     found = Counter(_WORD.findall(t.lower()))
@@ -309,6 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, doc_id: str = "doc_
         label: str = "toxic", model_entries: int = MODEL_ENTRIES) -> Model:
     """Learn from ``docs`` (all their words) and ``labels`` (``doc_id`` and ``label``)."""
     spark = docs.sparkSession
+    batches.bound(spark)
     marked = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id"))
               .agg((F.max(label) > 0).cast("int").alias("toxic")).withColumn("fold", fold("id")).filter("fold <> 2"))
     marked = work.save(marked, "labels")
@@ -318,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace, doc_id: str = "doc_
     learn = rows.select("text", F.when(F.col("fold") < 2, F.col("toxic")).alias("toxic"))
     counts = work.save(_word_counts(learn).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "words")
     grams = work.save(_grams(counts), "grams")
-    ratios = work.save(_ratios(grams, work).select("key", "ratio"), "entries")
+    ratios = work.save(_ratios(grams, work), "entries")
     if at_most(ratios, model_entries):
         shared = spark.sparkContext.broadcast(_arrays(ratios))
         add_features = lambda df, text: _features_by_arrays(df, text, shared)
