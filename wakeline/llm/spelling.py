@@ -111,16 +111,21 @@ def _key(role: int):
     return lambda k: F.struct(k.alias("key"), F.lit(role).alias("role"))
 
 
-def _signatures(word: Column, distance: int, parts: int, pieces: int) -> list[tuple[Column, ...]]:
-    """For vectors at most ``distance`` apart: of every choice of pieces, its number and the hashes of the pieces."""
-    letters = F.array_sort(F.split(word, ""))
+def _hashed(words: DataFrame, count: int) -> DataFrame:
+    """``word`` and ``pieces``, the hashes of a word's letters in each of ``count`` pieces. Every step is a column of its
+    own, so that no expression is evaluated again inside another one."""
+    letters = words.select("word", F.array_sort(F.split("word", "")).alias("letters"))
     # In sorted letters, a place less that of the first equal letter counts the letters before.
-    places = F.transform(letters, lambda c, i: F.xxhash64(c, i - F.array_position(letters, c)))
-    of_piece = [F.aggregate(places, F.lit(0).cast("long"), _piece(k, parts * pieces)) for k in range(parts * pieces)]
+    places = letters.select("word", F.transform("letters", lambda c, i: F.xxhash64(c, i - F.array_position("letters", c))).alias("places"))
+    return places.select("word", F.array(*[F.aggregate("places", F.lit(0).cast("long"), _piece(k, count)) for k in range(count)]).alias("pieces"))
+
+
+def _signatures(distance: int, parts: int, pieces: int) -> list[tuple[Column, ...]]:
+    """For vectors at most ``distance`` apart: of every choice of pieces, its number and the hashes of the pieces."""
     out = []
     for part in range(parts):
         for chosen in combinations(range(pieces), pieces - distance // parts):
-            out.append((F.lit(len(out)), *[of_piece[part * pieces + k] for k in chosen]))
+            out.append((F.lit(len(out)), *[F.col("pieces")[part * pieces + k] for k in chosen]))
     return out
 
 
@@ -149,8 +154,8 @@ def near_words(work: Workspace, words: DataFrame, parts: int = PARTS, pieces: in
     apart = {0: (DISTANCE, length), 1: (1, length), 2: (1, length - 1)}
     found = [F.struct(F.xxhash64(F.lit(distance), shorter, *hashes).alias("key"), F.lit(role).alias("role"))
              for role, (distance, shorter) in apart.items()
-             for hashes in _signatures(F.col("word"), distance, parts, pieces)]
-    keys = work.save(words.select("word", F.explode(F.array(*found)).alias("k")).select("k.key", "k.role", "word"), "signatures")
+             for hashes in _signatures(distance, parts, pieces)]
+    keys = work.save(_hashed(words, parts * pieces).select("word", F.explode(F.array(*found)).alias("k")).select("k.key", "k.role", "word"), "signatures")
     crowded = work.save(keys.groupBy("key").agg(F.count("*").alias("words")).filter(F.col("words") > crowd).select("key"), "crowded")
     if crowded.isEmpty():
         return _matched(keys).distinct()
