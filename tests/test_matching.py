@@ -198,3 +198,14 @@ def test_youtube_counts_resolve_legacy_parents(spark):
     v = spark.createDataFrame([("v1",), ("v2",)], "video_id string")
     got = {r["video_id"]: (r["n"], r["pos"], r["neu"], r["neg"]) for r in linking.youtube_label_counts(c, v).collect()}
     assert got == {"v1": (2, 1, 0, 1), "v2": (2, 0, 2, 0)}
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    """Null, short and empty vectors, NaN and infinite components take no part, on either side and in either plan."""
+    nan, inf = float("nan"), float("inf")
+    bad = [[nan, 0.0], [inf, 0.0], [-inf, 1.0], [None, 1.0], [1.0], [], None]
+    d = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])] + [(f"x{i}", v) for i, v in enumerate(bad)], "platform_id string, embedding array<float>")
+    v = spark.createDataFrame([(f"v{i}", [1.0, 0.0]) for i in range(3)] + [(f"y{i}", v) for i, v in enumerate(bad)], "video_id string, embedding array<float>")
+    for plan in ({}, {"matrix_rows": 1, "block_rows": 2, "slice_rows": 2}):
+        assert [(r[0], r[1], r[3]) for r in semantic.best_match(d, v, **plan).collect()] == [("a", "v0", 1.0)]
+    assert {r["platform_id"] for r in semantic.rejected(d, v).collect()} == {f"x{i}" for i in range(7)}

@@ -36,6 +36,12 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["shared_videos", "video_engagement_url"])
+def test_distinct_counts_do_not_multiply_rows(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
 def test_top_k_is_pruned_before_the_shuffle(spark):
     plan = entry.queries()["latest_n"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan

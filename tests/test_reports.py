@@ -1,5 +1,7 @@
 """End-to-end reports over small seeded records."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,39 @@ def test_top_up_scores_thin_targets_only(spark):
     assert got == {("thin", "positive", "live"): 3, ("thick", "neutral", "stored"): 5}
 
 
+def test_sources_fill_what_is_short(spark):
+    """Each source is used while labels are missing: none, the first, both, with limits, blanks and a target without a name."""
+    lex = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "term string, valence double")
+    at = dt.datetime(2024, 5, 10)
+    text = lambda t, i, body: (t, f"{t}{i}", body, at + dt.timedelta(hours=i))
+    schema = "target string, platform_id string, body string, ingested_at timestamp"
+    labelled = spark.createDataFrame([("full", "neutral")] * 3 + [("one", "neutral")] * 2 + [(None, "negative")], "target string, sentiment_label string")
+    first = spark.createDataFrame([text("full", 1, "good"), text("one", 1, "good"), text("both", 1, " "), text("both", 2, "bad"),
+                                   text("both", 3, "good"), text("both", 4, "good"), text(None, 1, "good")], schema)
+    second = spark.createDataFrame([text(t, i, "bad") for t in ("full", "one", "both", None, "only") for i in range(5)], schema)
+    used = sentiment.fill(labelled, [sentiment.Source("first", first, 3, 2), sentiment.Source("second", second, 3, 4)], ("target",),
+                          lambda t: scoring.lexicon_scores(t, lex))
+    got = {(r["target"], r["source"], r["sentiment_label"]): r["count"] for r in used.groupBy("target", "source", "sentiment_label").count().collect()}
+    assert got == {
+        ("full", "stored", "neutral"): 3, ("one", "stored", "neutral"): 2, ("one", "first", "positive"): 1,
+        ("both", "first", "positive"): 2, ("both", "second", "negative"): 4, ("only", "second", "negative"): 4,
+        (None, "stored", "negative"): 1, (None, "first", "positive"): 1, (None, "second", "negative"): 4}
+    assert sentiment.fill(labelled, [], ("target",), None).count() == 6
+
+
+def test_pages_by_cursor_equal_pages_by_number(spark):
+    c = comments(spark, [reddit(f"c{i:02d}", "X", "p", "b", at=f"2024-05-10T12:00:{i // 3:02d}Z") for i in range(20)])
+    after, pages = None, []
+    for number in range(1, 6):
+        page = ranking.page_after(c, "reddit", "x", 6, after)
+        assert [r["platform_id"] for r in page.collect()] == [r["platform_id"] for r in ranking.page_of_target(c, "reddit", "x", number, 6).collect()]
+        pages.append(page.count())
+        after = ranking.cursor(page) or after
+    assert pages == [6, 6, 6, 2, 0] and ranking.cursor(page) is None
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=6" in plan
+
+
 def test_lexicon_and_model_scorers(spark):
     lex = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "term string, valence double")
     t = spark.createDataFrame([("a", "Good, good day"), ("b", "  "), ("c", "bad"), ("d", None)], "text_key string, body string")

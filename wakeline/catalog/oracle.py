@@ -794,6 +794,10 @@ add("page_by_label", f"""
 SELECT platform_id, sentiment_label, {ts('ingested_at')} AS ingested_at FROM (
  SELECT *, row_number() OVER (ORDER BY c.ingested_at DESC, platform_id) AS r FROM comments c
  WHERE platform = 'youtube' AND parent_id = 'src0' AND sentiment_label = 'positive') c WHERE r BETWEEN 6 AND 10""", "comments")
+add("page_by_cursor", f"""
+SELECT platform_id, {ts('ingested_at')} AS ingested_at FROM (
+ SELECT *, row_number() OVER (ORDER BY c.ingested_at DESC, platform_id) AS r FROM comments c
+ WHERE platform = 'reddit' AND parent_id = 'src1') c WHERE r BETWEEN 9 AND 12""", "comments")
 add("payload_scan", "SELECT video_id AS platform_id, title, views FROM videos WHERE video_id IN (SELECT video_id FROM links)", "videos", "links")
 add("newest_payloads", f"""
 SELECT video_id AS platform_id, {ts('published_at')} AS ingested_at FROM videos ORDER BY videos.published_at DESC, video_id LIMIT 40""", "videos")
@@ -942,6 +946,26 @@ FROM (SELECT *, row_number() OVER (ORDER BY last_ingested DESC, video_id) AS r F
 
 # --- streams: the batch equivalent ----------------------------------------------------------------------
 
+view("fill_comments", "SELECT *, coalesce(post_id, 'p' || (CAST(substr(platform_id, 2) AS BIGINT) // 4)) AS target FROM comments", "comments")
+view("fill_offered", f"""
+SELECT *, row_number() OVER (PARTITION BY target, number ORDER BY o.ingested_at DESC, platform_id) AS r FROM (
+ SELECT *, CASE platform WHEN 'reddit' THEN 1 ELSE 2 END AS number FROM fill_comments
+ WHERE (platform = 'youtube' OR sentiment_label IS NULL) AND {strip('body')} <> '') o
+QUALIFY r <= number""", "fill_comments")
+view("fill_stored", "SELECT target, sentiment_label AS label FROM fill_comments WHERE platform = 'reddit' AND sentiment_label IS NOT NULL", "fill_comments")
+view("fill_counts", """
+SELECT target, sum(n0) AS n0, sum(n1) AS n1 FROM (
+ SELECT target, 1 AS n0, 0 AS n1 FROM fill_stored
+ UNION ALL SELECT target, 0, CAST(number = 1 AS INT) FROM fill_offered) GROUP BY 1""", "fill_stored", "fill_offered")
+view("fill_used", """
+SELECT target, label, 0 AS number FROM fill_stored
+UNION ALL SELECT target, lex.label, number FROM fill_offered JOIN fill_counts USING (target) JOIN lex USING (platform_id)
+WHERE CASE number WHEN 1 THEN n0 < 2 ELSE n0 + CASE WHEN n0 < 2 THEN n1 ELSE 0 END < 3 END""", "fill_stored", "fill_offered", "fill_counts", "lex")
+add("filled_breakdowns", f"""
+SELECT target, stored, unlabelled, live, {breakdown('b', 'n', 'pos', 'neu', 'neg')} FROM (
+ SELECT target, CAST(count_if(number = 0) AS BIGINT) AS stored, CAST(count_if(number = 1) AS BIGINT) AS unlabelled,
+  CAST(count_if(number = 2) AS BIGINT) AS live, count(*) AS n, count_if(label = 'positive') AS pos,
+  count_if(label = 'neutral') AS neu, count_if(label = 'negative') AS neg FROM fill_used GROUP BY 1)""", "fill_used")
 add("stream_ingest", f"""
 SELECT platform, platform_id, label AS sentiment_label, CASE WHEN nw = 0 THEN 0.0 ELSE share END AS sentiment_score, true AS sentiment_processed,
  {ts('newest')} AS ingested_at, 1::BIGINT AS times_scored
@@ -950,7 +974,7 @@ FROM (SELECT *, ingested_at + CASE WHEN (epoch(published_at)::BIGINT // 3600) %
 add("stored_merge", f"""
 SELECT bucket, count(*) AS rows, CAST(sum(like_count + CASE WHEN fresh THEN 1000 ELSE 0 END) AS BIGINT) AS likes,
  max({ts("ingested_at + CASE WHEN fresh THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END")}) AS newest,
- count_if(fresh OR author = upper(author)) AS upper_authors, bool_or(fresh) AS rewritten
+ CAST(count_if(fresh OR author = upper(author)) AS BIGINT) AS upper_authors, bool_or(fresh) AS rewritten
 FROM (SELECT *, bucket % 3 = 0 AND platform = 'youtube' AS fresh FROM (
  SELECT *, ('0x' || substr(md5(platform || chr(31) || platform_id), 1, 7))::BIGINT % 16 AS bucket FROM comments)) GROUP BY 1""", "comments")
 add("stream_distribution", """

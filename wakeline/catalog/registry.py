@@ -372,6 +372,22 @@ def sentiment_comparison_video(spark, sf):
                       *parts("reddit_sentiment", "rd"))
 
 
+@query
+def filled_breakdowns(spark, sf):
+    """Labels of each post: the stored ones, then its own unlabelled comments, then texts of a second source (the video
+    comments next to it), each scored only while labels are missing."""
+    c = D.comments(spark, sf).withColumn("target", F.coalesce("post_id", F.concat(
+        F.lit("p"), F.floor(F.substring("platform_id", 2, 20).cast("bigint") / 4).cast("string"))))
+    reddit, live = c.where(F.col("platform") == "reddit"), c.where(F.col("platform") == "youtube")
+    sources = [sentiment.Source("unlabelled", reddit.where(F.col("sentiment_label").isNull()), 2, 1),
+               sentiment.Source("live", live, 3, 2)]
+    used = sentiment.fill(reddit, sources, ("target",), scorer(spark))
+    counts = used.groupBy("target").agg(*sx.label_counts(F.col("sentiment_label")), *[
+        F.count_if(F.col("source") == x).alias(x) for x in ("stored", "unlabelled", "live")])
+    counts = counts.withColumn("b", sx.breakdown(*[F.col(x) for x in ("n", "pos", "neu", "neg")]))
+    return counts.select("target", "stored", "unlabelled", "live", *parts("b", "b"))
+
+
 @query
 def disparity_note(spark, sf):
     c = D.comments(spark, sf)
@@ -636,6 +652,15 @@ def page_by_label(spark, sf):
     return page.select("platform_id", "sentiment_label", ts("ingested_at"))
 
 
+@query
+def page_by_cursor(spark, sf):
+    """The third page of a community's comments, reached from the last row of each page before."""
+    c, after = D.comments(spark, sf), None
+    for _ in range(2):
+        after = ranking.cursor(ranking.page_after(c, "reddit", "SRC1", 4, after))
+    return ranking.page_after(c, "reddit", "SRC1", 4, after).select("platform_id", ts("ingested_at"))
+
+
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     v = D.videos(spark, sf)
     return v.select(F.lit("youtube").alias("platform"), F.col("video_id").alias("platform_id"), "title", "views", "likes",

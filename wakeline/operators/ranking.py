@@ -6,6 +6,8 @@ Every per-group rank is filtered with an upper bound, so Spark prunes rows on th
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,29 @@ def page_of_target(
     return out.orderBy(F.desc("ingested_at"), "platform_id").offset((page - 1) * size).limit(size)
 
 
+def page_after(
+    comments: DataFrame, platform: str, parent_id: str, size: int, after: tuple[datetime, str] | None = None,
+    label: str | None = None,
+) -> DataFrame:
+    """The page that follows the row ``after`` (its ``ingested_at`` and ``platform_id``), newest first.
+
+    However deep the page, only rows from there on are read (the bound on the time is pushed into the scan) and only
+    ``size`` of them are kept by each task. Pages do not shift when newer comments arrive."""
+    out = comments.where((F.col("platform") == platform) & (F.lower("parent_id") == parent_id.lower()))
+    if label:
+        out = out.where(F.col("sentiment_label") == label)
+    if after:
+        time, key = F.lit(after[0]), F.lit(after[1])
+        out = out.where((F.col("ingested_at") <= time) & ((F.col("ingested_at") < time) | (F.col("platform_id") > key)))
+    return out.orderBy(F.desc("ingested_at"), "platform_id").limit(size)
+
+
+def cursor(page: DataFrame) -> tuple[datetime, str] | None:
+    """Where the next page begins; None after an empty page."""
+    last = page.orderBy("ingested_at", F.desc("platform_id")).select("ingested_at", "platform_id").first()
+    return (last[0], last[1]) if last else None
+
+
 def page_of_every_target(
     comments: DataFrame, page: int, size: int, by: tuple[str, ...] = ("platform", "parent_id")
 ) -> DataFrame:

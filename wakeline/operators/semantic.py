@@ -72,8 +72,24 @@ def _rows_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def comparable(embedding: str, width: Column) -> Column:
+    """Whether a vector can be compared: of the common length, every component there and finite (NaN is above any number)."""
+    finite = F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    return F.coalesce((F.size(embedding) == width) & finite, F.lit(False))
+
+
+def _width(candidates: DataFrame) -> int | None:
+    """The most frequent length of the candidates' vectors."""
+    return candidates.agg(F.mode(F.size("embedding"))).first()[0]
+
+
 def _usable(df: DataFrame, width: int | None) -> DataFrame:
-    return df.where((F.size("embedding") == F.lit(width)) & F.forall("embedding", lambda x: x.isNotNull()))
+    return df.where(comparable("embedding", F.lit(width)))
+
+
+def rejected(df: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The error table of ``best_match``: rows whose vectors take no part."""
+    return df.where(~comparable("embedding", F.lit(_width(candidates))))
 
 
 def _match_in_matrix(discussions: DataFrame, candidates: DataFrame, key: str, key_type: str, id_type: str) -> DataFrame:
@@ -142,12 +158,12 @@ def best_match(
     """The most similar candidate of each discussion, kept at or above ``threshold``.
 
     ``discussions(key, embedding)``, ``candidates(video_id, embedding)`` with unit vectors; both plans give one
-    row per key, the best over all rows of that key. Vectors that are NULL, hold NULL, or differ in length from
-    most candidates take no part. Ties go to the smallest video id. Scores are rounded to four decimals after the threshold test.
+    row per key, the best over all rows of that key. Vectors that are NULL, hold NULL, NaN or an infinite value, or
+    differ in length from most candidates take no part (``rejected``). Ties go to the smallest video id. Scores are rounded to four decimals after the threshold test.
     """
     key_type = discussions.schema[key].dataType.simpleString()
     id_type = candidates.schema["video_id"].dataType.simpleString()
-    width = candidates.agg(F.mode(F.size("embedding"))).first()[0]
+    width = _width(candidates)
     candidates = _usable(candidates.select("video_id", "embedding"), width)
     discussions = _usable(discussions.select(key, "embedding"), width)
     if at_most(candidates, matrix_rows):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import round_to
 from ..functions import sentiment as sx
+from ..functions import text as tx
 from .ranking import top_per_group
 
 ACCOUNT = ("platform", "parent_id")
@@ -88,6 +92,52 @@ def top_up(
     return labelled.unionByName(added)
 
 
+class Source(NamedTuple):
+    """Texts that may be scored for targets with few labels: at most ``extra`` of a target, newest first, and only while
+    it has fewer than ``enough`` labels. ``texts`` has the target columns, ``platform_id``, ``body`` and ``ingested_at``."""
+
+    name: str
+    texts: DataFrame
+    enough: int
+    extra: int
+
+
+def fill(labelled: DataFrame, sources: list[Source], by: tuple[str, ...], scorer) -> DataFrame:
+    """Labels used for each target, ``by`` columns, ``sentiment_label`` and ``source``: all of ``labelled``, then the
+    sources in their order, each only for targets that the ones before left short.
+
+    What a source has for a target is counted once, so all decisions come from one narrow table of counts: running sums
+    over the sources say which of them a target draws on. Only the texts drawn on are scored, equal ones once.
+    """
+    from .scoring import resolve_labels
+
+    by = list(by)
+    stored = labelled.where(F.col("sentiment_label").isNotNull()).select(*by, "sentiment_label", F.lit("stored").alias("source"))
+    offered = None
+    for number, source in enumerate(sources, 1):
+        some = top_per_group(
+            source.texts.where(tx.strip(F.coalesce("body", F.lit(""))) != "").select(*by, "platform_id", "body", "ingested_at"),
+            by, [F.desc("ingested_at"), F.asc("platform_id")], source.extra,
+        ).select(*by, "body", F.lit(number).alias("_number"), F.lit(source.name).alias("source"))
+        offered = some if offered is None else offered.unionByName(some)
+    if offered is None:
+        return stored
+    counts = stored.select(*by, F.lit(0).alias("_number")).unionByName(offered.select(*by, "_number")).groupBy(*by).agg(
+        *[F.count_if(F.col("_number") == n).alias(f"_n{n}") for n in range(len(sources) + 1)])
+    have, drawn = F.col("_n0"), []
+    for number, source in enumerate(sources, 1):
+        short = have < source.enough
+        drawn.append(F.when(short, F.lit(number)))
+        have = have + F.when(short, F.col(f"_n{number}")).otherwise(0)
+    drawn = counts.select(*by, F.explode(F.array_compact(F.array(*drawn))).alias("_number"))
+    # Targets without a value are targets too.
+    on = [F.col(f"o.{c}").eqNullSafe(F.col(f"d.{c}")) for c in (*by, "_number")]
+    used = offered.alias("o").join(drawn.alias("d"), reduce(lambda a, b: a & b, on), "left_semi")
+    null = F.lit(None)
+    used = used.withColumns({"sentiment_label": null.cast("string"), "sentiment_score": null.cast("double")})
+    return stored.unionByName(resolve_labels(used, scorer).select(*by, F.col("label").alias("sentiment_label"), "source"))
+
+
 def with_gap(df: DataFrame, digits: int = 2) -> DataFrame:
     """Add ``sentiment_gap``, ``divergence`` and ``low_sample`` to rows with both breakdowns."""
     yt, rd = F.col("youtube_sentiment"), F.col("reddit_sentiment")

@@ -9,6 +9,7 @@ from .. import fixed_values as V
 from ..functions import metrics as mx
 from ..functions import sentiment as sx
 from ..operators import keywords, linking, semantic
+from ..session import settled
 
 
 def linked_discussions(
@@ -41,31 +42,42 @@ def linked_discussions(
     return by_url.unionByName(rest.drop(*drop).join(found, "platform_id"), allowMissingColumns=True)
 
 
-def _sums(label: Column) -> list[Column]:
-    post = F.coalesce("post_id", "platform_id")
-    scores = F.coalesce("score", F.lit(0))
+def _of_post(label: Column) -> list[Column]:
+    """What one post and community of a video add up to."""
     is_semantic = F.col("match_type") == "semantic"
     return [
-        F.count(F.lit(1)).alias("total_reddit_shares"),
-        F.count_distinct(post).alias("reddit_posts"),
-        F.count_distinct(F.nullif("parent_id", F.lit(""))).alias("reddit_subreddits"),
-        F.sum(scores).alias("upvotes"),
-        F.min("published_at").alias("reddit_first_shared_at"),
-        F.max("published_at").alias("reddit_latest_shared_at"),
-        F.max("ingested_at").alias("last_ingested_at"),
-        F.max("similarity_score").alias("similarity_score"),
-        F.bool_or(~is_semantic).alias("_url"),
-        F.bool_or(is_semantic).alias("_sem"),
+        F.count(F.lit(1)).alias("shares"),
+        F.sum(F.coalesce("score", F.lit(0))).alias("votes"),
+        F.min("published_at").alias("first"),
+        F.max("published_at").alias("latest"),
+        F.max("ingested_at").alias("ingested"),
+        F.max("similarity_score").alias("similarity"),
+        F.bool_or(~is_semantic).alias("url"),
+        F.bool_or(is_semantic).alias("sem"),
         *[c for c in sx.label_counts(label)],
     ]
 
 
-def post_comment_totals(linked: DataFrame, posts: DataFrame) -> DataFrame:
-    """Sum of the comment counts of a video's distinct posts."""
-    pairs = linked.select("video_id", F.coalesce("post_id", "platform_id").alias("post_id")).distinct()
-    return pairs.join(posts.select("post_id", "num_comments"), "post_id").groupBy("video_id").agg(
-        F.sum(F.coalesce("num_comments", F.lit(0))).alias("post_comments")
-    )
+def per_post(linked: DataFrame, label: Column) -> DataFrame:
+    """``video_id, post_id, subreddit`` and sums: one narrow row per post and community of a video.
+
+    All sums and all distinct counts of a video come from these rows, which are written once, so the links are
+    grouped a single time and a hot video reaches the last step as partial sums."""
+    post = F.coalesce("post_id", "platform_id").alias("post_id")
+    pairs = linked.withColumn("post_id", post).withColumn("subreddit", F.nullif("parent_id", F.lit("")))
+    return settled(pairs.groupBy("video_id", "post_id", "subreddit").agg(*_of_post(label)), "pairs")
+
+
+def distinct_per_video(pairs: DataFrame, column: str, name: str) -> DataFrame:
+    """How many different values of a column a video has; absent values count as none."""
+    return pairs.select("video_id", column).where(F.col(column).isNotNull()).distinct().groupBy("video_id").agg(
+        F.count("*").alias(name))
+
+
+def post_comment_totals(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+    """Sum of the comment counts of a video's distinct posts (``video_id, post_id``)."""
+    return pairs.select("video_id", "post_id").distinct().join(posts.select("post_id", "num_comments"), "post_id").groupBy(
+        "video_id").agg(F.sum(F.coalesce("num_comments", F.lit(0))).alias("post_comments"))
 
 
 def shared_videos(
@@ -82,12 +94,22 @@ def shared_videos(
     and are never collected into one value. Unlabelled discussions count as neutral.
     """
     label_col = F.coalesce(F.col(label), F.lit("neutral"))
-    rolled = linked.groupBy("video_id").agg(*_sums(label_col))
+    pairs = per_post(linked, label_col)
+    rolled = pairs.groupBy("video_id").agg(
+        F.sum("shares").alias("total_reddit_shares"), F.sum("votes").alias("upvotes"),
+        F.min("first").alias("reddit_first_shared_at"), F.max("latest").alias("reddit_latest_shared_at"),
+        F.max("ingested").alias("last_ingested_at"), F.max("similarity").alias("similarity_score"),
+        F.bool_or("url").alias("_url"), F.bool_or("sem").alias("_sem"),
+        *[F.sum(c).alias(c) for c in ("n", "pos", "neu", "neg")],
+    )
+    for column, name in (("post_id", "reddit_posts"), ("subreddit", "reddit_subreddits")):
+        rolled = rolled.join(distinct_per_video(pairs, column, name), "video_id", "left")
+    rolled = rolled.withColumn("reddit_subreddits", F.coalesce("reddit_subreddits", F.lit(0)))
     yt = linking.youtube_label_counts(comments, rolled.select("video_id"))
     yt = yt.select("video_id", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "neu", "neg")])
     out = rolled.join(yt, "video_id", "left").join(facts, "video_id", "left")
     if posts is not None:
-        out = out.join(post_comment_totals(linked, posts), "video_id", "left")
+        out = out.join(post_comment_totals(pairs, posts), "video_id", "left")
     else:
         out = out.withColumn("post_comments", F.lit(None).cast("bigint"))
     if with_topics:

@@ -10,6 +10,7 @@ from ..functions import sentiment as sx
 from ..functions import text as tx
 from ..session import settled
 from ..operators import fingerprint, keywords, linking, ranking, sentiment
+from .shared_videos import distinct_per_video
 
 TOP_COMMENTS = 10
 TOP_THREADS = 10
@@ -110,16 +111,20 @@ def video_engagement(
         rows = d.select("video_id", "post_id", "subreddit", F.col("score").alias("votes"),
                         F.lit(None).cast("bigint").alias("num_comments"), "label", "published_at",
                         F.lit(1).alias("is_comment"))
-    rolled = rows.groupBy("video_id").agg(
-        F.count_distinct(F.nullif("subreddit", F.lit(""))).alias("subreddits_count"),
-        F.count_distinct("post_id").alias("reddit_posts_count"),
-        F.sum("is_comment").alias("total_reddit_discussions"),
-        F.sum(F.coalesce("votes", F.lit(0))).alias("reddit_total_upvotes"),
-        F.sum(F.coalesce("num_comments", F.lit(0))).alias("reddit_total_comments"),
-        F.min("published_at").alias("reddit_first_shared_at"),
-        F.max("published_at").alias("reddit_latest_shared_at"),
-        *sx.label_counts(F.col("label")),
+    rows = rows.withColumn("subreddit", F.nullif("subreddit", F.lit("")))
+    pairs = settled(rows.groupBy("video_id", "post_id", "subreddit").agg(
+        F.sum("is_comment").alias("discussions"), F.sum(F.coalesce("votes", F.lit(0))).alias("votes"),
+        F.sum(F.coalesce("num_comments", F.lit(0))).alias("comments"), F.min("published_at").alias("first"),
+        F.max("published_at").alias("latest"), *sx.label_counts(F.col("label")),
+    ), "pairs")
+    rolled = pairs.groupBy("video_id").agg(
+        F.sum("discussions").alias("total_reddit_discussions"), F.sum("votes").alias("reddit_total_upvotes"),
+        F.sum("comments").alias("reddit_total_comments"), F.min("first").alias("reddit_first_shared_at"),
+        F.max("latest").alias("reddit_latest_shared_at"), *[F.sum(c).alias(c) for c in ("n", "pos", "neu", "neg")],
     )
+    for column, name in (("subreddit", "subreddits_count"), ("post_id", "reddit_posts_count")):
+        rolled = rolled.join(distinct_per_video(pairs, column, name), "video_id", "left")
+    rolled = rolled.withColumn("subreddits_count", F.coalesce("subreddits_count", F.lit(0)))
     yt = linking.youtube_label_counts(comments, rolled.select("video_id"))
     yt = yt.select("video_id", *[F.col(c).alias(f"y_{c}") for c in ("n", "pos", "neu", "neg")])
     narrow = discussions.select("video_id", "ingested_at", "platform_id", "body")
