@@ -221,3 +221,97 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verified(found, F.coalesce("changed", "leaf"))
     proof = merkle.path_digest(F.concat("path", "top_path")).alias("proof_sha256")
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def _crc_sql(bytes_list: str) -> str:
+    """Unsigned CRC-32 of a list of bytes, four bits at a time."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    nibbles = f"flatten(list_transform({bytes_list}, lambda b: [b & 15, b >> 4]))"
+    step = f"xor(c >> 4, CAST({table} AS BIGINT[])[(xor(c, n) & 15) + 1])"
+    return f"xor(list_reduce([4294967295::BIGINT] || CAST({nibbles} AS BIGINT[]), lambda c, n: {step}), 4294967295)"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """``name``: every node of the trees over ``leaves`` (tree, idx, h, size), level by level."""
+    return f"""
+    {name} AS (
+      SELECT tree, 0 AS level, idx, h, size FROM {leaves}
+      UNION ALL
+      SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (size + 1) // 2
+      FROM {name} WHERE size > 1 GROUP BY tree, level, idx // 2, size),
+    {name}_steps AS (
+      SELECT l.tree, l.idx, list(CASE WHEN s.h IS NULL THEN 'N' WHEN n.idx % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY n.level) AS steps
+      FROM {leaves} l JOIN {name} n ON n.tree = l.tree AND n.size > 1 AND n.idx = l.idx >> n.level
+      LEFT JOIN {name} s ON s.tree = n.tree AND s.level = n.level AND s.idx = xor(n.idx, 1)
+      GROUP BY l.tree, l.idx)"""
+
+
+def _merkle_sql() -> str:
+    coded = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')"
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda plus: "sha256(" + " || ".join(coded(f"(n_chars + {plus})" if c == "n_chars" else c) for c in columns) + ")"
+    crc = _crc_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x))")
+    return f"""
+    WITH RECURSIVE rows AS (
+      SELECT doc_id, {coded("lang")} AS tree, lang, {leaf(0)} AS h,
+             CASE WHEN {crc} % 7 = 0 THEN {leaf(1)} ELSE {leaf(0)} END AS begin FROM documents),
+    leaves AS (
+      SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS size FROM rows),
+    {_tree_sql("nodes", "leaves")},
+    subroots AS (
+      SELECT 'all' AS tree, tree AS name, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS size
+      FROM (SELECT DISTINCT tree, lang FROM rows) JOIN (SELECT tree, h FROM nodes WHERE size = 1) USING (tree)),
+    {_tree_sql("tops", "subroots")},
+    met AS (
+      SELECT l.doc_id, l.h AS leaf, l.begin, s.h AS subroot, (SELECT h FROM tops WHERE size = 1) AS root,
+             coalesce(n.steps, []) || coalesce(t.steps, []) AS steps
+      FROM leaves l JOIN subroots s ON s.name = l.tree
+      LEFT JOIN nodes_steps n ON n.tree = l.tree AND n.idx = l.idx LEFT JOIN tops_steps t ON t.idx = s.idx),
+    folded AS (
+      SELECT *, list_reduce([begin] || steps, lambda h, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || h) WHEN 'R' THEN sha256(h || s[2:])
+                                                          ELSE sha256(h) END) AS folded_root FROM met)
+    SELECT doc_id, leaf, subroot, root,
+           sha256(array_to_string(list_transform(list_filter(steps, lambda s: s <> 'N'), lambda s: s[2:]), '')) AS proof_sha256,
+           folded_root, folded_root = root AS verified FROM folded
+    """
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
+
+
+def _spelling_sql() -> str:
+    lower = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # U+00C0 to U+00FF are two bytes in UTF-8.
+    crc = _crc_sql("flatten(list_transform(string_split(doc_id || ':' || w, ''), "
+                   "lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [195, ord(x) - 64] END))")
+    return f"""
+    WITH RECURSIVE runs AS (
+      SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents),
+    uses AS (SELECT doc_id, {lower} AS w, count(*) AS k FROM runs GROUP BY 1, 2),
+    marked AS (SELECT w, k, {crc} AS h FROM uses),
+    slipped AS (SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, k FROM marked),
+    words AS (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+    cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+    gaps AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM cut),
+    near AS (
+      SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+      UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word),
+    best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY 1),
+    forms AS (
+      SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+      FROM words LEFT JOIN best USING (word)),
+    chain AS (
+      SELECT word, word AS at FROM forms
+      UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL),
+    ends AS (SELECT c.word, c.at AS root FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n::DOUBLE AS form_n FROM forms JOIN ends USING (word)
+    """
+
+
+# A nullable count is a floating-point column in pandas, as Spark's result is.
+SQL["op11_spelling_variants"] = _spelling_sql()
