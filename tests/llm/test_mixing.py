@@ -68,3 +68,19 @@ def test_defined_cases(spark):
     assert {r.copies for r in out if r.source == "empty"} == {1}
     assert len({r.copies for r in out if r.doc_id == 5 and r.text == "dup dup"}) == 1
     assert mixing.mix(df.limit(0), max_repetition=2.0).count() == 0
+
+
+@pytest.mark.parametrize("target, limit", [(0.95, None), (None, 1.5), (0.99, 2.0), (None, None)])
+def test_more_sources_than_are_broadcast(spark, monkeypatch, target, limit):
+    """Joined by a shuffle and bisected by sums: the same exponent and the same copies."""
+    df = docs(spark, {"a": 300, "b": 90, "c": 40, "d": 11, None: 5}, [(900, "empty", ""), (901, "empty", None)])
+    found = []
+    for bound in (mixing.BROADCAST_SOURCES, 2):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+        with Workspace(spark) as work:
+            narrow = work.save(df.select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens")))
+            plan = mixing.plan(narrow, work, target, limit, seed=3)
+            copies = {r.doc_id: r["copies"] for r in mixing.taken(df, plan, 3).collect()}
+            found.append((pytest.approx(plan.exponent, abs=1e-12), plan.few, copies))
+    assert found[0][1] and not found[1][1] and found[0][0] == found[1][0].expected and found[0][2] == found[1][2]
+    assert set(found[1][2]) == {r.doc_id for r in df.collect()}

@@ -19,17 +19,19 @@ empty table gives an empty result; all other columns pass through.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Workspace
+from ..session import Workspace, at_most
 
 STEPS = 60  # of the bisection
 HIGHEST = 1.0  # mixing only ever flattens the shares
 DEPTHS = (3, 6, 9)  # leading digits of a key that the three rounds of sums look at; the first is the block
 BROADCAST_SOURCES = 50_000
+AT_ONCE = 6  # steps of the bisection that one round of sums decides
 
 
 @dataclass
@@ -39,6 +41,7 @@ class Plan:
     exponent: float
     budget: float
     sources: DataFrame
+    few: bool = True  # whether ``sources`` may be broadcast
 
 
 def n_tokens(text: Column) -> Column:
@@ -76,6 +79,46 @@ def _entropy(shares: Column, a: Column) -> Column:
     return F.log(z) - a * _sum(shares, lambda p: F.pow(p, a) * F.log(p)) / z
 
 
+def _halved(wrong_at) -> float:
+    """The bisection of ``_bisect`` with ``wrong_at``, which judges a list of exponents at once."""
+    if not wrong_at([0.0])[0]:
+        return 0.0
+    low, high, cells = 0.0, HIGHEST, 1 << AT_ONCE
+    for _ in range(STEPS // AT_ONCE):
+        bad = wrong_at([low + (high - low) * k / cells for k in range(1, cells)])
+        a, b = 0, cells
+        while b - a > 1:
+            mid = (a + b) // 2
+            a, b = (mid, b) if bad[mid - 1] else (a, mid)
+        low, high = low + (high - low) * a / cells, low + (high - low) * b / cells
+    return high
+
+
+def _exponent_by_sums(sources: DataFrame, entropy: float | None, max_repetition: float | None) -> tuple[float, float, float, float] | None:
+    """``exponent`` for any number of sources: only sums over them reach the driver."""
+    tokens = F.col("tokens").cast("double")
+    real = sources.filter("tokens > 0")
+    total, least, most, count = real.agg(F.sum(tokens), F.min(tokens), F.max(tokens), F.count("*")).first()
+    if not count:
+        return None
+    p = tokens / total
+
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        powers = [F.pow(p, F.lit(e)) for e in exponents]
+        row = real.agg(*[F.sum(x) for x in powers], *[F.sum(x * F.log(p)) for x in powers]).first()
+        return list(zip(row[:len(exponents)], row[len(exponents):], strict=True))
+
+    def too_even(exponents: list[float]) -> list[bool]:
+        return [math.log(z) - e * s / z > entropy * math.log(count) for e, (z, s) in zip(exponents, sums(exponents), strict=True)]
+
+    a = 0.0 if entropy is not None or max_repetition is not None else 1.0
+    if entropy is not None:
+        a = _halved(too_even)
+    if max_repetition is not None:
+        a = max(a, min(1.0, _halved(lambda exponents: [(least / most) ** (e - 1) > max_repetition for e in exponents])))
+    return a, sums([a])[0][0], most / total, most
+
+
 def exponent(sources: DataFrame, entropy: float | None, max_repetition: float | None) -> tuple[float, float, float] | None:
     """Exponent, its normaliser and the largest share, from one row of all token counts.
 
@@ -97,10 +140,14 @@ def exponent(sources: DataFrame, entropy: float | None, max_repetition: float |
     return tuple(found) if found else None
 
 
-def _stops(docs: DataFrame, sources: DataFrame, work: Workspace, seed: int) -> DataFrame:
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def _stops(docs: DataFrame, sources: DataFrame, work: Workspace, seed: int, few: bool) -> DataFrame:
     """``source, cut``: the first key that the last epoch no longer takes, for sources with a partial epoch."""
     wanted = sources.filter("rest > 0").select("source", "epochs", "rest")
-    rows = docs.join(F.broadcast(wanted), docs["source"].eqNullSafe(wanted["source"])).select(
+    rows = docs.join(_small(wanted, few), docs["source"].eqNullSafe(wanted["source"])).select(
         docs["source"], order_key(F.col("doc_id"), F.col("epochs"), seed).alias("key"), "tokens", "rest")
     rows = work.save(rows, "keys")
     for depth in DEPTHS:
@@ -110,7 +157,7 @@ def _stops(docs: DataFrame, sources: DataFrame, work: Workspace, seed: int) -> D
         edge = sums.withColumn("before", before).filter("before < rest AND before + tokens >= rest")
         edge = work.save(edge.select(F.col("source").alias("s"), "part", "before"), "edge")
         inside = rows["source"].eqNullSafe(edge["s"]) & (F.substring(rows["key"], 1, depth) == edge["part"])
-        rows = work.save(rows.join(F.broadcast(edge), inside).select(
+        rows = work.save(rows.join(_small(edge, few), inside).select(
             "source", "key", "tokens", (F.col("rest") - F.col("before")).alias("rest")), "keys")
     order = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = rows.withColumn("through", F.sum("tokens").over(order)).filter("through >= rest")
@@ -121,9 +168,8 @@ def plan(docs: DataFrame, work: Workspace, entropy: float | None = None, max_rep
          budget: float | None = None, seed: int = 0) -> Plan:
     """``docs`` has ``doc_id``, ``source`` and ``tokens``."""
     sources = work.save(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
-    if sources.limit(BROADCAST_SOURCES + 1).count() > BROADCAST_SOURCES:
-        raise ValueError(f"more than {BROADCAST_SOURCES} sources: group them first")
-    a, z, most, largest = exponent(sources, entropy, max_repetition) or (1.0, 1.0, 1.0, 0.0)
+    few = at_most(sources, BROADCAST_SOURCES)
+    a, z, most, largest = (exponent if few else _exponent_by_sums)(sources, entropy, max_repetition) or (1.0, 1.0, 1.0, 0.0)
     total = largest / most if most else 0.0
     if budget is None:
         budget = _least_repeated(sources, a, z, total)
@@ -134,9 +180,9 @@ def plan(docs: DataFrame, work: Workspace, entropy: float | None = None, max_rep
     sources = sources.withColumn("epochs", epochs.cast("long"))
     rest = F.when(F.col("tokens") > 0, F.col("target") - F.col("epochs") * F.col("tokens")).otherwise(0)
     sources = work.save(sources.withColumn("rest", rest), "targets")
-    stops = work.save(_stops(docs, sources, work, seed).withColumnRenamed("source", "s"), "stops")
-    met = sources.join(F.broadcast(stops), sources["source"].eqNullSafe(stops["s"]), "left").drop("s")
-    return Plan(a, budget, work.save(met, "mixture"))
+    stops = work.save(_stops(docs, sources, work, seed, few).withColumnRenamed("source", "s"), "stops")
+    met = sources.join(_small(stops, few), sources["source"].eqNullSafe(stops["s"]), "left").drop("s")
+    return Plan(a, budget, work.save(met, "mixture"), few)
 
 
 def _least_repeated(sources: DataFrame, a: float, z: float, total: float) -> float:
@@ -149,7 +195,7 @@ def taken(docs: DataFrame, mixture: Plan, seed: int = 0) -> DataFrame:
     """``docs`` with ``copies``, how often each document is read; rows read zero times stay with 0."""
     table = mixture.sources.select(F.col("source").alias("_source"), "epochs", "cut")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
-    met = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_source"]))
+    met = rows.join(_small(table, mixture.few), rows["source"].eqNullSafe(table["_source"]))
     more = F.when(F.col("cut").isNotNull() & (order_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epochs"), seed) <= F.col("cut")), 1)
     return met.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "copies"],
                       (F.col("epochs") + F.coalesce(more, F.lit(0))).cast("long").alias("copies"))
