@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def _video_id(number):
+def video_id(number):
     """Eleven characters, like every video id."""
     return F.concat(F.lit("v"), F.lpad(number.cast("string"), 10, "0"))
 
@@ -43,7 +43,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def comments_from(d: DataFrame) -> DataFrame:
     no = F.when(F.col("n_chars") % 3 == 0, F.lit(0)).otherwise(F.floor(F.col("doc_id") / 10)).cast("bigint")
-    video = _video_id(no)
+    video = video_id(no)
     link = F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit(" https://youtu.be/"), video)).when(
         F.col("n_chars") % 5 == 1, F.concat(F.lit(" www.youtube.com/watch?x=1&v="), video)
     )
@@ -82,7 +82,7 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(
-        _video_id(k).alias("video_id"),
+        video_id(k).alias("video_id"),
         F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" [take "), letters(k), F.lit("]")).alias("title"),
         F.concat(F.lit("studio "), letters(k)).alias("channel_title"),
         F.concat(F.lit("A "), F.col("p_name"), F.lit(" of "), F.col("p_brand")).alias("description"),
@@ -108,7 +108,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     n = F.length("html")
     no = F.when(n % 3 == 0, F.lit(0)).otherwise(F.floor(F.col("page_id") / 5)).cast("bigint")
-    link = F.concat(F.lit(" https://youtu.be/"), _video_id(no))
+    link = F.concat(F.lit(" https://youtu.be/"), video_id(no))
     named = F.concat(F.lit(" the studio "), letters(no))
     text = (
         F.when(n % 4 == 0, link)

@@ -230,11 +230,6 @@ view("yt_counts", f"""
 SELECT v.video_id, {counts('c.sentiment_label')} FROM videos v JOIN comments c ON c.video_id = v.video_id
 WHERE c.platform = 'youtube' AND c.sentiment_label IS NOT NULL GROUP BY 1""", "videos", "comments")
 
-view("yt_link_counts", f"""
-SELECT v.video_id, {counts('c.sentiment_label')} FROM (SELECT DISTINCT video_id FROM links) v
-JOIN comments c ON c.video_id = v.video_id
-WHERE c.platform = 'youtube' AND c.sentiment_label IS NOT NULL GROUP BY 1""", "links", "comments")
-
 
 def tokens(src: str, cols: str, rule: str, body: str = "body", where: str = "true") -> str:
     nws = f"[^{WS}]"
@@ -254,44 +249,55 @@ WHERE length(term) > 3 AND term NOT IN ({words_in(stops)})"""
 
 # --- linking and propagation -------------------------------------------------------
 
-view("video_terms", tokens("links", "video_id, ingested_at, platform_id", "topic"), "links")
-view("video_topics", """
+def shared_views(p: str) -> None:
+    """Views of the shared-video report over ``<p>links``."""
+    view(f"{p}yt_link_counts", f"""
+SELECT v.video_id, {counts('c.sentiment_label')} FROM (SELECT DISTINCT video_id FROM {p}links) v
+JOIN comments c ON c.video_id = v.video_id
+WHERE c.platform = 'youtube' AND c.sentiment_label IS NOT NULL GROUP BY 1""", f"{p}links", "comments")
+    view(f"{p}video_terms", tokens(f"{p}links", "video_id, ingested_at, platform_id", "topic"), f"{p}links")
+    view(f"{p}video_topics", f"""
 SELECT video_id, list(term ORDER BY r) AS terms FROM (
  SELECT video_id, term, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, k) AS r FROM (
   SELECT video_id, term, count(*) AS n, min(row(-epoch_us(ingested_at), platform_id, pos)) AS k
-  FROM video_terms GROUP BY ALL))
-WHERE r <= 4 GROUP BY 1""", "video_terms")
-
-view("rolled", f"""
+  FROM {p}video_terms GROUP BY ALL))
+WHERE r <= 4 GROUP BY 1""", f"{p}video_terms")
+    view(f"{p}rolled", f"""
 SELECT video_id, count(*) AS shares, count(DISTINCT post_id) AS posts, count(DISTINCT parent_id) AS subs,
  CAST(sum(score) AS BIGINT) AS votes, min(published_at) AS first_at, max(published_at) AS last_at,
  max(ingested_at) AS last_ingested, {counts("coalesce(sentiment_label, 'neutral')")}
-FROM links GROUP BY 1""", "links")
-
-view("shared", f"""
+FROM {p}links GROUP BY 1""", f"{p}links")
+    view(f"{p}shared", f"""
 SELECT *, CASE WHEN yt_n > 0 AND rd_n > 0 THEN round(yt_positive - rd_positive, 2) ELSE 0.0 END AS sentiment_gap FROM (
 SELECT r.video_id, v.title, v.views, v.likes, v.tags, v.published_at, r.shares, r.posts, r.subs,
  CASE WHEN r.votes <> 0 THEN r.votes END AS votes, r.first_at, r.last_at, r.last_ingested, pc.post_comments,
  {delay('v.published_at', 'r.first_at')} AS delay_h,
  {breakdown('yt', 'y.n', 'y.pos', 'y.neu', 'y.neg')}, {breakdown('rd', 'r.n', 'r.pos', 'r.neu', 'r.neg')}
-FROM rolled r LEFT JOIN videos v USING (video_id) LEFT JOIN yt_link_counts y USING (video_id)
+FROM {p}rolled r LEFT JOIN videos v USING (video_id) LEFT JOIN {p}yt_link_counts y USING (video_id)
 LEFT JOIN (SELECT video_id, CAST(sum(num_comments) AS BIGINT) AS post_comments FROM
- (SELECT DISTINCT video_id, post_id FROM links) JOIN posts USING (post_id) GROUP BY 1) pc USING (video_id))""",
-     "rolled", "videos", "yt_link_counts", "posts")
+ (SELECT DISTINCT video_id, post_id FROM {p}links) JOIN posts USING (post_id) GROUP BY 1) pc USING (video_id))""",
+         f"{p}rolled", "videos", f"{p}yt_link_counts", "posts")
+
+
+shared_views("")
 
 TOPICS = ordered_distinct("list_concat(list_slice(coalesce(tags, []), 1, 4), coalesce(terms, []))")
 YT_RD = ("yt_positive, yt_neutral, yt_negative, yt_dominant_label, yt_n, "
          "rd_positive, rd_neutral, rd_negative, rd_dominant_label, rd_n")
 
-add("shared_videos", f"""
+def shared_report(p: str, match: str, score: str) -> str:
+    return f"""
 SELECT video_id, title, CAST(views AS DOUBLE) AS youtube_views, CAST(likes AS DOUBLE) AS youtube_likes, shares AS total_reddit_shares,
  posts AS reddit_posts, subs AS reddit_subreddits, CAST(votes AS DOUBLE) AS reddit_total_upvotes,
  CASE WHEN coalesce(post_comments, 0) <> 0 THEN post_comments ELSE shares END AS reddit_total_comments,
  {ts('first_at')} AS reddit_first_shared_at, {ts('last_at')} AS reddit_latest_shared_at,
  delay_h AS propagation_delay_hours, {speed('delay_h', 'first_at', 'Recent Community Discovery')} AS propagation_speed,
  {YT_RD}, sentiment_gap, {LIST_NOTE} AS sentiment_disparity_note,
- array_to_string(list_slice({TOPICS}, 1, 6), '|') AS topics, 'url' AS match_type, 1.0::DOUBLE AS similarity_score
-FROM shared LEFT JOIN video_topics USING (video_id)""", "shared", "video_topics")
+ array_to_string(list_slice({TOPICS}, 1, 6), '|') AS topics, {match} AS match_type, {score} AS similarity_score
+FROM {p}shared LEFT JOIN {p}video_topics USING (video_id)"""
+
+
+add("shared_videos", shared_report("", "'url'", "1.0::DOUBLE"), "shared", "video_topics")
 
 add("propagation", f"""
 SELECT video_id, shares, {ts('first_at')} AS first_shared_at, {ts('last_at')} AS last_shared_at,
@@ -442,6 +448,18 @@ SELECT k AS video_no, CASE WHEN bool_or(u) AND bool_or(NOT u) THEN 'hybrid' WHEN
  SELECT vec_id % 25 AS k, true AS u, 1.0::DOUBLE AS s FROM embeddings WHERE label < 5
  UNION ALL SELECT vid % 50, false, round(s, 4) FROM sem_best WHERE s >= 0.2) GROUP BY 1""", "sem_best")
 
+view("hlinks", """
+SELECT *, true AS by_url, 1.0::DOUBLE AS match_score FROM links
+UNION ALL
+SELECT c.* EXCLUDE (video_id), 'v' || lpad(CAST(vid // 5 AS VARCHAR), 10, '0') AS video_id, false, round(s, 4)
+FROM sem_best JOIN comments c ON c.platform_id = 'c' || did AND c.platform = 'reddit'
+WHERE s >= 0.3 AND c.platform_id NOT IN (SELECT platform_id FROM links)""", "links", "sem_best", "comments")
+shared_views("h")
+view("hmatch", """
+SELECT video_id, CASE WHEN bool_and(by_url) THEN 'url' WHEN bool_or(by_url) THEN 'hybrid' ELSE 'semantic' END AS m, max(match_score) AS s
+FROM hlinks GROUP BY 1""", "hlinks")
+add("shared_videos_hybrid", shared_report("h", "m", "round(s, 3)") + " JOIN hmatch USING (video_id)", "hshared", "hvideo_topics", "hmatch")
+
 view("url_free", f"""
 SELECT platform_id, {strip(f"regexp_replace(regexp_replace(body, 'https?://[^{WS}]+|www\\.[^{WS}]+', ' ', 'g'), '[{WS}]+', ' ', 'g')")} AS t,
  regexp_extract_all(body, '{URL_RE}', 1) AS ids FROM comments""", "comments")

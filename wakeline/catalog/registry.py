@@ -94,6 +94,10 @@ def scorer(spark: SparkSession) -> scoring.Scorer:
 def shared_videos(spark, sf):
     c = D.comments(spark, sf)
     out = shared_plan.shared_videos(shared_plan.linked_discussions(c), c, D.facts(spark, sf), D.posts(spark, sf))
+    return _shared_columns(out)
+
+
+def _shared_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "video_id", "title", dbl("youtube_views"), dbl("youtube_likes"), "total_reddit_shares", "reddit_posts",
         "reddit_subreddits", dbl("reddit_total_upvotes"), "reddit_total_comments",
@@ -103,6 +107,18 @@ def shared_videos(spark, sf):
     )
 
 
+@query
+def shared_videos_hybrid(spark, sf):
+    """The report with both kinds of links: URLs, and vectors of the comments that hold none."""
+    c = D.comments(spark, sf)
+    d, v = D.vectors(spark, sf)
+    d = d.withColumn("platform_id", F.concat(F.lit("c"), F.col("platform_id").cast("string")))
+    v = v.withColumn("video_id", D.video_id(F.floor(F.col("video_id") / 5).cast("bigint")))
+    linked = shared_plan.linked_discussions(c, vectors=(d, v), threshold=0.3)
+    out = shared_plan.shared_videos(linked, c, D.facts(spark, sf), D.posts(spark, sf))
+    return _shared_columns(out).withColumn("similarity_score", round_to("similarity_score", 3))
+
+
 @query
 def propagation(spark, sf):
     linked = shared_plan.linked_discussions(D.comments(spark, sf))
