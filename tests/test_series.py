@@ -196,3 +196,11 @@ def test_growth_model_and_saved_form(spark, tmp_path):
     assert models.load_model(f"{tmp_path}/model").stages[0].getInputCols() == models.GROWTH_FEATURES
     with pytest.raises(ValueError):
         models.train_growth_model(a.limit(1), as_of)
+
+    # A table without two of the columns, in another order, with others: as if the columns held 0.
+    loaded, rows = models.load_model(f"{tmp_path}/model"), models.growth_rows(a, as_of)
+    short = rows.select(F.lit(7).alias("features_of_another_table"), *reversed([c for c in rows.columns if c not in ("positive_pct", "subscriber_count")]))
+    zeros = rows.withColumns({"positive_pct": F.lit(0.0), "subscriber_count": F.lit(None).cast("double")})
+    predicted = lambda m, df: sorted((r["platform_id"], r["prediction"]) for r in m.transform(df).collect())
+    assert predicted(loaded, short) == predicted(loaded, zeros) == predicted(model, zeros) != predicted(model, rows)
+    assert set(short.columns) < set(loaded.transform(short).columns)

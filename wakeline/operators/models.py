@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,29 @@ from .upsert import sentiment_block
 GROWTH_FEATURES = ["subscriber_count", "positive_pct", "neutral_pct", "negative_pct", "total_comments_analyzed"]
 
 
+class AlignedFeatures(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The training columns in their order as one vector; a column the table lacks, or a NULL, is 0.
+
+    Saved with the model, so a table of any shape and column order can be scored later. All other columns stay as
+    they are."""
+
+    @keyword_only
+    def __init__(self, inputCols: list[str] | None = None, outputCol: str | None = None):  # noqa: N803
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        names = self.getInputCols()
+        have = set(dataset.columns)
+        filled = {f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in names}
+        vector = VectorAssembler(inputCols=list(filled), outputCol=self.getOutputCol(), handleInvalid="keep")
+        return vector.transform(dataset.withColumns(filled)).drop(*filled)
+
+
 def _boosted(features: list[str], target: str, rounds: int, depth: int, rate: float) -> Pipeline:
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
+            AlignedFeatures(inputCols=features, outputCol="features"),
             GBTRegressor(
                 featuresCol="features", labelCol=target, lossType="squared", maxIter=rounds, maxDepth=depth,
                 stepSize=rate, subsamplingRate=0.8, seed=42,
