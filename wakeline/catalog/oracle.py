@@ -874,6 +874,19 @@ SELECT 'v' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS video_id, p_name AS t
 add("quarantine", """
 SELECT p_partkey, substr('{"items":[{"id":"v' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') || '","snippet":{"title":"' || p_name, 1, 40) AS json
 FROM part WHERE p_size % 10 = 7""")
+def landed(shape: str, table: str, key: str, where: str = "true", rows: str = "true") -> str:
+    return f"""SELECT '{shape}' AS shape, CAST(count_if({key} % 10 <> 7) AS BIGINT) AS good, CAST(count_if({key} % 10 = 7) AS BIGINT) AS bad,
+ CAST(count_if({key} % 10 <> 7 AND {rows}) AS BIGINT) AS rows, CAST(count_if({key} % 10 = 7) AS BIGINT) AS kept_bad,
+ CAST(sum({key}) FILTER ({key} % 10 = 7) AS BIGINT) AS bad_keys FROM {table} WHERE {where}"""
+
+
+add("payload_errors", " UNION ALL ".join([
+    landed("videos", "part", "p_partkey", "p_size % 10 <> 7"), landed("channels", "customer", "c_custkey"),
+    landed("video_listing", "part", "p_partkey"),
+    landed("comment_threads", "pages", "page_id", rows=f"page_id % 9 <> 0 AND length({strip('url')}) > 5"),
+    landed("submissions", "pages", "page_id"),
+    landed("reddit_comments", "documents", "doc_id", rows="doc_id % 8 > 1 AND text NOT IN ('', '[deleted]', '[removed]')"),
+]))
 add("normalise_comment_json", f"""
 SELECT 'k' || page_id AS comment_id, 'vid' AS video_id, 'someone' AS author, {strip('url')} AS body, page_id AS like_count,
  '2024-01-02 03:04:05' AS published_at FROM pages WHERE page_id % 9 <> 0 AND length({strip('url')}) > 5""")

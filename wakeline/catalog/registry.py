@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -838,6 +839,12 @@ def video_json(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.when(F.col("p_size") % 10 == 7, broken).otherwise(text).alias("json"))
 
 
+def video_units(spark, sf):
+    """Whole video payloads."""
+    return video_json(spark, sf).where(F.col("p_partkey").isNotNull() & F.col("json").endswith("}")).select(
+        F.col("p_partkey").alias("key"), "json")
+
+
 @query
 def normalise_video_json(spark, sf):
     out = payload_source.videos(video_json(spark, sf))
@@ -853,10 +860,9 @@ def quarantine(spark, sf):
     return bad.select("p_partkey", "json")
 
 
-@query
-def normalise_comment_json(spark, sf):
+def comment_units(spark, sf):
     p = D.table(spark, sf, "pages")
-    raw = p.select(F.to_json(F.struct(F.array(F.struct(
+    return p.select(F.col("page_id").alias("key"), F.to_json(F.struct(F.array(F.struct(
         F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("id"),
         F.struct(
             F.lit("vid").alias("videoId"),
@@ -870,70 +876,105 @@ def normalise_comment_json(spark, sf):
             ).alias("topLevelComment"),
         ).alias("snippet"),
     )).alias("items"))).alias("json"))
-    return payload_source.comment_threads(raw).select(
+
+
+@query
+def normalise_comment_json(spark, sf):
+    return payload_source.comment_threads(comment_units(spark, sf)).select(
         "comment_id", "video_id", "author", "body", "like_count", ts("published_at")
     )
 
 
-@query
-def normalise_submission_json(spark, sf):
+def submission_units(spark, sf):
     p = D.table(spark, sf, "pages")
-    raw = p.select(F.to_json(F.struct(
+    return p.select(F.col("page_id").alias("key"), F.to_json(F.struct(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url"), F.col("html").alias("selftext"),
         F.concat(F.lit("/r/x/"), F.col("page_id").cast("string")).alias("permalink"),
         F.lit("SubX").alias("subreddit"), (F.col("page_id") * 3).alias("score"),
         (F.col("page_id") * 3600.0 + 1704067200.0).alias("created_utc"),
         F.when(F.col("page_id") % 2 == 0, "self").otherwise("t.jpg").alias("thumbnail"),
     )).alias("json"))
-    return payload_source.submissions(raw).select(
+
+
+@query
+def normalise_submission_json(spark, sf):
+    return payload_source.submissions(submission_units(spark, sf)).select(
         "post_id", "permalink", "author", "subreddit", "score", "num_comments", ts("created_at"), "thumbnail_url",
         big(F.length("selftext"), "body_chars"),
     )
 
 
-@query
-def normalise_reddit_comment_json(spark, sf):
+def reddit_comment_units(spark, sf):
     d = D.table(spark, sf, "documents")
-    raw = d.select(F.to_json(F.struct(
+    return d.select(F.col("doc_id").alias("key"), F.to_json(F.struct(
         F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.lit("p1").alias("post_id"),
         F.concat(F.lit("r/"), F.upper("source")).alias("subreddit"),
         F.when(F.col("doc_id") % 8 == 0, "[deleted]").when(F.col("doc_id") % 8 == 1, "").otherwise(F.col("text")).alias("body"),
         (F.col("doc_id") * 3600.0 + 1704067200.0).alias("created_utc"), F.col("n_chars").alias("score"),
     )).alias("json"))
-    return payload_source.reddit_comments(raw).select(
+
+
+@query
+def normalise_reddit_comment_json(spark, sf):
+    return payload_source.reddit_comments(reddit_comment_units(spark, sf)).select(
         "platform", "platform_id", "parent_id", "post_id", "score", ts("published_at"),
         F.sha2("body", 256).alias("body_sha"),
     )
 
 
-@query
-def normalise_channel_json(spark, sf):
+def channel_units(spark, sf):
     c = D.table(spark, sf, "customer")
-    raw = c.select(F.to_json(F.struct(F.array(F.struct(
+    return c.select(F.col("c_custkey").alias("key"), F.to_json(F.struct(F.array(F.struct(
         F.concat(F.lit("UC"), F.col("c_custkey").cast("string")).alias("id"),
         F.struct(F.col("c_name").alias("title")).alias("snippet"),
         F.struct(F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("string")).alias("subscriberCount"))
         .alias("statistics"),
     )).alias("items"))).alias("json"))
-    return payload_source.channels(raw).select("channel_id", "display_name", "description", "subscriber_count", "views")
 
 
 @query
-def normalise_listing_json(spark, sf):
+def normalise_channel_json(spark, sf):
+    return payload_source.channels(channel_units(spark, sf)).select("channel_id", "display_name", "description", "subscriber_count", "views")
+
+
+def listing_units(spark, sf):
     p = D.table(spark, sf, "part")
     hit = F.struct(
         F.struct(F.concat(F.lit("v"), F.col("p_partkey").cast("string")).alias("videoId")).alias("id"),
         F.struct(F.col("p_name").alias("title"), F.lit("2026-01-01T00:00:00Z").alias("publishedAt")).alias("snippet"),
     )
-    raw = p.select("p_partkey", F.to_json(F.struct(
+    return p.select(F.col("p_partkey").alias("key"), F.to_json(F.struct(
         F.col("p_brand").alias("nextPageToken"), F.struct(F.col("p_size").alias("totalResults")).alias("pageInfo"),
         F.array(hit).alias("items"),
     )).alias("json"))
-    return payload_source.video_listing(raw, keep=("p_partkey",)).select(
-        "p_partkey", "video_id", "title", ts("published_at"), "next_page_token", "total_results"
+
+
+@query
+def normalise_listing_json(spark, sf):
+    return payload_source.video_listing(listing_units(spark, sf), keep=("key",)).select(
+        F.col("key").alias("p_partkey"), "video_id", "title", ts("published_at"), "next_page_token", "total_results"
     )
 
 
+@query
+def payload_errors(spark, sf):
+    """Units of all six shapes, every tenth of them cut off: counts of the landing pass, rows read back, and bad units."""
+    shapes = {"videos": video_units, "channels": channel_units, "video_listing": listing_units, "comment_threads": comment_units,
+              "submissions": submission_units, "reddit_comments": reddit_comment_units}
+    out = []
+    for shape, units in shapes.items():
+        folder = scratch_path(spark, "landed")
+        raw = units(spark, sf).withColumn("json", F.when(F.col("key") % 10 == 7, F.substring("json", 1, 20)).otherwise(F.col("json")))
+        seen = payload_source.land(raw, shape, folder)
+        rows, bad = payload_source.landed(spark, shape, folder)
+        both = rows.select(F.lit(1).alias("row"), F.lit(None).cast("bigint").alias("key")).unionByName(
+            bad.select(F.lit(0).alias("row"), F.col("key").cast("bigint")))
+        counts = both.agg(big(F.sum("row"), "rows"), F.count("key").alias("kept_bad"), F.sum("key").alias("bad_keys"))
+        out.append(counts.select(F.lit(shape).alias("shape"), F.lit(seen["good"]).cast("bigint").alias("good"),
+                                 F.lit(seen["bad"]).cast("bigint").alias("bad"), "rows", "kept_bad", "bad_keys"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def account_list(spark, sf):
     out = table_source.scan_accounts(D.accounts(spark, sf), "reddit", newest_first=True)

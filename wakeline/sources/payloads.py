@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -32,12 +32,17 @@ def parse_json(df: DataFrame, json_col: str, schema: str) -> tuple[DataFrame, Da
     return good, parsed.where(bad).drop("payload")
 
 
-def _items(df: DataFrame, json_col: str, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    good, _ = parse_json(df, json_col, schema)
+def _parsed(df: DataFrame, json_col: str | None, schema: str) -> DataFrame:
+    """Rows that parse; without ``json_col``, ``df`` is landed and has its ``payload`` already."""
+    return df if json_col is None else parse_json(df, json_col, schema)[0]
+
+
+def _items(df: DataFrame, json_col: str | None, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    good = _parsed(df, json_col, schema)
     return good.select(*keep, "payload", F.explode("payload.items").alias("item"))
 
 
-def videos(df: DataFrame, json_col: str = "json") -> DataFrame:
+def videos(df: DataFrame, json_col: str | None = "json") -> DataFrame:
     """Video resources: string counters to numbers, best thumbnail, tags default to an empty list."""
     s, st = F.col("item.snippet"), F.col("item.statistics")
     return _items(df, json_col, schemas.VIDEO_LIST_JSON).select(
@@ -55,7 +60,7 @@ def videos(df: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def channels(df: DataFrame, json_col: str = "json") -> DataFrame:
+def channels(df: DataFrame, json_col: str | None = "json") -> DataFrame:
     s, st = F.col("item.snippet"), F.col("item.statistics")
     return _items(df, json_col, schemas.CHANNEL_LIST_JSON).select(
         F.col("item.id").alias("channel_id"),
@@ -68,7 +73,7 @@ def channels(df: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def video_listing(df: DataFrame, json_col: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+def video_listing(df: DataFrame, json_col: str | None = "json", keep: tuple[str, ...] = ()) -> DataFrame:
     """Search listings of a channel, one row per video, with paging facts."""
     s = F.col("item.snippet")
     return _items(df, json_col, schemas.VIDEO_SEARCH_JSON, keep).select(
@@ -83,7 +88,7 @@ def video_listing(df: DataFrame, json_col: str = "json", keep: tuple[str, ...] =
     ).where(F.col("video_id").isNotNull())
 
 
-def comment_threads(df: DataFrame, json_col: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+def comment_threads(df: DataFrame, json_col: str | None = "json", keep: tuple[str, ...] = ()) -> DataFrame:
     """Top-level comments; the trimmed text has to be longer than five characters."""
     top = F.col("item.snippet.topLevelComment")
     return _items(df, json_col, schemas.COMMENT_THREADS_JSON, keep).select(
@@ -97,9 +102,9 @@ def comment_threads(df: DataFrame, json_col: str = "json", keep: tuple[str, ...]
     ).where(F.length("body") > 5)
 
 
-def submissions(df: DataFrame, json_col: str = "json") -> DataFrame:
+def submissions(df: DataFrame, json_col: str | None = "json") -> DataFrame:
     """Reddit submissions; a ``self`` thumbnail means none."""
-    good, _ = parse_json(df, json_col, schemas.SUBMISSION_JSON)
+    good = _parsed(df, json_col, schemas.SUBMISSION_JSON)
     p = F.col("payload")
     return good.select(
         p["id"].alias("post_id"),
@@ -117,9 +122,9 @@ def submissions(df: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
-def reddit_comments(df: DataFrame, json_col: str = "json") -> DataFrame:
+def reddit_comments(df: DataFrame, json_col: str | None = "json") -> DataFrame:
     """Reddit comments as comment-table rows; empty, deleted and removed bodies are dropped."""
-    good, _ = parse_json(df, json_col, schemas.REDDIT_COMMENT_JSON)
+    good = _parsed(df, json_col, schemas.REDDIT_COMMENT_JSON)
     p = F.col("payload")
     body = F.coalesce(p["body"], F.lit(""))
     return good.where(~body.isin("", "[deleted]", "[removed]")).select(
@@ -133,3 +138,35 @@ def reddit_comments(df: DataFrame, json_col: str = "json") -> DataFrame:
         tx.parse_epoch(p["created_utc"]).alias("published_at"),
         p["permalink"].alias("permalink"),
     )
+
+
+# Schema and reader of each shape of payload.
+SHAPES = {
+    "videos": (schemas.VIDEO_LIST_JSON, videos),
+    "channels": (schemas.CHANNEL_LIST_JSON, channels),
+    "video_listing": (schemas.VIDEO_SEARCH_JSON, video_listing),
+    "comment_threads": (schemas.COMMENT_THREADS_JSON, comment_threads),
+    "submissions": (schemas.SUBMISSION_JSON, submissions),
+    "reddit_comments": (schemas.REDDIT_COMMENT_JSON, reddit_comments),
+}
+
+
+def land(df: DataFrame, shape: str, folder: str, json_col: str = "json") -> dict[str, int]:
+    """Parse the units of one shape once and write them under ``folder``: parsed ones with their ``payload``, bad ones
+    as they came. Returns how many were ``good`` and ``bad``, counted by the same pass."""
+    schema = f"{SHAPES[shape][0]}, {_CORRUPT} STRING"
+    text = F.col(json_col)
+    parsed = df.withColumn("payload", F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    bad = F.col("payload").isNull() | F.col(f"payload.{_CORRUPT}").isNotNull()
+    units = parsed.withColumn("bad", bad).withColumn(json_col, F.when(F.col("bad"), text)).withColumn(
+        "payload", F.when(~F.col("bad"), F.col("payload").dropFields(_CORRUPT)))
+    seen = Observation()
+    units = units.observe(seen, F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+    units.write.mode("overwrite").partitionBy("bad").parquet(folder)
+    return seen.get
+
+
+def landed(spark: SparkSession, shape: str, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows of the parsed units of a landed folder, and its bad units."""
+    units, bad = spark.read.parquet(folder), F.col("bad").cast("string") == "true"
+    return SHAPES[shape][1](units.where(~bad), None, **options), units.where(bad).drop("payload", "bad")
