@@ -167,12 +167,13 @@ def _edge(part: Column, end: bool) -> Column:
 
 
 def word_pairs(posts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, word, next``: words of each text with the word that follows, null after the last; each pair once."""
+    """``key, word, next``: words of each text with the word that follows, empty after the last; each pair once."""
     split = posts.select(key, tx.runs(F.lower(text)).alias("w"))
-    pairs = F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))
+    # As one text with the space that no word has: distinct texts are found by hash, distinct structs one by one.
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))))
     # explode_outer: a plain explode would evaluate the array a second time for an inferred size filter.
-    return split.select(key, F.explode_outer(F.array_distinct(pairs)).alias("p")).select(key, "p.word", "p.next").where(
-        F.col("word").isNotNull())
+    rows = split.select(key, F.explode_outer(F.array_distinct(pairs)).alias("p")).where(F.col("p").isNotNull())
+    return rows.select(key, F.substring_index("p", " ", 1).alias("word"), F.substring_index("p", " ", -1).alias("next"))
 
 
 def _words_around(vocabulary: DataFrame, parts: DataFrame, sizes: list[int]) -> DataFrame:
@@ -196,7 +197,7 @@ def words_with(pairs: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """(post, part) rows where some word of the post contains the part (column ``part``). The test runs once per distinct
     word of the corpus; posts only join the words that passed."""
     sizes = sorted(r[0] for r in parts.select(F.least(F.length("part"), F.lit(_GRAM)).alias("n")).where("n > 0").distinct().collect())
-    words = pairs.select(key, "word").where(F.length("word") >= (sizes or [1])[0]).distinct()
+    words = pairs.select(key, "word").where(F.length("word") >= (sizes or [1])[0])
     hits = _words_around(words.select("word").distinct(), parts, sizes or [1])
     return words.join(hits, "word").select(key, "part").distinct()
 
