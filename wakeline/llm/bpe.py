@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 WIDE = 256  # bytes of a piece above which the heap merge is used
-CACHE_ENTRIES = 400_000  # pieces a task remembers
+CACHE_ENTRIES = 150_000  # pieces a task remembers
 NONE = np.int64(1) << 40  # rank of a pair that does not merge
 
 # White space other than these four characters makes the fast split below unsafe.
@@ -248,7 +248,7 @@ def _map_column(df: DataFrame, source: str, outputs: list[T.StructField],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for batch in _slices(whole, source):
+            for batch in _slices(whole, source, 1_000_000):
                 values = batch.column(batch.schema.get_field_index(source)).to_pylist()
                 columns = [batch.column(batch.schema.get_field_index(n)) for n in plain]
                 yield pa.RecordBatch.from_arrays(columns + work(values), names=plain + [f.name for f in outputs])
