@@ -460,6 +460,10 @@ SELECT video_id, CASE WHEN bool_and(by_url) THEN 'url' WHEN bool_or(by_url) THEN
 FROM hlinks GROUP BY 1""", "hlinks")
 add("shared_videos_hybrid", shared_report("h", "m", "round(s, 3)") + " JOIN hmatch USING (video_id)", "hshared", "hvideo_topics", "hmatch")
 
+add("video_search", """
+SELECT video_id, 'https://www.youtube.com/watch?v=' || video_id AS watch_url, title, channel_title, m AS match_type
+FROM hmatch JOIN videos USING (video_id) WHERE m <> 'url' AND (contains(lower(title), 'ring') OR contains(lower(channel_title), 'ring'))""", "hmatch", "videos")
+
 view("url_free", f"""
 SELECT platform_id, {strip(f"regexp_replace(regexp_replace(body, 'https?://[^{WS}]+|www\\.[^{WS}]+', ' ', 'g'), '[{WS}]+', ' ', 'g')")} AS t,
  regexp_extract_all(body, '{URL_RE}', 1) AS ids FROM comments""", "comments")
@@ -763,6 +767,24 @@ LEFT JOIN canon e ON e.alias = x.explicit_category LEFT JOIN canon m ON m.alias
 add("category_detect", "SELECT channel_id, category FROM cats", "cats")
 
 
+view("chans2", """
+SELECT c_custkey AS channel_id, CASE WHEN c_custkey % 6 = 1 THEN 'esports' WHEN c_custkey % 6 < 3 THEN 'film' END AS name,
+ concat_ws(' ', CASE WHEN c_custkey % 5 = 1 THEN 'xbox' END, CASE WHEN c_custkey % 5 = 0 THEN 'Album artist' END) AS words FROM customer""")
+view("posts2", """
+SELECT h.channel_id, r, words, k.canonical FROM (
+ SELECT channel_id, row_number() OVER (PARTITION BY channel_id ORDER BY published_at, post_id) AS r,
+  CASE WHEN post_id % 9 = 0 THEN 'unlisted' WHEN post_id % 18 = 9 THEN 'music' WHEN post_id % 31 = 0 THEN 'coding' END AS name,
+  CASE post_id % 4 WHEN 0 THEN 'software tutorial' WHEN 1 THEN 'Breaking world news' WHEN 2 THEN 'a song, an Album' ELSE '' END AS words
+ FROM history) h LEFT JOIN canon k ON k.alias = h.name WHERE r <= 10""", "history", "canon")
+view("cats2", f"""
+SELECT channel_id, coalesce(m.canonical, fp, CASE
+ {" ".join(f"WHEN greatest({', '.join('s_' + x for x in _cats)}) > 0 AND s_{c} = greatest({', '.join('s_' + x for x in _cats)}) THEN '{c}'" for c in _cats)} END, 'general') AS category
+FROM (SELECT c.*, p.fp, {", ".join(f"{hits(c, 'c.words')} + coalesce(p.h_{c}, 0) AS s_{c}" for c in _cats)} FROM chans2 c LEFT JOIN (
+  SELECT channel_id, arg_min(canonical, r) FILTER (canonical IS NOT NULL) AS fp, {", ".join(f"sum({hits(c, 'words')}) AS h_{c}" for c in _cats)}
+  FROM posts2 GROUP BY 1) p USING (channel_id)) x LEFT JOIN canon m ON m.alias = x.name""", "chans2", "posts2", "canon")
+add("category_evidence", "SELECT channel_id, category FROM cats2", "cats2")
+
+
 def cat_forecast(src: str, base: str, lr: str, cr: str) -> str:
     v = f"{base} * pow(1 + growth, step)"
     rel = "least(0.35::DOUBLE, greatest(0.15::DOUBLE, views_std / base_views))"

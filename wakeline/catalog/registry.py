@@ -120,6 +120,19 @@ def shared_videos_hybrid(spark, sf):
     return _shared_columns(out).withColumn("similarity_score", round_to("similarity_score", 3))
 
 
+@query
+def video_search(spark, sf):
+    """Videos found by text similarity whose title or channel holds a word, with their watch pages."""
+    c = D.comments(spark, sf)
+    d, v = D.vectors(spark, sf)
+    d = d.withColumn("platform_id", F.concat(F.lit("c"), F.col("platform_id").cast("string")))
+    v = v.withColumn("video_id", D.video_id(F.floor(F.col("video_id") / 5).cast("bigint")))
+    linked = shared_plan.linked_discussions(c, vectors=(d, v), threshold=0.3)
+    out = shared_plan.shared_videos(linked, c, D.facts(spark, sf), with_topics=False)
+    found = ranking.search_videos(out, "RiNg", semantic_only=True)
+    return found.select("video_id", tx.watch_url(F.col("video_id")).alias("watch_url"), "title", "channel_title", "match_type")
+
+
 @query
 def propagation(spark, sf):
     linked = shared_plan.linked_discussions(D.comments(spark, sf))
@@ -586,6 +599,22 @@ def category_detect(spark, sf):
     return priors.detect_category(D.channels(spark, sf), D.post_history(spark, sf))
 
 
+@query
+def category_evidence(spark, sf):
+    """Categories from the fall-back fields: topic and subreddit names, display names, bodies and texts of posts."""
+    k, o = F.col("channel_id"), F.col("post_id")
+    channels = D.channels(spark, sf).select(
+        "channel_id", F.lit(None).cast("string").alias("explicit_category"), F.when(k % 6 == 0, "").alias("category"),
+        F.when(k % 6 == 1, "Esports").alias("topic"), F.when(k % 6 < 3, " Film ").alias("subreddit"),
+        F.when(k % 5 == 0, "Album artist").alias("display_name"), F.when(k % 5 == 1, "xbox").alias("description"))
+    history = D.post_history(spark, sf).select(
+        "channel_id", "post_id", "published_at", F.when(o % 9 == 0, "unlisted").alias("topic"),
+        F.when(o % 18 == 9, "music").when(o % 31 == 0, "coding").alias("subreddit"),
+        F.when(o % 4 == 0, "software tutorial").alias("body"), F.when(o % 4 == 1, "Breaking world news").alias("text"),
+        F.when(o % 4 == 2, "a song, an Album").alias("description"))
+    return priors.detect_category(channels, history)
+
+
 @query
 def category_forecast(spark, sf):
     ch = D.channels(spark, sf)

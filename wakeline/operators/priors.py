@@ -49,32 +49,44 @@ def keyword_hits(text: Column) -> list[Column]:
     ]
 
 
+NAMED_BY = ("category", "topic", "subreddit")  # the first of these that says anything names the category
+CHANNEL_TEXTS = ("title", "description", "display_name")
+POST_TEXTS = ("title", "description", "body", "text")
+
+
+def _named(df: DataFrame) -> Column:
+    """Category by the first field of ``NAMED_BY`` that is there and not empty."""
+    fields = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in NAMED_BY if c in df.columns]
+    return canonical_category(F.coalesce(*fields, F.lit(None).cast("string")))
+
+
+def _texts(df: DataFrame, fields: tuple[str, ...]) -> Column:
+    return F.concat_ws(" ", *[c for c in fields if c in df.columns])
+
+
 def detect_category(channels: DataFrame, history: DataFrame, rows: int = 10) -> DataFrame:
     """Category of each channel.
 
     Order of evidence: explicit category, category of the channel, category of the first ``rows`` posts,
     most keyword hits over channel and post texts (registry order on ties), else general.
-    ``channels(channel_id, explicit_category, category, title, description)``,
-    ``history(channel_id, post_id, published_at, title, category)``.
+    ``channels(channel_id, explicit_category)`` and ``history(channel_id, post_id, published_at)`` have any of the fields
+    that name a category and of the texts; the ones they lack say nothing.
     """
     scored = [c for c in CATEGORIES if c in V.CATEGORY_KEYWORDS]
     first = top_per_group(
-        history.select("channel_id", "post_id", "published_at", "title", "category"),
+        history.select("channel_id", "post_id", "published_at", _named(history).alias("_canon"), _texts(history, POST_TEXTS).alias("_text")),
         ["channel_id"], [F.asc("published_at"), F.asc("post_id")], rows,
     )
-    per_post = first.select(
-        "channel_id", "rank", canonical_category(F.col("category")).alias("_canon"), *keyword_hits(F.col("title"))
-    )
+    per_post = first.select("channel_id", "rank", "_canon", *keyword_hits(F.col("_text")))
     evidence = per_post.groupBy("channel_id").agg(
         F.min_by("_canon", F.when(F.col("_canon").isNotNull(), F.col("rank"))).alias("_from_posts"),
         *[F.sum(f"hits_{c}").alias(f"p_{c}") for c in scored],
     )
-    text = F.concat_ws(" ", "title", "description")
     base = channels.select(
         "channel_id",
         canonical_category(F.col("explicit_category")).alias("_explicit"),
-        canonical_category(F.col("category")).alias("_meta"),
-        *keyword_hits(text),
+        _named(channels).alias("_meta"),
+        *keyword_hits(_texts(channels, CHANNEL_TEXTS)),
     ).join(evidence, "channel_id", "left")
     total = {c: F.col(f"hits_{c}") + F.coalesce(f"p_{c}", F.lit(0)) for c in scored}
     best = F.greatest(*total.values())
