@@ -2,8 +2,6 @@
 
 Everything in this module is data, not logic: word lists, patterns, thresholds and
 prior tables that have to equal the published behaviour for results to agree.
-Stop lists hold only the words the tokenisers can produce (longer than three
-letters, punctuation already deleted); shorter entries could never match.
 """
 
 # --- fixed values: patterns -------------------------------------------------
