@@ -209,3 +209,20 @@ def test_vectors_that_cannot_be_compared(spark):
     for plan in ({}, {"matrix_rows": 1, "block_rows": 2, "slice_rows": 2}):
         assert [(r[0], r[1], r[3]) for r in semantic.best_match(d, v, **plan).collect()] == [("a", "v0", 1.0)]
     assert {r["platform_id"] for r in semantic.rejected(d, v).collect()} == {f"x{i}" for i in range(7)}
+
+
+def test_candidate_index_recall(spark):
+    """Clustered directions, one cell far larger than the others: recall over 0.9, and scores of the exact plan."""
+    rng = np.random.default_rng(3)
+    centre = unit(rng, 30, 16)
+    near = lambda n, i: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(centre[i] + 0.25 * rng.normal(size=(n, 16)))
+    which = np.where(rng.random(600) < 0.4, 0, rng.integers(0, 30, 600))
+    v = spark.createDataFrame([(f"v{i:03d}", x.tolist()) for i, x in enumerate(near(600, which))], "video_id string, embedding array<float>")
+    d = spark.createDataFrame([(f"d{i:03d}", x.tolist()) for i, x in enumerate(near(300, rng.integers(0, 30, 300)))], "platform_id string, embedding array<float>")
+    exact = semantic.best_match(d, v, 0.3).cache()
+    found = semantic.best_match(d, v, 0.3, index_cells=24, probes=4, block_rows=50, slice_rows=40)
+    assert found.groupBy("platform_id").count().where("count > 1").count() == 0
+    assert semantic.recall(found, exact) >= 0.9 and exact.count() > 250
+    assert semantic.recall(semantic.best_match(d, v, 0.3, index_cells=24, probes=24), exact) == 1.0
+    assert semantic.best_match(d, v.limit(0), 0.3, index_cells=4).count() == 0
+    assert semantic.best_match(d.limit(0), v, 0.3, index_cells=4).count() == 0

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..functions import text as tx
-from ..session import at_most
+from ..session import at_most, settled
 
 MATRIX_ROWS = 20_000
 BLOCK_ROWS = 20_000
@@ -130,20 +130,9 @@ def _match_in_blocks(
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"),
     )
 
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not q.num_rows or not c.num_rows:
-            none = {key: q.column(key).slice(0, 0), "video_id": c.column("video_id").slice(0, 0)}
-            return pa.table({**none, "similarity": pa.array([], pa.float64())})
-        c = c.sort_by("video_id")
-        at, score = _best(_rows_of(q.column("embedding")), _rows_of(c.column("embedding")))
-        best = c.column("video_id").combine_chunks().take(pa.array(at))
-        return pa.table({key: q.column(key), "video_id": best, "similarity": pa.array(score)})
-
     by = ["slice", "block"]
-    per_cell = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
-        cell, f"{key} {key_type}, video_id {id_type}, similarity double"
-    )
-    return per_cell
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        _cell(key), f"{key} {key_type}, video_id {id_type}, similarity double")
 
 
 def best_match(
@@ -154,19 +143,27 @@ def best_match(
     matrix_rows: int = MATRIX_ROWS,
     block_rows: int = BLOCK_ROWS,
     slice_rows: int = SLICE_ROWS,
+    index_cells: int | None = None,
+    probes: int = 8,
 ) -> DataFrame:
     """The most similar candidate of each discussion, kept at or above ``threshold``.
 
     ``discussions(key, embedding)``, ``candidates(video_id, embedding)`` with unit vectors; both plans give one
     row per key, the best over all rows of that key. Vectors that are NULL, hold NULL, NaN or an infinite value, or
     differ in length from most candidates take no part (``rejected``). Ties go to the smallest video id. Scores are rounded to four decimals after the threshold test.
+
+    With ``index_cells`` the search is approximate: candidates are dealt to so many cells of similar directions, and a
+    discussion is compared with those of its ``probes`` nearest cells alone, so what is shuffled grows with the probes and
+    not with the number of blocks. ``recall`` measures a result against the exact one.
     """
     key_type = discussions.schema[key].dataType.simpleString()
     id_type = candidates.schema["video_id"].dataType.simpleString()
     width = _width(candidates)
     candidates = _usable(candidates.select("video_id", "embedding"), width)
     discussions = _usable(discussions.select(key, "embedding"), width)
-    if at_most(candidates, matrix_rows):
+    if index_cells:
+        found = _match_in_cells(discussions, candidates, key, key_type, id_type, index_cells, probes, block_rows, slice_rows)
+    elif at_most(candidates, matrix_rows):
         found = _match_in_matrix(discussions, candidates, key, key_type, id_type)
     else:
         found = _match_in_blocks(discussions, candidates, key, key_type, id_type, block_rows, slice_rows)
@@ -177,6 +174,86 @@ def best_match(
     )
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1.0, norm)
+
+
+def centroids(candidates: DataFrame, cells: int, sample_rows: int = 50_000, rounds: int = 8) -> np.ndarray:
+    """Centres of ``cells`` groups of directions, from at most ``sample_rows`` candidates in an order by hash."""
+    sample = candidates.orderBy(F.xxhash64("video_id", F.lit(17)), "video_id").limit(sample_rows).select("embedding").toArrow()
+    x = _unit(_rows_of(sample.column("embedding"))) if sample.num_rows else np.zeros((0, 1))
+    centre = x[np.random.default_rng(11).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        near = np.concatenate([(x[i : i + 4096] @ centre.T).argmax(axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, int)])
+        sums = np.zeros_like(centre)
+        np.add.at(sums, near, x)
+        centre = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centre)
+    return centre
+
+
+def _cells(df: DataFrame, key: str, shared, probes: int) -> DataFrame:
+    """``key, embedding, cell``: one row for each of the ``probes`` nearest cells of a vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                scores = _rows_of(part.column(1)) @ shared.value.T
+                n = min(probes, scores.shape[1])
+                near = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), pa.array(near.ravel().astype(np.int32))], [key, "embedding", "cell"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(key, "embedding").mapInArrow(run, f"{key} {kinds[key]}, embedding {kinds['embedding']}, cell int")
+
+
+def _match_in_cells(
+    discussions: DataFrame, candidates: DataFrame, key: str, key_type: str, id_type: str, cells: int, probes: int, block: int, size: int
+) -> DataFrame:
+    """Each candidate lies in one cell; a discussion meets those of its nearest cells. A cell with many rows of either
+    side is cut into blocks and slices, as many as that cell needs."""
+    shared = discussions.sparkSession.sparkContext.broadcast(centroids(candidates, cells))
+    right = settled(_cells(candidates, "video_id", shared, 1), "cells")
+    left = settled(_cells(discussions, key, shared, probes), "probes")
+    parts = lambda rows, name: F.ceil(F.col(name) / rows).cast("int")
+    sizes = left.groupBy("cell").agg(F.count("*").alias("q")).join(right.groupBy("cell").agg(F.count("*").alias("c")), "cell")
+    sizes = F.broadcast(sizes.select("cell", parts(size, "q").alias("slices"), parts(block, "c").alias("blocks")))  # one row a cell
+    left = left.join(sizes, "cell").select(
+        key, "embedding", "cell", F.pmod(F.xxhash64(key), F.col("slices")).cast("int").alias("slice"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = right.join(sizes, "cell").select(
+        "video_id", "embedding", "cell", F.pmod(F.xxhash64("video_id"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    by = ["cell", "slice", "block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        _cell(key), f"{key} {key_type}, video_id {id_type}, similarity double")
+
+
+def _cell(key: str):
+    """The best candidate of each discussion of one cell."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            none = {key: q.column(key).slice(0, 0), "video_id": c.column("video_id").slice(0, 0)}
+            return pa.table({**none, "similarity": pa.array([], pa.float64())})
+        c = c.sort_by("video_id")
+        at, score = _best(_rows_of(q.column("embedding")), _rows_of(c.column("embedding")))
+        best = c.column("video_id").combine_chunks().take(pa.array(at))
+        return pa.table({key: q.column(key), "video_id": best, "similarity": pa.array(score)})
+
+    return run
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str = "platform_id") -> float:
+    """Share of the exact matches that were found with the same score."""
+    both = exact.select(key, F.col("similarity_score").alias("s")).join(found.select(key, "similarity_score"), key, "left")
+    row = both.agg(F.count("*"), F.count_if(F.col("similarity_score") == F.col("s"))).first()
+    return row[1] / row[0] if row[0] else 1.0
+
+
 def encode(
     texts: DataFrame, load_encoder: Callable[[], Callable[[list[str]], np.ndarray]], key: str, text: str = "clean_text"
 ) -> DataFrame:
