@@ -55,6 +55,16 @@ def test_pieces_encode_as_whole_texts():
     assert encoder.encode(pa.array(["", ""]))[1].tolist() == [0, 0]
 
 
+def test_a_long_text_is_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(tokenfile, "BATCH_BYTES", 1000)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = tokenfile.Encoder(f.read())
+    rng = random.Random(9)
+    for text in ("".join(rng.choices(["word", " ", "\n", "  ", "é", "12", ",", "'s", "Zz"], k=20_000)), "x" * 5000 + " y" * 3000, " " * 70_000 + "end", "z" * 80_000):
+        ids, n = encoder.encode(pa.array([text]))
+        assert n.tolist() == [len(ids)] and ids.tolist() == library().encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("file_bytes", [200, 1 << 30])
 def test_round_trip(spark, file_bytes):
     texts = [None, "", "one two", "  three\n\nfour ", "x" * 50_000, "long words " * 3000, "çédille 中文", "one two"]

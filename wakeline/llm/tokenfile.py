@@ -197,6 +197,23 @@ class Encoder:
         before = np.concatenate([[0], ends])
         return ids, np.diff(before[np.searchsorted(bounds[:-1], starts)])
 
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_pieces`` of one long text, some bytes at a time; a part ends before white space."""
+        parts, at = [], 0
+        while at < len(data):
+            stop = at + BATCH_BYTES
+            while stop < len(data):
+                kind = _KIND[data[stop - 1:stop + 65_536]]
+                edge = np.flatnonzero((kind[1:] == SPACE) & (kind[:-1] != SPACE))
+                stop += int(edge[0]) if len(edge) else len(kind) - 1
+                if len(edge):
+                    break
+            stop = min(stop, len(data))
+            parts.append(self._pieces(data[at:stop], np.array([0, stop - at]))[0])
+            at = stop
+        ids = np.concatenate(parts)
+        return ids, np.array([len(ids)], np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
         starts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
@@ -206,7 +223,7 @@ class Encoder:
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
         odd = {int(np.searchsorted(starts, m.start(), "right")) - 1 for m in _ODD_SPACE_BYTES.finditer(data)}
         if not odd:
-            return self._pieces(data, starts)
+            return self._long(data) if len(texts) == 1 and len(data) > BATCH_BYTES else self._pieces(data, starts)
         ids, lengths, at = [], [], 0
         for i in [*sorted(odd), len(texts)]:
             if i > at and starts[i] > starts[at]:
