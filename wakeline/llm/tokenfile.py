@@ -40,9 +40,9 @@ from . import batches
 from .bpe import _ODD_SPACE, _slices
 from .order import running_totals
 
-FILE_BYTES = 32_000_000  # of text for each file; a task holds its ids a few times over
+FILE_BYTES = 24_000_000  # of text for each file; a task holds its ids a few times over
 BATCH_BYTES = 4_000_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 BROADCAST_FILES = 200_000
 SAMPLE = 256
 MAGIC = b"WKTOKEN1"
