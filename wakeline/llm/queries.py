@@ -44,7 +44,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Rules on (host, path) of a url, by which the contract of op7 decides before the list does.
 URL_RULES = [
-    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"),
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 ]
 
