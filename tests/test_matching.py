@@ -183,6 +183,33 @@ def test_tfidf_fixture(spark):
     assert [(r["platform_id"], r["video_id"]) for r in rows] == [("c1", "v_py")] and rows[0]["similarity_score"] > 0.30
 
 
+def test_tfidf_plans_agree_with_the_dense_search(spark, monkeypatch):
+    """Repeated vectors, ties, zero vectors and null ids: broadcast, cells and the dense search find the same rows, and the
+    candidates that are compared are the distinct vectors (every one of them was, before)."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    texts = [say(4) for _ in range(60)]
+    c = spark.createDataFrame([(f"c{i % 150:03d}", say(25)) for i in range(160)] + [("z", "nothing " * 9), (None, say(25))], "platform_id string, body string")
+    v = spark.createDataFrame([(f"v{i:03d}", texts[i * 7 % 60], None) for i in range(240)] + [(None, texts[3], None), ("zz", "?", None)],
+                              "video_id string, title string, description string")
+    d = semantic.discussion_texts(c).select("platform_id", F.col("clean_text").alias("text"))
+    vt = v.select("video_id", semantic.video_text(F.col("title"), F.col("description"), F.col("video_id")).alias("text"))
+    left, right = semantic.tfidf_vectors(d, vt, size=32)
+    dense = lambda df: df.withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.coalesce(
+        F.try_element_at(F.map_from_arrays("embedding.indices", "embedding.values"), i), F.lit(0.0))))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for threshold in (0.1, 0.45):
+        want = rows(semantic.best_match(dense(left), dense(right), threshold))
+        assert len(want) > 50
+        assert rows(semantic.match_sparse(left, right, threshold, size=32)) == want
+        assert rows(semantic.match_sparse(left, right, threshold, size=32, matrix_rows=1, block_rows=16, slice_rows=50)) == want
+    seen = []
+    monkeypatch.setattr(semantic, "settled", lambda df, name="": seen.append((name, df.count())) or df)
+    semantic.match_sparse(left, right, 0.1, size=32)
+    assert dict(seen)["candidates"] <= 61 < right.count()
+
+
 def test_encoder_hook(spark):
     t = spark.createDataFrame([("a", "xx"), ("b", "")], "platform_id string, clean_text string")
     load = lambda: lambda texts: np.array([[len(x), 0.0] for x in texts])

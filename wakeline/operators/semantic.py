@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     IDF,
@@ -22,7 +23,6 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     StopWordsRemover,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from ..functions.rounding import round_to
 from .. import fixed_values as V
 from ..functions import text as tx
-from ..session import at_most, settled
+from ..session import at_most, scratch_path, settled
 
 MATRIX_ROWS = 20_000
 BLOCK_ROWS = 20_000
 SLICE_ROWS = 20_000
+SPARSE_BLOCK_ROWS = 50_000
+_SLACK = 1e-4  # single precision over 384 terms of unit vectors: below 384 · 2⁻²³
 _SCORES_AT_ONCE = 4_000_000
 
 
@@ -167,6 +169,11 @@ def best_match(
         found = _match_in_matrix(discussions, candidates, key, key_type, id_type)
     else:
         found = _match_in_blocks(discussions, candidates, key, key_type, id_type, block_rows, slice_rows)
+    return _kept(found, key, threshold)
+
+
+def _kept(found: DataFrame, key: str, threshold: float) -> DataFrame:
+    """The best row of each key, where it reaches the threshold."""
     best = F.min_by(F.struct("video_id", "similarity"), F.struct(-F.col("similarity"), F.col("video_id")))
     found = found.groupBy(key).agg(best.alias("b")).select(key, "b.*")
     return found.where(F.col("similarity") >= threshold).select(
@@ -274,11 +281,11 @@ def encode(
 def tfidf_vectors(
     discussions: DataFrame, videos: DataFrame, size: int = V.EMBEDDING_SIZE, stop_words: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF vectors over the joint corpus, for both sides.
+    """TF-IDF vectors over the joint corpus, for both sides, as ``embedding`` of ``indices`` and ``values`` that are not 0.
 
     ``discussions(platform_id, text)``, ``videos(video_id, text)``. The vocabulary is the ``size`` most
-    frequent terms; weights are tf · (ln((1+n)/(1+df)) + 1), L2-normalised. Fitting counts words with
-    map-side combine; encoding is a narrow transformation of each row.
+    frequent terms; weights are tf · (ln((1+n)/(1+df)) + 1), L2-normalised. Texts are read twice: for the
+    vocabulary, with map-side combine, and for the counts of its terms, which are written once.
     """
     stop_words = stop_words or StopWordsRemover.loadDefaultStopWords("english")
     corpus = discussions.select("text").unionByName(videos.select("text"))
@@ -286,26 +293,120 @@ def tfidf_vectors(
         RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
         StopWordsRemover(inputCol="tokens", outputCol="terms", stopWords=stop_words),
     ])
+    # explode_outer: a plain explode would cut every text a second time for an inferred size filter.
     ranked = (
-        words.transform(corpus).select(F.explode("terms").alias("term")).groupBy("term").count()
-        .orderBy(F.desc("count"), "term").limit(size)
+        words.transform(corpus).select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+        .groupBy("term").count().orderBy(F.desc("count"), "term").limit(size)
     )
     vocabulary = [r["term"] for r in ranked.collect()]  # at most `size` terms
     if not vocabulary:
         raise ValueError("no terms left to compare")
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="tf")
-    prepare = PipelineModel([words, counter])
-    idf = IDF(inputCol="tf", outputCol="_").fit(prepare.transform(corpus))
+    prepare = PipelineModel([words, CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="tf")])
+    sides = [settled(prepare.transform(df).select(key, "tf"), "counts")
+             for df, key in ((discussions, "platform_id"), (videos, "video_id"))]
+    idf = IDF(inputCol="tf", outputCol="_").fit(sides[0].select("tf").unionByName(sides[1].select("tf")))
     n = idf.numDocs
     weights = Vectors.dense([float(np.log((1 + n) / (1 + df)) + 1) for df in idf.docFreq])  # at most `size` values
     scale = ElementwiseProduct(inputCol="tf", outputCol="w", scalingVec=weights)
-    unit = Normalizer(inputCol="w", outputCol="u", p=2.0)
+    unit = Normalizer(inputCol="w", outputCol="embedding", p=2.0)
+
+    def vectors(counts: DataFrame) -> DataFrame:
+        spark, key = counts.sparkSession, counts.schema[0]
+        path = scratch_path(spark, "tfidf")
+        unit.transform(scale.transform(counts)).select(key.name, "embedding").write.parquet(path)
+        # Without the user type of a vector, its stored parts are plain columns.
+        plain = f"{key.name} {key.dataType.simpleString()}, embedding struct<indices: array<int>, values: array<double>>"
+        return spark.read.schema(plain).parquet(path)
+
+    return vectors(sides[0]), vectors(sides[1])
+
+
+def _dense(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Sparse vectors as the rows of a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    out = np.zeros((len(column), size))
+    indices, values = column.field("indices"), column.field("values")
+    rows = np.repeat(np.arange(len(column)), indices.value_lengths().to_numpy(zero_copy_only=False))
+    out[rows, indices.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(zero_copy_only=False)
+    return out
 
-    def vectors(df: DataFrame, key: str) -> DataFrame:
-        out = unit.transform(scale.transform(prepare.transform(df)))
-        return out.select(key, vector_to_array("u").alias("embedding"))
 
-    return vectors(discussions, "platform_id"), vectors(videos, "video_id")
+def _best_unit(queries: np.ndarray, matrix: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries whose best row of ``matrix`` may reach ``threshold``, that row and its score, as ``_best`` has them.
+
+    All rows have length 1 or 0. Products in single precision differ from the exact ones by less than ``_SLACK``; rows
+    that near the best are compared in double precision."""
+    found = []
+    narrow = matrix.astype(np.float32)
+    step = max(1, _SCORES_AT_ONCE // max(1, len(matrix)))
+    for lo in range(0, len(queries), step):
+        s = queries[lo : lo + step].astype(np.float32) @ narrow.T
+        top = s.max(axis=1)
+        row, at = np.nonzero((s >= (top - _SLACK)[:, None]) & (top >= threshold - _SLACK)[:, None])
+        score = np.concatenate([
+            np.einsum("ij,ij->i", queries[lo + row[i : i + 8192]], matrix[at[i : i + 8192]])
+            for i in range(0, len(row), 8192)] or [np.zeros(0)])
+        score = np.round(np.clip(score, 0.0, 1.0), 9)
+        order = np.lexsort((at, -score, row))
+        first = order[np.unique(row[order], return_index=True)[1]]
+        found.append((lo + row[first], at[first], score[first]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def match_sparse(
+    discussions: DataFrame, candidates: DataFrame, threshold: float, size: int = V.EMBEDDING_SIZE,
+    key: str = "platform_id", matrix_rows: int = MATRIX_ROWS, block_rows: int = SPARSE_BLOCK_ROWS, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``best_match`` for the vectors of ``tfidf_vectors``: unit or zero, none negative, ``size`` wide; exact as well.
+
+    Candidates with equal vectors have equal scores, so the one with the smallest id stands for them. What is
+    broadcast or shuffled are the sparse vectors; a cell of (slice, block) is made dense where it is multiplied."""
+    key_type = discussions.schema[key].dataType.simpleString()
+    id_type = candidates.schema["video_id"].dataType.simpleString()
+    schema = f"{key} {key_type}, video_id {id_type}, similarity double"
+    one = candidates.groupBy("embedding").agg(F.min(F.struct("video_id")).alias("v"))
+    one = settled(one.select("v.video_id", "embedding"), "candidates")
+    n = one.count()
+
+    def rows(keys, vectors, ids, matrix: np.ndarray) -> pa.Table:
+        at, best, score = _best_unit(_dense(vectors, size), matrix, threshold)
+        return pa.table({key: keys.take(pa.array(at)), "video_id": ids.take(pa.array(best)), "similarity": pa.array(score)})
+
+    if not n:
+        found = discussions.select(key, F.lit(None).cast(id_type).alias("video_id"), F.lit(0.0).alias("similarity")).limit(0)
+    elif n <= matrix_rows:
+        small = one.orderBy("video_id").toArrow()  # at most `matrix_rows`
+        ids = small.column("video_id").combine_chunks()
+        shared = discussions.sparkSession.sparkContext.broadcast(small.column("embedding").combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrix = _dense(shared.value, size)
+            for batch in batches:
+                yield from rows(batch.column(0), batch.column(1), ids, matrix).to_batches()
+
+        found = discussions.select(key, "embedding").mapInArrow(run, schema)
+    else:
+        blocks, slices = -(-n // block_rows), max(1, -(-discussions.count() // slice_rows))
+        left = discussions.select(
+            key, "embedding", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"),
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        right = one.select(
+            "video_id", "embedding", F.pmod(F.xxhash64("video_id"), F.lit(blocks)).cast("int").alias("block"),
+            F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+
+        def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+            if not q.num_rows or not c.num_rows:
+                none = {key: q.column(key).slice(0, 0), "video_id": c.column("video_id").slice(0, 0)}
+                return pa.table({**none, "similarity": pa.array([], pa.float64())})
+            c = c.take(pc.sort_indices(c.column("video_id"), null_placement="at_start"))
+            return rows(q.column(key).combine_chunks(), q.column("embedding"), c.column("video_id").combine_chunks(), _dense(c.column("embedding"), size))
+
+        by = ["slice", "block"]
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(cell, schema)
+    return _kept(found, key, threshold)
 
 
 def tfidf_match(
@@ -317,4 +418,4 @@ def tfidf_match(
         "video_id", video_text(F.col("title"), F.col("description"), F.col("video_id")).alias("text")
     )
     left, right = tfidf_vectors(d, v, stop_words=stop_words)
-    return best_match(left, right, threshold)
+    return match_sparse(left, right, threshold)
