@@ -237,3 +237,26 @@ def test_settled_tables_keep_rows_and_schema(spark):
     df = spark.range(10).select("id", F.array(F.lit("x")).alias("a"))
     out = settled(df)
     assert out.dtypes == df.dtypes and out.count() == 10
+
+
+def test_a_batch_is_scored_from_one_pass(spark, tmp_path, monkeypatch):
+    """Rows leave the state store once for each batch; scoring reads its input three times, and did so with them before."""
+    rows = spark.createDataFrame([("reddit", f"k{i % 8}", f"fine text {i % 8}", None) for i in range(12)],
+                                 "platform string, platform_id string, body string, sentiment_label string")
+    rows.withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    met, real = spark.sparkContext.accumulator(0), streams.first_arrivals
+
+    def counted(stream):
+        def run(batches):
+            for b in batches:
+                met.add(b.num_rows)
+                yield b
+        return real(stream).mapInArrow(run, stream.schema)
+
+    monkeypatch.setattr(streams, "first_arrivals", counted)
+    stream = streams.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    score = lambda t: t.select("text_key", F.lit("positive").alias("label"), F.lit(0.9).alias("score"))
+    streams.score_once(stream, str(tmp_path / "scores"), score, str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "scores")).collect()
+    assert sorted((r.platform_id, r.sentiment_label) for r in got) == [(f"k{i}", "positive") for i in range(8)]
+    assert met.value == 8

@@ -30,7 +30,7 @@ from ..functions import metrics as mx
 from ..functions import sentiment as sx
 from ..functions import text as tx
 from ..operators import scoring, upsert
-from ..session import remove
+from ..session import Workspace, remove
 from ..sources import generations
 
 KEY = ["platform", "platform_id"]
@@ -113,7 +113,10 @@ def score_once(stream: DataFrame, scores: str, scorer: scoring.Scorer, checkpoin
         for c, t in (("sentiment_processed", "boolean"), ("sentiment_label", "string"), ("sentiment_score", "double")):
             if c not in todo.columns:
                 todo = todo.withColumn(c, F.lit(None).cast(t))
-        _append(scoring.score_unprocessed(todo, scorer, F.current_timestamp()), f"{scores}/{run}/batch_id={batch_id}")
+        # Scoring reads the batch three times; each time would look all its keys up in the state store again.
+        with Workspace(batch.sparkSession, "arrived") as work:
+            todo = work.save(todo, "batch")
+            _append(scoring.score_unprocessed(todo, scorer, F.current_timestamp()), f"{scores}/{run}/batch_id={batch_id}")
 
     writer = first_arrivals(stream).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
