@@ -1,11 +1,13 @@
 """Elias-Fano lists, token files against the library itself, offsets over several files."""
 
+import os
 import random
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wakeline.llm import tokenfile
@@ -96,3 +98,15 @@ def test_empty_table(spark):
 def test_another_file_is_refused():
     with pytest.raises(ValueError):
         tokenfile.TokenFile(memoryview(bytes(100)))
+
+
+def test_tasks_hold_little_and_workers_keep_no_encoder(spark, monkeypatch):
+    """Twenty megabytes of text fill three files, and the broadcast that holds the encoder ends with the job."""
+    shared, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: shared.append(broadcast(value)) or shared[-1])
+    with Workspace(spark) as work:
+        path = work.path("files")
+        rows = spark.range(20).select(F.col("id").alias("doc_id"), F.expr("repeat('some words ', 95000)").alias("text"))
+        tokenfile.write(rows, path, PATH, 2)
+        assert tokenfile.manifest(spark, path).count() == 3
+    assert len(shared) == 1 and not os.path.exists(shared[0]._path)

@@ -40,7 +40,7 @@ from . import batches
 from .bpe import _ODD_SPACE, _slices
 from .order import running_totals
 
-FILE_BYTES = 24_000_000  # of text for each file; a task holds its ids a few times over
+FILE_BYTES = 8_000_000  # of text for each file; a task holds its ids a few times over
 BATCH_BYTES = 4_000_000
 CACHE_ENTRIES = 200_000
 BROADCAST_FILES = 200_000
@@ -270,6 +270,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: i
     blocks = dealt.mapInArrow(run, "part long, documents long, tokens long, content binary")
     # A cast of binary to string keeps the bytes as they are.
     blocks.withColumn("content", F.col("content").cast("string")).write.partitionBy("part", "documents", "tokens").text(path)
+    shared.destroy()  # workers outlive the job, and would keep an encoder for each
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
