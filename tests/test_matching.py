@@ -126,6 +126,37 @@ def test_evidence_equals_the_nested_loop(spark):
     assert got == want
 
 
+def test_parts_that_begin_alike_meet_only_their_words(spark):
+    """Parts with long equal beginnings or ends: a word meets few of them, and all it holds are found."""
+    same = "abcdefghijklmnopqrstuvwxyz"
+    parts = [f"aaaaa{i:04d}" for i in range(300)] + [f"{i:04d}zzzzz" for i in range(300)] + [same + "1", same + "2", "1" + same, "ab", "c", ""]
+    words = [f"x{p}y" for p in parts] + parts + ["", "b", "aaaaaa0001", "xab", "éaaaaa0007é"]
+    vocabulary = spark.createDataFrame([(w,) for w in words], "word string").distinct()
+    index = spark.createDataFrame([(p,) for p in parts], "part string")
+    tests = {"contains": str.__contains__, "start": str.startswith, "end": str.endswith}
+    for hold, holds in tests.items():
+        found = fingerprint._words_that(hold, vocabulary, index)
+        want = {(w, p) for w in words for p in parts if p and holds(w, p)}
+        got = [tuple(r) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_a_listing_of_one_split_is_spread(spark):
+    schema = "video_id string, title string, channel_title string, tags array<string>, published_at timestamp"
+    v = spark.createDataFrame([(f"vid{i:08d}", "secret maze", "gardenia", [], None) for i in range(50)], schema).coalesce(1)
+    plan = fingerprint.fingerprints(v)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(video_id" in plan
+
+
+def test_word_rows_carry_their_text_once(spark):
+    """The words of a text stay one narrow row; repeated words and pairs are not written again for each neighbour."""
+    posts = spark.createDataFrame([("a", "One  two\tone two"), ("b", ""), ("c", None)], "post_id string, text string")
+    words = fingerprint.text_words(posts, "post_id", "text")
+    assert {(r.post_id, tuple(r.w)) for r in words.collect()} == {("a", ("one", "", "two", "one", "two")), ("b", ("",))}
+    assert sorted(tuple(r) for r in fingerprint._each_word(words, "post_id").collect()) == [("a", "one"), ("a", "two")]
+    assert sorted(tuple(r) for r in fingerprint._word_pairs(words, "post_id").collect()) == [("a", "one", "two"), ("a", "two", "one")]
+
+
 def test_tier_gate_spam_and_window(spark):
     v = spark.createDataFrame([("vid00000001", "Secret Garden Maze Tour", "Gardenia", [], "2024-05-10 00:00:00")],
                               "video_id string, title string, channel_title string, tags array<string>, p string")

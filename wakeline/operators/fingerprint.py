@@ -26,7 +26,7 @@ from .. import fixed_values as V
 from ..functions import text as tx
 from ..session import settled
 
-_GRAM = 5
+_GRAM, _KEY = 5, 16  # characters by which words and parts meet, first and finally
 _NO_STRINGS = "array<string>"
 
 
@@ -48,7 +48,7 @@ def fingerprints(videos: DataFrame) -> DataFrame:
         F.coalesce("title", F.lit("")).alias("title"),
         tx.strip(F.coalesce("channel_title", F.lit(""))).alias("channel"),
         F.coalesce("tags", _none()).alias("tags"),
-    )
+    ).repartition("video_id")  # a listing is small in bytes and may be one split, the expressions are not cheap
     v = v.withColumns({
         "title_lower": F.lower("title"),
         "creator": tx.strip(F.regexp_replace(
@@ -151,58 +151,57 @@ def _id_grams(text_lower: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def _grams(word: Column, sizes: list[int]) -> Column:
-    """Character runs of the given sizes of a word."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), _gram(word, n)) for n in sizes]
-    return F.array_distinct(F.flatten(F.array(*runs)))
-
-
-def _gram(word: Column, size: int):
-    return lambda i: F.substring(word, i, size)
+def text_words(posts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, w``: the words of each text in their order, one narrow row a text."""
+    return posts.select(key, tx.runs(F.lower(text)).alias("w")).where(F.col("w").isNotNull())
 
 
-def _edge(part: Column, end: bool) -> Column:
-    """The last, or first, five characters of a part (fewer, if it is shorter)."""
-    return F.substring(part, -_GRAM if end else 1, _GRAM)
-
-
-def word_pairs(posts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, word, next``: words of each text with the word that follows, empty after the last; each pair once."""
-    split = posts.select(key, tx.runs(F.lower(text)).alias("w"))
-    # As one text with the space that no word has: distinct texts are found by hash, distinct structs one by one.
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))))
+def _each_word(words: DataFrame, *key: str) -> DataFrame:
+    """``key, word``: each word of a text once."""
     # explode_outer: a plain explode would evaluate the array a second time for an inferred size filter.
-    rows = split.select(key, F.explode_outer(F.array_distinct(pairs)).alias("p")).where(F.col("p").isNotNull())
-    return rows.select(key, F.substring_index("p", " ", 1).alias("word"), F.substring_index("p", " ", -1).alias("next"))
-
-
-def _words_around(vocabulary: DataFrame, parts: DataFrame, sizes: list[int]) -> DataFrame:
-    """``word, part``: words that contain a part. They meet on the part's first characters, then the test is exact."""
-    index = parts.select("part", F.substring("part", 1, _GRAM).alias("gram"))
-    grams = vocabulary.select("word", F.explode_outer(_grams(F.col("word"), sizes)).alias("gram"))
-    return grams.join(index, "gram").where(F.contains("word", F.col("part"))).select("word", "part")
-
-
-def _words_at_edge(vocabulary: DataFrame, parts: DataFrame, end: bool) -> DataFrame:
-    """``word, part``: words that end, or begin, with a part."""
-    index = parts.select("part", _edge(F.col("part"), end).alias("gram"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.length("word")))
-    cut = (lambda n: F.substring("word", -n, n)) if end else (lambda n: F.substring(F.col("word"), F.lit(1), n))
-    grams = vocabulary.select("word", F.explode_outer(F.transform(sizes, cut)).alias("gram"))
-    fits = F.endswith("word", "part") if end else F.startswith("word", "part")
-    return grams.join(index, "gram").where(fits).select("word", "part")
-
-
-def words_with(pairs: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    return words.select(*key, F.explode_outer(F.array_distinct("w")).alias("word")).where("word <> ''")
+
+
+def _word_pairs(words: DataFrame, key: str) -> DataFrame:
+    """``key, word, next``: words that stand next to each other."""
+    places = words.select(key, "w", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1)))).alias("at"))
+    pairs = places.select(key, F.element_at("w", F.col("at")).alias("word"), F.try_element_at("w", F.col("at") + 1).alias("next"))
+    return pairs.where("word <> '' AND next <> ''")
+
+
+def _words_that(hold: str, vocabulary: DataFrame, parts: DataFrame) -> DataFrame:
+    """``word, part``: words of the vocabulary that contain a part, or that have it as their ``start`` or ``end``.
+
+    The first characters of the parts (``heads``, few and usually broadcast) leave only the places of words where a part
+    may begin. Those meet the parts on up to ``_KEY`` characters, so that parts which begin alike stay apart; then the
+    test is exact. Hashes of the first characters do, as the parts settle what they let through."""
+    end = hold == "end"
+    key = F.substring("part", -_KEY if end else 1, _KEY)
+    gram = F.substring(key, -_GRAM if end else 1, _GRAM)
+    index = parts.select("part", key.alias("key")).where("key <> ''")
+    heads = settled(index.select(F.xxhash64(gram).alias("gram"), F.length("key").alias("size")).distinct(), "heads")
+    lengths = sorted(r[0] for r in heads.select(F.least("size", F.lit(_GRAM))).distinct().collect())  # at most five
+    word, n = F.col("word"), F.length("word")
+    if not lengths:
+        return parts.select(F.col("part").alias("word"), "part").where(F.lit(False))
+    last = F.greatest(n - lengths[0] + 1, F.lit(1)) if hold == "contains" else F.lit(1)
+    begins = vocabulary.where(n >= lengths[0]).select("word", F.explode_outer(F.sequence(F.lit(1), last)).alias("at"))
+    begins = begins.select("word", "at", F.explode_outer(F.array(*map(F.lit, lengths))).alias("n"))
+    found = F.substring(word, -F.col("n") if end else F.col("at"), F.col("n"))
+    begins = begins.select("word", "at", F.xxhash64(found).alias("gram")).join(heads, "gram")
+    cut = F.substring(word, -F.col("size") if end else F.col("at"), F.col("size"))
+    fits = {"contains": F.contains, "start": F.startswith, "end": F.endswith}[hold](word, F.col("part"))
+    return begins.select("word", cut.alias("key")).distinct().join(index, "key").where(fits).select("word", "part").distinct()
+
+
+def words_with(words: DataFrame, vocabulary: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """(post, part) rows where some word of the post contains the part (column ``part``). The test runs once per distinct
     word of the corpus; posts only join the words that passed."""
-    sizes = sorted(r[0] for r in parts.select(F.least(F.length("part"), F.lit(_GRAM)).alias("n")).where("n > 0").distinct().collect())
-    words = pairs.select(key, "word").where(F.length("word") >= (sizes or [1])[0])
-    hits = _words_around(words.select("word").distinct(), parts, sizes or [1])
-    return words.join(hits, "word").select(key, "part").distinct()
+    hits = settled(_words_that("contains", vocabulary, parts), "hits")
+    return _each_word(words, key).join(hits, "word").select(key, "part").distinct()
 
 
-def phrase_places(pairs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+def phrase_places(texts: DataFrame, vocabulary: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """``key, phrase``: posts in which a phrase (lower case) may stand; none in which it does is missing.
 
     Of a phrase with several words the rarest pair of neighbours is joined; a phrase whose other pairs occur nowhere
@@ -213,13 +212,13 @@ def phrase_places(pairs: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
                     lambda p: (p["a"] != "") & (p["b"] != ""))
     words = words.withColumn("twos", F.when(F.size("w") > 1, twos).otherwise(F.slice(twos, 1, 0)))
     single = words.where(F.size("twos") == 0).select("phrase", F.element_at(_by_length(F.col("w")), 1).alias("part"))
-    found = words_with(pairs, single.select("part").distinct(), key).join(single, "part").select(key, "phrase")
+    found = words_with(texts, vocabulary, single.select("part").distinct(), key).join(single, "part").select(key, "phrase")
 
     two = settled(words.select("phrase", F.explode("twos").alias("p")).select("phrase", "p.a", "p.b").distinct(), "pairs")
-    vocabulary = pairs.select("word").where("word <> ''").distinct()
-    ends = _words_at_edge(vocabulary, two.select(F.col("a").alias("part")).distinct(), True)
-    starts = _words_at_edge(vocabulary, two.select(F.col("b").alias("part")).distinct(), False)
-    beside = pairs.where("next <> ''").join(ends.withColumnRenamed("part", "a"), "word").join(
+    # Settled, so that their sizes are known: small ones are broadcast and the pairs of the texts are not shuffled.
+    ends = settled(_words_that("end", vocabulary, two.select(F.col("a").alias("part")).distinct()), "ends")
+    starts = settled(_words_that("start", vocabulary, two.select(F.col("b").alias("part")).distinct()), "starts")
+    beside = _word_pairs(texts, key).join(ends.withColumnRenamed("part", "a"), "word").join(
         starts.select(F.col("word").alias("next"), F.col("part").alias("b")), "next")
     places = settled(beside.join(two.select("a", "b").distinct(), ["a", "b"], "left_semi").select(key, "a", "b").distinct(), "places")
     seen = places.groupBy("a", "b").agg(F.count("*").alias("posts"))
@@ -245,7 +244,7 @@ def verify(
     up by names (distinct names, so one shared by many videos costs one lookup), then by (name, phrase) or
     (name, rare title word) together. Only pairs that agree on both are tested in full.
     """
-    by_id = id_matches(posts, prints, key, text).select(
+    by_id = settled(id_matches(posts, prints, key, text), "ids").select(
         key, "video_id", F.lit("url").alias("match_type"), F.lit(1.0).alias("similarity_score")
     )
     pairs = candidate_pairs(posts, prints, key, text).join(by_id.select(key, "video_id"), [key, "video_id"], "left_anti")
@@ -265,20 +264,21 @@ def verify(
 
 def candidate_pairs(posts: DataFrame, prints: DataFrame, key: str = "post_id", text: str = "text") -> DataFrame:
     """(post, video) pairs in which a name and a rare enough clue of the video occur; no text match is missing."""
-    pairs = settled(word_pairs(posts, key, text), "words")  # one pass over the texts
+    words = settled(text_words(posts, key, text), "words")  # one pass over the texts
+    vocabulary = settled(_each_word(words).distinct(), "vocabulary")
     named = prints.select("video_id", F.explode(safe_variants(F.col("creator_variants"))).alias("name"))
-    mentions = settled(phrase_places(pairs, named.select(F.col("name").alias("phrase")), key)
+    mentions = settled(phrase_places(words, vocabulary, named.select(F.col("name").alias("phrase")), key)
                        .withColumnRenamed("phrase", "name"), "mentions")
-    pairs = settled(pairs.join(mentions.select(key).distinct(), key, "left_semi"), "words")
+    words = settled(words.join(mentions.select(key).distinct(), key, "left_semi"), "words")
 
     phrases = prints.select("video_id", F.explode("distinctive_phrases").alias("phrase")).select(
         "video_id", F.lower("phrase").alias("phrase"))
-    by_phrase = phrase_places(pairs, phrases, key).select(key, F.concat(F.lit("p:"), "phrase").alias("clue"))
+    by_phrase = phrase_places(words, vocabulary, phrases, key).select(key, F.concat(F.lit("p:"), "phrase").alias("clue"))
 
     n_words = F.size("topic_words")
     titles = prints.where(n_words >= 3).select(
         "video_id", (n_words - needed_words(n_words) + 1).alias("keep"), F.explode("topic_words").alias("part"))
-    present = settled(words_with(pairs, titles.select("part").distinct(), key), "present")
+    present = settled(words_with(words, vocabulary, titles.select("part").distinct(), key), "present")
     seen = present.groupBy("part").agg(F.count("*").alias("posts"))
     rarest = Window.partitionBy("video_id").orderBy(F.coalesce("posts", F.lit(0)), F.desc(F.length("part")), "part")
     rare = (
