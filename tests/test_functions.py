@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from wakeline import fixed_values as V
 from wakeline.functions import metrics as mx
 from wakeline.functions import sentiment as sx
 from wakeline.functions import text as tx
@@ -187,3 +188,10 @@ def test_rounding_follows_the_scaled_binary_value(spark, ints):
 def test_time_texts(one, text, want):
     got = one(tx.parse_iso(F.col("c").cast("string")), c=text)
     assert (got and got.strftime("%Y-%m-%d %H:%M:%S")) == want
+
+
+def test_strip_trims_without_a_pattern(spark, one):
+    for t in ("", " ", "a", " a b\n", "\u3000é\xa0x\u2028", "\n\r\n", "a\x85\r\n", "\u200bq"):
+        assert one(tx.strip(F.col("t")), t=t) == t.strip(V.WS_CHARS)
+    plan = spark.range(1).select(tx.strip(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan

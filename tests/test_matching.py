@@ -148,6 +148,24 @@ def test_a_listing_of_one_split_is_spread(spark):
     assert "hashpartitioning(video_id" in plan
 
 
+def test_texts_of_posts_are_made_once(spark):
+    """The text of an image post takes a join and a rank over the comments; evidence reads it several times."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        made.add(1)
+        return t
+
+    v = spark.createDataFrame([("vid00000001", "secret maze", "gardenia", [], "2024-05-10 00:00:00")],
+                              "video_id string, title string, channel_title string, tags array<string>, published_at string")
+    posts = spark.createDataFrame([(f"p{i}", "gardenia secret maze", "maze", 3, 0, "2024-05-11 00:00:00") for i in range(7)],
+                                  "post_id string, raw string, subreddit string, score bigint, num_comments bigint, created_at string")
+    v, posts = [d.withColumn(c, F.col(c).cast("timestamp")) for d, c in ((v, "published_at"), (posts, "created_at"))]
+    found = fingerprint.collect_by_tier(posts.withColumn("text", text("raw")), v, fingerprint.fingerprints(v))
+    assert found.count() == 7 and made.value == 7
+
+
 def test_word_rows_carry_their_text_once(spark):
     """The words of a text stay one narrow row; repeated words and pairs are not written again for each neighbour."""
     posts = spark.createDataFrame([("a", "One  two\tone two"), ("b", ""), ("c", None)], "post_id string, text string")

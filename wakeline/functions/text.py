@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from .rounding import round_to
 
-_EDGE_WS = f"^[{V.WS}]+|[{V.WS}]+$"
-
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_WS, "")
+    return F.btrim(c, F.lit(V.WS_CHARS))
 
 
 def clean_subreddit(c: Column) -> Column:

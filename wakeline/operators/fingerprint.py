@@ -337,7 +337,9 @@ def collect_by_tier(
     out. Text tiers are used for a video only while the tiers before hold fewer than ``gate`` posts.
     """
     ok = posts.where(~tx.is_spam_subreddit(F.col("subreddit")))
-    found = (verify(ok, prints) if found is None else found).join(
+    if found is None:
+        found = verify(settled(ok.select("post_id", "text"), "texts"), prints)  # the text is read three times
+    found = found.join(
         ok.select("post_id", "subreddit", "score", "num_comments", "created_at"), "post_id"
     ).join(videos.select("video_id", F.col("published_at").alias("_published")), "video_id")
     tier = F.when(F.col("match_type") == "url", 1).when(F.col("match_type") == "phrase_match", 2).otherwise(3)
