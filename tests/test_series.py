@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -181,6 +182,53 @@ def test_post_model_trains_and_forecasts(spark):
     assert out.groupBy("channel_id").count().where("count = 2").count() == 3
 
 
+def test_steps_read_single_fields_of_the_last_posts(spark):
+    # Lambdas over the array of posts took most of a step: the mean was computed anew for every element.
+    seen = []
+
+    class Recorder:
+        def transform(self, rows):
+            seen.append(rows)
+            return rows.withColumn("prediction", F.lit(100.0))
+
+    h = history(spark, {"long": 23, "six": 6, "seven": 7, "eight": 8}, shuffle_times=True)
+    forecast.model_forecast(h, Recorder(), F.current_timestamp(), steps=2)
+    assert "lambda" not in seen[0]._jdf.queryExecution().analyzed().toString()
+    got = seen[0].toPandas().set_index("channel_id")
+    for ch, want in window_features(features.flatten(h).toPandas()).groupby("channel_id"):
+        for c in [*features.LAGGED, *features.LAG_COLUMNS, *features.ROLLING_COLUMNS]:
+            assert np.isclose(got.loc[ch, c], want.iloc[-1][c], atol=1e-9), (ch, c)
+
+
+def test_training_writes_vectors_and_skips_features_of_one_value(spark, monkeypatch):
+    written, settled = [], models.settled
+    monkeypatch.setattr(models, "settled", lambda df, name: written.append(settled(df, name)) or written[-1])
+    h = history(spark, {"a": 30, "b": 19}, shuffle_times=True)
+    model = models.train_post_model(h, rounds=3, depth=3)
+    assert [f.dataType.typeName() for f in written[0].schema] == ["vectorudt", "double"]
+    used = model.stages[0].getInputCols()
+    rows = features.feature_matrix(h)
+    n = rows.select(*[F.count_distinct(c).alias(c) for c in features.FEATURE_COLUMNS]).first().asDict()
+    assert used == [c for c in features.FEATURE_COLUMNS if c != "views" and n[c] > 1] and n["hour_of_day"] == 1
+
+    # The same rows with all features make the same trees.
+    names = [c for c in features.FEATURE_COLUMNS if c != "views"]
+    every = written[0].withColumnRenamed(written[0].columns[0], "features")
+    full = models._booster("label_target", 3, 3, 0.05).fit(every)
+    both = model.transform(rows).withColumnRenamed("prediction", "few").drop("features")
+    both = full.transform(models.AlignedFeatures(inputCols=names, outputCol="features").transform(both))
+    assert both.where(F.col("few") != F.col("prediction")).count() == 0 and both.select("few").distinct().count() > 3
+
+
+def test_a_feature_of_one_value_and_nan_stays(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([([1.0, nan, 2.0],), ([1.0, 3.0, 2.0 + 1e-12],), ([1.0, 3.0, 2.0],)], "v array<double>")
+    vectors = rows.select(array_to_vector("v").alias("v"))
+    assert models._varying(vectors, "v") == [1, 2]
+    assert models._varying(vectors.limit(1), "v") == [1]
+    assert models._varying(spark.createDataFrame([([4.0, 5.0],)] * 2, "v array<double>").select(array_to_vector("v").alias("v")), "v") == [0, 1]
+
+
 def test_growth_model_and_saved_form(spark, tmp_path):
     rows = [("youtube", f"c{i}", 100 * (i + 1), START - dt.timedelta(days=10 + i),
              {"sentiment": f'{{"positive_pct": {0.1 * (i % 5)}, "neutral_pct": 0.3, "negative_pct": 0.2, "total_comments_analyzed": {i}}}'})

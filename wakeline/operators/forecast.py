@@ -7,6 +7,8 @@ window or a shuffle. The state is written once per step, so a plan never holds t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,33 +51,35 @@ def _state(flat: DataFrame) -> DataFrame:
     return recent.join(engagement_ratios(flat).select("channel_id", *keep), "channel_id")
 
 
-def _field(rows: Column, name: str) -> Column:
-    return F.transform(rows, lambda r: r[name])
+def _frame_sum(size: int, term: Callable[[int], str]) -> str:
+    """SQL sum of ``term`` over the last ``_width`` posts, oldest first (0 is the newest)."""
+    return " + ".join(["0D", *[f"IF({k} < _width{size}, {term(k)}, 0D)" for k in range(size - 1, -1, -1)]])
+
 
+def _with_latest_features(state: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns and the feature columns of the newest post (more than five posts in total).
 
-def _squared_deviations(values: Column, mean: Column) -> Column:
-    """Σ (x − mean)²; large counters would cancel in Σx² − n·mean²."""
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    Means and deviations are sums over single fields of the last posts, each layer a projection of its own: inside a
+    lambda over the array Spark would compute the mean anew for every element.
+    """
+    last = state.selectExpr(
+        *carried, *[f"try_element_at(recent, {-1 - k}) AS _back{k}" for k in range(V.LAG_STEPS + 1)],
+        *[f"least({n}, CAST(n_posts - {V.LAG_STEPS} AS INT), size(recent)) AS _width{n}" for n in V.ROLLING_WINDOWS],
+    )
+    rolls = [(size, c, f"{c}_roll{size}") for size in V.ROLLING_WINDOWS for c in V.ENGAGEMENT_METRICS]
+    means = last.select(
+        "*", *[f"_back0.{c}" for c in (*LAGGED, "topic_encoded")], *calendar(F.col("_back0.published_at")),
+        *[F.expr(f"coalesce(_back{k}.{c}, 0D) AS {c}_lag{k}") for k in range(1, V.LAG_STEPS + 1) for c in LAGGED],
+        *[F.expr(f"({_frame_sum(n, lambda k: f'_back{k}.{c}')}) / _width{n} AS {r}_mean") for n, c, r in rolls],
+    )
 
+    def deviation(size: int, c: str, r: str) -> str:
+        off = lambda k: f"(_back{k}.{c} - {r}_mean)"
+        squares = _frame_sum(size, lambda k: f"{off(k)} * {off(k)}")  # large counters would cancel in Σx² − n·mean²
+        return f"IF(_width{size} > 1, sqrt(({squares}) / (_width{size} - 1)), 0D) AS {r}_std"
 
-def _latest_features() -> list[Column]:
-    """Feature columns of the newest post from the state arrays (more than five posts in total)."""
-    recent, n = F.col("recent"), F.col("n_posts")
-    back = lambda k: F.try_element_at(recent, F.lit(-1 - k))
-    cols = [back(0)[c].alias(c) for c in (*LAGGED, "topic_encoded")]
-    cols += calendar(back(0)["published_at"])
-    cols += [F.coalesce(back(k)[c], F.lit(0.0)).alias(f"{c}_lag{k}") for k in range(1, V.LAG_STEPS + 1) for c in LAGGED]
-    for size in V.ROLLING_WINDOWS:
-        width = F.least(F.lit(size), (n - V.LAG_STEPS).cast("int"), F.size(recent))
-        for c in V.ENGAGEMENT_METRICS:
-            values = _field(F.slice(recent, -width, width), c)
-            mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / width
-            var = _squared_deviations(values, mean) / (width - 1)
-            cols += [
-                mean.alias(f"{c}_roll{size}_mean"),
-                F.when(width > 1, F.sqrt(var)).otherwise(0.0).alias(f"{c}_roll{size}_std"),
-            ]
-    return cols
+    helpers = [c for c in last.columns if c not in carried]
+    return means.selectExpr("*", *[deviation(*r) for r in rolls]).drop(*helpers)
 
 
 def model_forecast(history: DataFrame, model, as_of: Column, steps: int = 5, target: str = "views") -> DataFrame:
@@ -90,7 +94,7 @@ def model_forecast(history: DataFrame, model, as_of: Column, steps: int = 5, tar
     state = state.withColumn("done", none)
     post_type = state.schema["recent"].dataType.elementType.simpleString()
     for step in range(1, steps + 1):
-        scored = model.transform(state.select(*carried, *_latest_features()))
+        scored = model.transform(_with_latest_features(state, carried))
         v = F.col("prediction")
         ratio = lambda s, d: F.coalesce(F.try_divide(F.col(s), F.col("n_ratio")), F.lit(d))
         likes = v * ratio("sum_likes_ratio", V.DEFAULT_LIKES_PER_VIEW)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param.shared import HasInputCols, HasOutputCol
 from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,23 +36,27 @@ class AlignedFeatures(Transformer, HasInputCols, HasOutputCol, DefaultParamsRead
     def _transform(self, dataset: DataFrame) -> DataFrame:
         names = self.getInputCols()
         have = set(dataset.columns)
-        filled = {f"_in_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in names}
-        vector = VectorAssembler(inputCols=list(filled), outputCol=self.getOutputCol(), handleInvalid="keep")
-        return vector.transform(dataset.withColumns(filled)).drop(*filled)
-
-
-def _boosted(features: list[str], target: str, rounds: int, depth: int, rate: float) -> Pipeline:
-    return Pipeline(
-        stages=[
-            AlignedFeatures(inputCols=features, outputCol="features"),
-            GBTRegressor(
-                featuresCol="features", labelCol=target, lossType="squared", maxIter=rounds, maxDepth=depth,
-                stepSize=rate, subsamplingRate=0.8, seed=42,
-            ),
-        ]
+        filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in names]
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(F.array(*filled)))
+
+
+def _booster(target: str, rounds: int, depth: int, rate: float) -> GBTRegressor:
+    return GBTRegressor(
+        featuresCol="features", labelCol=target, lossType="squared", maxIter=rounds, maxDepth=depth, stepSize=rate,
+        subsamplingRate=0.8, seed=42,
     )
 
 
+def _varying(vectors: DataFrame, column: str) -> list[int]:
+    """Indices of the features with more than one value (all, if none has).
+
+    No tree can split on the others, yet every pass over the rows would count them. A feature with NaN has a NaN variance
+    and stays."""
+    s = vectors.select(Summarizer.metrics("min", "max", "variance").summary(F.col(column)).alias("s")).first()["s"]
+    ranges = list(zip(s["min"], s["max"], s["variance"], strict=True))
+    return [i for i, (low, high, var) in enumerate(ranges) if low != high or var != 0] or list(range(len(ranges)))
+
+
 def train_post_model(
     history: DataFrame, target: str = "views", rounds: int = 100, depth: int = 6, rate: float = 0.05, target_lead: int = 0
 ) -> PipelineModel:
@@ -60,11 +66,16 @@ def train_post_model(
         ahead = rows.select("channel_id", (F.col("position") - target_lead).alias("position"),
                             F.col(target).alias("label_target"))
         rows = rows.drop("label_target").join(ahead, ["channel_id", "position"])
-    rows = settled(rows, "features")  # the trees read the rows many times
-    if at_most(rows, 1):
+    names = [c for c in FEATURE_COLUMNS if c != target]
+    aligned = AlignedFeatures(inputCols=names, outputCol="all_features")
+    # The fit reads its rows three times before it holds them in bins, so the vectors are written, not their columns.
+    vectors = settled(aligned.transform(rows).select("all_features", "label_target"), "features")
+    if at_most(vectors, 1):
         raise ValueError("training needs at least seven posts of one channel")
-    features = [c for c in FEATURE_COLUMNS if c != target]
-    return _boosted(features, "label_target", rounds, depth, rate).fit(rows)
+    used = _varying(vectors, "all_features")
+    chosen = VectorSlicer(inputCol="all_features", outputCol="features", indices=used).transform(vectors)
+    model = _booster("label_target", rounds, depth, rate).fit(chosen.select("features", "label_target"))
+    return PipelineModel([AlignedFeatures(inputCols=[names[i] for i in used], outputCol="features"), model])
 
 
 def growth_rows(accounts: DataFrame, as_of: Column) -> DataFrame:
@@ -95,7 +106,8 @@ def train_growth_model(
     if at_most(rows, 1):
         raise ValueError("training needs at least two accounts with sentiment data")
     train, test = hold_out(rows, ["platform", "platform_id"])
-    model = _boosted(GROWTH_FEATURES, "growth_velocity", rounds, depth, rate).fit(train)
+    aligned = AlignedFeatures(inputCols=GROWTH_FEATURES, outputCol="features")
+    model = Pipeline(stages=[aligned, _booster("growth_velocity", rounds, depth, rate)]).fit(train)
     metrics = regression_metrics(spark, model, train, test, "growth_velocity", GROWTH_FEATURES)
     if save_to:
         model.write().overwrite().save(f"{save_to}/model")
