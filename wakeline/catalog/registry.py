@@ -666,7 +666,7 @@ def blended_forecast(spark, sf):
 @query
 def model_forecast(spark, sf):
     h = D.post_history(spark, sf).withColumn("post_id", F.col("post_id").cast("string"))
-    cats = priors.detect_category(D.channels(spark, sf), h)
+    cats = settled(priors.detect_category(D.channels(spark, sf), h), "categories")  # the forecast reads its posts twice
     model = models.train_post_model(h)
     longer = forecast.with_warmup(h, cats, priors.category_priors(spark))
     return forecast.model_forecast(longer, model, F.to_timestamp(F.lit(AS_OF)))

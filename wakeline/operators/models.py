@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import growth_velocity
 from ..session import at_most, settled
+from . import boosting
 from .features import FEATURE_COLUMNS, feature_matrix
 from .upsert import sentiment_block
 
@@ -74,7 +75,7 @@ def train_post_model(
         raise ValueError("training needs at least seven posts of one channel")
     used = _varying(vectors, "all_features")
     chosen = VectorSlicer(inputCol="all_features", outputCol="features", indices=used).transform(vectors)
-    model = _booster("label_target", rounds, depth, rate).fit(chosen.select("features", "label_target"))
+    model = boosting.fit(_booster("label_target", rounds, depth, rate), chosen)
     return PipelineModel([AlignedFeatures(inputCols=[names[i] for i in used], outputCol="features"), model])
 
 
